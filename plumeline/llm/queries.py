@@ -11,6 +11,16 @@ from plumeline.llm.best_fit import pack_documents
 from plumeline.llm.bucket_digest import fingerprint_with_next
 from plumeline.llm.byte_bpe import byte_bpe_round_trip
 from plumeline.llm.common import table
+from plumeline.llm.secret_scan import scan
+from plumeline.llm.shard_shuffle import shard_documents
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), rate=0.05)
+
+
+def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=16, seed=20)
 
 
 def op5_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +36,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op5_bucket_digest": op5_bucket_digest,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
