@@ -11,6 +11,8 @@ from plumeline.llm.best_fit import pack_documents
 from plumeline.llm.bucket_digest import fingerprint_with_next
 from plumeline.llm.byte_bpe import byte_bpe_round_trip
 from plumeline.llm.common import table
+from plumeline.llm.ftrl import toxicity
+from plumeline.llm.positive_unlabelled import quality
 from plumeline.llm.secret_scan import scan
 from plumeline.llm.shard_shuffle import shard_documents
 
@@ -23,6 +25,14 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16, seed=20)
 
 
+def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.7)
+
+
+def op4_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=0.3)
+
+
 def op5_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_ftrl_toxicity": op3_ftrl_toxicity,
+    "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
     "op5_bucket_digest": op5_bucket_digest,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
