@@ -15,6 +15,7 @@ from plumeline.llm.ftrl import toxicity
 from plumeline.llm.positive_unlabelled import quality
 from plumeline.llm.secret_scan import scan
 from plumeline.llm.shard_shuffle import shard_documents
+from plumeline.llm.sorted_passes import near_duplicates
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op8_sorted_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
     "op5_bucket_digest": op5_bucket_digest,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sorted_projection_passes": op8_sorted_projection_passes,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
