@@ -13,6 +13,7 @@ from plumeline.llm.byte_bpe import byte_bpe_round_trip
 from plumeline.llm.common import table
 from plumeline.llm.ftrl import toxicity
 from plumeline.llm.positive_unlabelled import quality
+from plumeline.llm.lsh_forest import similarity_join
 from plumeline.llm.secret_scan import scan
 from plumeline.llm.shard_shuffle import shard_documents
 from plumeline.llm.sorted_passes import near_duplicates
@@ -38,6 +39,10 @@ def op5_bucket_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op4_positive_unlabelled_quality": op4_positive_unlabelled_quality,
     "op5_bucket_digest": op5_bucket_digest,
+    "op6_lsh_forest_join": op6_lsh_forest_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sorted_projection_passes": op8_sorted_projection_passes,
     "op9_byte_bpe": op9_byte_bpe,
