@@ -12,11 +12,12 @@ from plumeline.llm.bucket_digest import fingerprint_with_next
 from plumeline.llm.byte_bpe import byte_bpe_round_trip
 from plumeline.llm.common import table
 from plumeline.llm.ftrl import toxicity
-from plumeline.llm.positive_unlabelled import quality
 from plumeline.llm.lsh_forest import similarity_join
+from plumeline.llm.positive_unlabelled import quality
 from plumeline.llm.secret_scan import scan
 from plumeline.llm.shard_shuffle import shard_documents
 from plumeline.llm.sorted_passes import near_duplicates
+from plumeline.llm.sparse_suffixes import repeats
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sorted_projection_passes": op8_sorted_projection_passes,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_sparse_suffix_repeats": op10_sparse_suffix_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
