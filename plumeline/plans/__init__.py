@@ -1,3 +1,3 @@
 """The registered queries, one module for each part of the pipeline; importing this package registers them."""
 
-from plumeline.plans import retrieval, review_text  # noqa: F401
+from plumeline.plans import retrieval, review_text, robustness  # noqa: F401
