@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plumeline.functions.scoped import let
+
 #: The relations that open a clause.
 CLAUSE_DEPS = ("advcl", "acl", "relcl", "ccomp", "xcomp", "conj", "parataxis")
 LEVELS = ("full", "d4", "d3", "clause", "depth", "sibling", "coarse")
@@ -32,34 +34,22 @@ def struct_rules(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= 3, F.array_distinct(F.concat(d4, d3, p3))).otherwise(F.array().cast("array<string>"))
 
 
-def _walk(tokens: Column, t: Column, start: Column, step, limit: int) -> Column:
-    """Fold `step(state, ancestor)` over a word's ancestors, at most `limit` of them."""
-    zero = F.struct(t["i"].alias("at"), F.lit(False).alias("end"), start.alias("value"))
-
-    def up(a: Column, _: Column) -> Column:
-        here = _at(tokens, a["at"])
-        done = a["end"] | (here["head"] == here["i"])
-        above = _at(tokens, here["head"])
-        return F.struct(F.when(done, a["at"]).otherwise(here["head"]).alias("at"), done.alias("end"), F.when(done, a["value"]).otherwise(step(a["value"], above)).alias("value"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(limit)), zero, up, lambda a: a["value"])
-
+def ancestry(tokens: Column, t: Column, limit: int = 30) -> Column:
+    """struct<depth,clause> of a word in one walk over its ancestors, at most `limit` of them.
 
-def depth_bucket(tokens: Column, t: Column) -> Column:
-    """d0 for the root, then d1, d2 and d3+ by the number of ancestors."""
-    depth = _walk(tokens, t, F.lit(0), lambda n, _: n + 1, 4)
-    return F.when(depth >= 3, "d3+").otherwise(F.concat(F.lit("d"), depth))
+    clause is the nearest ancestor relation that opens a clause, in capitals, PREP for a preposition, empty for none.
+    """
+    zero = F.struct(t["i"].alias("at"), F.lit(0).alias("depth"), F.lit("").alias("clause"))
 
+    def up(a: Column, _: Column) -> Column:
+        return let(lambda v: step(a, v["head"], v["dep"]), head=_at(tokens, a["at"])["head"], dep=_at(tokens, _at(tokens, a["at"])["head"])["dep"])
 
-def clause_marker(tokens: Column, t: Column, limit: int = 30) -> Column:
-    """The nearest ancestor relation that opens a clause, in capitals, PREP for a preposition, else ROOT."""
-
-    def step(found: Column, above: Column) -> Column:
-        name = F.when(above["dep"].isin(*CLAUSE_DEPS), F.upper(above["dep"])).when(above["dep"] == "prep", F.lit("PREP"))
-        return F.when(found != "", found).otherwise(F.coalesce(name, F.lit("")))
+    def step(a: Column, head: Column, dep: Column) -> Column:
+        root = head == a["at"]
+        opened = F.when(dep.isin(*CLAUSE_DEPS), F.upper(dep)).when(dep == "prep", F.lit("PREP")).otherwise(F.lit(""))
+        return F.struct(head.alias("at"), F.when(root, a["depth"]).otherwise(a["depth"] + 1).alias("depth"), F.when(root | (a["clause"] != ""), a["clause"]).otherwise(opened).alias("clause"))
 
-    got = _walk(tokens, t, F.lit(""), step, limit)
-    return F.when(got == "", "ROOT").otherwise(got)
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.size(tokens), F.lit(limit))), zero, up)
 
 
 def sibling_pos(tokens: Column, t: Column, left: bool) -> Column:
@@ -71,13 +61,18 @@ def sibling_pos(tokens: Column, t: Column, left: bool) -> Column:
 
 def signatures(tokens: Column, t: Column) -> Column:
     """array<struct<level,sig>> with the seven levels, finest first."""
-    pos, dep, parent, grand = t["pos"], t["dep"], parent_pos(tokens, t), grandparent_pos(tokens, t)
-    clause, depth = clause_marker(tokens, t), depth_bucket(tokens, t)
-    found = {
-        "full": F.concat_ws("|", pos, dep, parent, grand, clause, depth), "d4": F.concat_ws("|", F.lit("D4"), grand, parent, dep, pos), "d3": F.concat_ws("|", F.lit("D3"), parent, dep, pos), "clause": F.concat_ws("|", clause, pos),
-        "depth": F.concat_ws("|", depth, pos, dep), "sibling": F.concat_ws("|", pos, sibling_pos(tokens, t, True), sibling_pos(tokens, t, False)), "coarse": F.concat_ws("|", pos, dep),
-    }
-    return F.array(*[F.struct(F.lit(i).alias("level"), F.lit(name).alias("name"), sig.alias("sig")) for i, (name, sig) in enumerate(found.items())])
+
+    def named(v: Column) -> Column:
+        depth = F.when(v["up"]["depth"] >= 3, "d3+").otherwise(F.concat(F.lit("d"), v["up"]["depth"]))
+        clause = F.when(v["up"]["clause"] == "", "ROOT").otherwise(v["up"]["clause"])
+        pos, dep, parent, grand = v["pos"], v["dep"], v["parent"], v["grand"]
+        found = {
+            "full": F.concat_ws("|", pos, dep, parent, grand, clause, depth), "d4": F.concat_ws("|", F.lit("D4"), grand, parent, dep, pos), "d3": F.concat_ws("|", F.lit("D3"), parent, dep, pos), "clause": F.concat_ws("|", clause, pos),
+            "depth": F.concat_ws("|", depth, pos, dep), "sibling": F.concat_ws("|", pos, v["left"], v["right"]), "coarse": F.concat_ws("|", pos, dep),
+        }
+        return F.array(*[F.struct(F.lit(i).alias("level"), F.lit(name).alias("name"), sig.alias("sig")) for i, (name, sig) in enumerate(found.items())])
+
+    return let(named, pos=t["pos"], dep=t["dep"], parent=parent_pos(tokens, t), grand=grandparent_pos(tokens, t), up=ancestry(tokens, t), left=sibling_pos(tokens, t, True), right=sibling_pos(tokens, t, False))
 
 
 def length_bucket(n: Column) -> Column:
@@ -87,7 +82,7 @@ def length_bucket(n: Column) -> Column:
 def word_shape(w: Column) -> Column:
     """empty, digit, lower, upper, title, mixed or other."""
     letters = w.rlike(r"\p{L}")
-    head, tail = F.substring(w, 1, 1), F.expr("substring(w, 2)") if isinstance(w, str) else w.substr(F.lit(2), F.length(w))
+    head, tail = F.substring(w, 1, 1), w.substr(F.lit(2), F.length(w))
     return (
         F.when(w == "", "empty").when(w.rlike(r"^\p{Nd}+$"), "digit").when(letters & (w == F.lower(w)), "lower").when(letters & (w == F.upper(w)), "upper")
         .when((head != F.lower(head)) & tail.rlike(r"\p{L}") & (tail == F.lower(tail)), "title").when(w.rlike(r"\p{Nd}"), "mixed").otherwise("other")

@@ -27,7 +27,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.concat_ws(":", "review_pos", "sent_pos").alias("sent_id"), tokens.alias("tokens")).filter("size(tokens) between 3 and 30")
 
 
-_PARSED_SQL = f"""{REVIEWS_SQL},
+PARSED_SQL = f"""{REVIEWS_SQL},
 w AS (SELECT user_id, review_pos::VARCHAR || ':' || sent_pos::VARCHAR AS sent_id, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda x: x <> '') AS ws FROM sentences),
 k AS (SELECT user_id, sent_id, ws, list_transform(ws, lambda x: (['DET','ADP','NOUN','VERB','ADJ'])[length(x) % 5 + 1]) AS p, list_transform(ws, lambda x: (['det','prep','nsubj','dobj','amod'])[length(x) % 5 + 1]) AS d FROM w WHERE len(ws) BETWEEN 3 AND 30),
 t AS (SELECT user_id, sent_id, unnest(range(1, len(p) + 1)) AS i, p, d FROM k),
@@ -41,14 +41,14 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).select("user_id", "sent_id", F.explode(struct_rules(F.col("tokens"))).alias("rule"))
 
 
-@register("struct_rules", f"WITH {_PARSED_SQL} SELECT sent_id, count(*) AS n_rules, string_agg(rule, ' ' ORDER BY rule) AS rules FROM rules GROUP BY sent_id")
+@register("struct_rules", f"WITH {PARSED_SQL} SELECT sent_id, count(*) AS n_rules, string_agg(rule, ' ' ORDER BY rule) AS rules FROM rules GROUP BY sent_id")
 def struct_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct rules of every sentence."""
     rules = F.sort_array(struct_rules(F.col("tokens")))
     return parsed(spark, sf_dir).select("sent_id", F.size(rules).cast("long").alias("n_rules"), F.array_join(rules, " ").alias("rules"))
 
 
-@register("rule_vocab", f"""WITH {_PARSED_SQL}, v AS (SELECT rule, count(DISTINCT sent_id) AS df FROM rules GROUP BY rule HAVING count(DISTINCT sent_id) >= 2)
+@register("rule_vocab", f"""WITH {PARSED_SQL}, v AS (SELECT rule, count(DISTINCT sent_id) AS df FROM rules GROUP BY rule HAVING count(DISTINCT sent_id) >= 2)
 SELECT rule, df, (row_number() OVER (ORDER BY rule) - 1)::INTEGER AS rule_id FROM v""")
 def rule_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of at least two sentences with their ids; the vocabulary is bounded by the grammar, not by the corpus."""
@@ -56,7 +56,7 @@ def rule_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("rule_id", F.row_number().over(Window.orderBy("rule")) - 1)
 
 
-@register("user_rule_counts", f"""WITH {_PARSED_SQL}, n AS (SELECT user_id, rule, count(*) AS n FROM rules GROUP BY ALL)
+@register("user_rule_counts", f"""WITH {PARSED_SQL}, n AS (SELECT user_id, rule, count(*) AS n FROM rules GROUP BY ALL)
 SELECT user_id, rule, n, round(n / (1.0 + n), 6) AS saturated, round(n / (sum(n) OVER (PARTITION BY user_id))::DOUBLE, 6) AS share FROM n""")
 def user_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts by user, saturated, and as a share of the user's."""
