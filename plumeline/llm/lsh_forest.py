@@ -147,7 +147,8 @@ def _classes(documents: DataFrame, params: ForestParams) -> tuple[DataFrame, Dat
     members = members.join(classes.select("node", "rep", "weight"), "node").withColumnRenamed("root", "group")
     placed = stage(block_pairs(members, "group", "node", params.block), "blocks")
     # The id is a key beside the text's hash, so that copies of one text are not dealt to one task.
-    spread = placed.withColumn("_id", _id("rep")).join(docs.withColumn("_id", _id("doc_id")).select("_id", "node", "text"), ["node", "_id"])
+    # Members grow with the corpus, so the join is by sort and merge whatever their number: never a broadcast.
+    spread = placed.withColumn("_id", _id("rep")).join(docs.withColumn("_id", _id("doc_id")).select("_id", "node", "text").hint("merge"), ["node", "_id"])
     columns = ["node", "group", "weight", "_i", "_j", "_block", "_single", "text"]
     seen = stage(spread.select(*columns).groupBy("group", "_i", "_j").applyInPandas(_linked(params), "node long, links long, root long, single boolean"), "links")
 
