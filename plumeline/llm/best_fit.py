@@ -12,6 +12,7 @@ An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -24,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from tokenizers import Tokenizer
 
 from plumeline.llm.common import stage, whole_text
 
@@ -116,10 +119,6 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -202,8 +201,6 @@ def pack(pieces: DataFrame, capacity: int, chunk_bits: int = 20) -> DataFrame:
             keep = [n for n in batch.schema.names if n != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
     out = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return ranked.select(*pieces.columns, "_rank").mapInArrow(place, out)
 

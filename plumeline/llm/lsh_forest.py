@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.llm.blocks import block_pairs
-from plumeline.llm.common import mix, shingles, stage, whole_text
+from plumeline.llm.common import fresh, mix, shingles, stage, whole_text
 from plumeline.llm.connected import connected_components
 from plumeline.llm.sorted_passes import unite
 
@@ -177,9 +177,10 @@ def one_of_each(documents: DataFrame, params: ForestParams | None = None) -> Dat
     """
     _, classes = _classes(documents, params or ForestParams())
     first = F.min_by(F.struct("rep", "node"), F.struct(F.col("rep").isNull(), "rep", "node"))
-    kept = classes.groupBy("root").agg(first.alias("k")).select(_id("k.rep").alias("_id"), F.col("k.node").alias("_node"))
-    marked = documents.withColumn("_node", F.xxhash64(whole_text())).withColumn("_id", _id("doc_id"))
+    node, id_, again = (fresh(documents.columns, c) for c in ("_node", "_id", "_again"))
+    kept = classes.groupBy("root").agg(first.alias("k")).select(_id("k.rep").alias(id_), F.col("k.node").alias(node))
+    marked = documents.withColumn(node, F.xxhash64(whole_text())).withColumn(id_, _id("doc_id"))
     wordless = ~whole_text().rlike(r"[^\p{IsWhite_Space}\x1c-\x1f]")
-    again = F.row_number().over(Window.partitionBy("_node", "_id").orderBy("_id"))
-    chosen = marked.filter(~wordless).join(kept, ["_node", "_id"]).withColumn("_again", again).filter("_again = 1")
+    copy = F.row_number().over(Window.partitionBy(node, id_).orderBy(id_))
+    chosen = marked.filter(~wordless).join(kept, [node, id_]).withColumn(again, copy).filter(F.col(again) == 1)
     return chosen.select(*documents.columns).unionByName(documents.filter(wordless))

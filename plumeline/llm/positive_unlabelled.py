@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from plumeline.llm.common import whole_text
+from plumeline.llm.common import fresh, whole_text
 from plumeline.llm.ftrl import held_out
 
 _KIND = np.zeros(256, np.uint8)  # 0 symbol, 1 lower or non-ASCII, 2 capital, 3 digit, 4 space, 5 line end
@@ -153,17 +153,18 @@ def fit(documents: DataFrame, labels: DataFrame, params: PuParams) -> QualityMod
     return fit_vectors(x[rows["trusted"] == 1], x[rows["trusted"] == 0], params)
 
 
-def with_score(documents: DataFrame, model: QualityModel, cut: float) -> DataFrame:
-    """All columns, and `score` and `predicted` of the column text."""
-    fields = [f for f in documents.schema.fields if f.name not in ("score", "predicted")]
+def with_score(documents: DataFrame, model: QualityModel, cut: float, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """All columns, and the score and prediction of the column text; input columns of those names give way."""
+    fields = [f for f in documents.schema.fields if f.name not in (score, predicted)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [vector(t.as_py() or "") for t in batch.column("text")]
-            p = model.score(np.array(x, np.float64).reshape(len(x), len(_EMPTY)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            # Rounded, so that a text's score does not depend on the batch it came in.
+            p = model.score(np.array(x, np.float64).reshape(len(x), len(_EMPTY))).round(9)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= cut).astype(np.int32))], [*batch.schema.names, score, predicted])
 
-    out = StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    out = StructType([*fields, StructField(score, DoubleType()), StructField(predicted, IntegerType())])
     return documents.select(*[f.name for f in fields]).mapInArrow(run, out)
 
 
@@ -181,4 +182,5 @@ def quality(documents: DataFrame, labels: DataFrame, params: PuParams | None = N
 def keep_good(documents: DataFrame, labels: DataFrame, params: PuParams | None = None, cut: float = 0.3) -> DataFrame:
     """The documents whose predicted quality is 1, with the columns they came with."""
     model = fit(documents, _fold_labels(labels), params or PuParams())
-    return with_score(documents, model, cut).filter("predicted = 1").select(*documents.columns)
+    score, predicted = fresh(documents.columns, "_score"), fresh(documents.columns, "_predicted")
+    return with_score(documents, model, cut, score, predicted).filter(F.col(predicted) == 1).select(*documents.columns)

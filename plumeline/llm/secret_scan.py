@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeline.llm.common import whole_text
+from plumeline.llm.common import fresh, whole_text
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -176,13 +176,13 @@ def _spans(text: Column, bins: dict[int, int]) -> tuple[Column, Column]:
     return base, F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
 
 
-def with_spans(documents: DataFrame, rate: float = 0.05) -> DataFrame:
-    """The documents with `_base` and `_all`, arrays of (start, kind, end) in order."""
-    bins = rejection_bins(documents, rate)
-    base, random = _spans(whole_text(), bins)
-    out = documents.withColumn("_base", base).withColumn("_random", random)
-    apart = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
-    return out.withColumn("_all", F.array_sort(F.concat("_base", apart))).drop("_random")
+def with_spans(documents: DataFrame, rate: float = 0.05, base: str = "_base", every: str = "_all") -> DataFrame:
+    """The documents with two arrays of (start, kind, end) in order: the base spans and all spans."""
+    fixed, random = _spans(whole_text(), rejection_bins(documents, rate))
+    more = fresh([*documents.columns, base, every], "_random")
+    out = documents.withColumn(base, fixed).withColumn(more, random)
+    apart = F.filter(more, lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
+    return out.withColumn(every, F.array_sort(F.concat(base, apart))).drop(more)
 
 
 def _listed(spans: Column) -> Column:
@@ -202,19 +202,20 @@ def scan(documents: DataFrame, rate: float = 0.05) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
     """The documents with every span (overlapping ones as one) replaced by `mark`, and `n_chars` to match; all columns stay."""
-    found = with_spans(documents, rate)
+    base, every, spans = (fresh(documents.columns, c) for c in ("_base", "_all", "_merged"))
+    found = with_spans(documents, rate, base, every)
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
         wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), wider).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
 
-    merged = F.aggregate("_all", F.array().cast("array<struct<start:int,end:int>>"), merge)
-    out = found.withColumn("_merged", F.when(F.size("_all") > 0, merged))
-    kept = F.transform(F.sequence(F.lit(0), F.size("_merged")), lambda i: _between(F.col("text"), F.col("_merged"), i))
-    out = out.withColumn("text", F.when(F.col("_merged").isNotNull(), F.array_join(kept, mark)).otherwise(F.col("text")))
+    merged = F.aggregate(every, F.array().cast("array<struct<start:int,end:int>>"), merge)
+    out = found.withColumn(spans, F.when(F.size(every) > 0, merged))
+    kept = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: _between(F.col("text"), F.col(spans), i))
+    out = out.withColumn("text", F.when(F.col(spans).isNotNull(), F.array_join(kept, mark)).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_merged").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
 
 

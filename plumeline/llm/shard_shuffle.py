@@ -61,8 +61,9 @@ def communication_matrix(partition_rows: list[int], shards: int, seed: int) -> l
 
 
 def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 0, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """`rows` with `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard). Columns whose names begin with _ are the operator's own."""
+    """`rows` with `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard). Input columns of these names, or with an underscore in front, give way."""
     spark = rows.sparkSession
+    rows = rows.drop("shard", "slot", *[c for c in rows.columns if c.startswith("_")])
     numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
     numbered = numbered.withColumn("_part", F.shiftright("_row", chunk_bits))
     sizes = sorted((r._part, r.n) for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect())

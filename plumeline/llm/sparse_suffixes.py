@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeline.llm.common import WORDS, gram_hashes, stage, whole_text
+from plumeline.llm.common import WORDS, fresh, gram_hashes, stage, whole_text
 
 
 @dataclass(frozen=True)
@@ -173,17 +173,19 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(documents: DataFrame, params: SuffixParams | None = None) -> DataFrame:
     """The documents without passages that an earlier place holds; `n_chars` follows the text, all other columns stay."""
     found = _matches(_identified(documents), params or SuffixParams())
-    spans = found.groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    marked = documents.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), whole_text())).join(spans, "_uid", "left")
     columns = documents.columns
+    uid, cuts = fresh(columns, "_uid"), fresh(columns, "_spans")
+    spans = found.groupBy(F.col("uid").alias(uid)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    marked = documents.withColumn(uid, F.xxhash64(F.col("doc_id").cast("long"), whole_text())).join(spans, uid, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() if s.as_py() is None else cut_words(t.as_py() or "", [(x["start"], x["end"]) for x in s.as_py()]) for t, s in zip(batch.column("text"), batch.column("_spans"), strict=True)]
+            found = [s.as_py() for s in batch.column(cuts)]
+            texts = [t.as_py() if s is None else cut_words(t.as_py() or "", [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text"), found, strict=True)]
             arrays = {n: batch.column(n) for n in columns} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in arrays:
-                cut = [s.as_py() is not None for s in batch.column("_spans")]
-                arrays["n_chars"] = pa.array([len(t) if c else n for t, c, n in zip(texts, cut, batch.column("n_chars").to_pylist(), strict=True)], pa.int64())
+                lengths = [n if s is None else len(t) for t, s, n in zip(texts, found, batch.column("n_chars").to_pylist(), strict=True)]
+                arrays["n_chars"] = pa.array(lengths, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([arrays[n] for n in columns], columns)
 
-    return marked.select(*columns, "_spans").mapInArrow(run, documents.schema)
+    return marked.select(*columns, cuts).mapInArrow(run, documents.schema)
