@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.vectors import cosine
@@ -43,13 +43,18 @@ def bm25_scores(queries: DataFrame, documents: DataFrame, params: Bm25) -> DataF
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl")))
     joined = postings.join(q, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.round(part, 9)), 6).alias("score"))
+    return joined.groupBy("query_id", "doc_id").agg(_exact_sum(part).alias("score"))
+
+
+def _exact_sum(part: Column) -> Column:
+    """A sum in decimals, so that it does not depend on the order of rows."""
+    return F.round(F.sum(F.round(part, 9).cast("decimal(28,9)")), 6).cast("double")
 
 
 def sparse_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """Inner products of (query_id, term, w) and (doc_id, term, w) rows by an equi-join on the term."""
     joined = queries.withColumnRenamed("w", "wq").join(documents.withColumnRenamed("w", "wd"), "term")
-    return joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.round(F.col("wq") * F.col("wd"), 9)), 6).alias("score"))
+    return joined.groupBy("query_id", "doc_id").agg(_exact_sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
 def dense_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:

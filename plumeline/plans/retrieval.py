@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeline.operators.ranking import hit_columns
-from plumeline.operators.retrieval import Bm25, bm25_scores, dense_scores, maxsim_scores, top_k, zscore_fusion
+from plumeline.operators.retrieval import Bm25, bm25_scores, dense_scores, maxsim_scores, sparse_scores, top_k, zscore_fusion
 from plumeline.registry import register
 from plumeline.sources.tables import table
 
@@ -20,13 +20,11 @@ stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM len
 df AS (SELECT term, count(*) AS df FROM d GROUP BY term),
 qt AS (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark),
 q AS (SELECT query_id, term, count(*) AS qtf FROM qt WHERE term NOT IN {_STOP} GROUP BY ALL),
-scores AS (SELECT query_id, doc_id, round(sum(round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 9)), 6) AS score
+scores AS (SELECT query_id, doc_id, round(sum(round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 9)::DECIMAL(28, 9)), 6)::DOUBLE AS score
   FROM q JOIN d USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN stats GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM scores),
 target AS (SELECT item_id AS query_id, min(doc_id) AS target FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)"""
 
-_HITS = "CASE WHEN pos IS NULL THEN 1.0 / 20001 ELSE 1.0 / pos END"
-
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
@@ -120,3 +118,17 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = dense_scores(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))).filter("query_id <> doc_id")
     both = dense.withColumnRenamed("score", "dense").join(_maxsim(spark, sf_dir).withColumnRenamed("score", "maxsim"), ["query_id", "doc_id"])
     return top_k(zscore_fusion(both, {"dense": 1.0, "maxsim": 1.0}), 20)
+
+
+_SPARSE = """q AS (SELECT vec_id AS query_id, unnest(range(64)) AS term, unnest(embedding)::DOUBLE AS w FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT vec_id AS doc_id, unnest(range(64)) AS term, unnest(embedding)::DOUBLE AS w FROM embeddings),
+s AS (SELECT query_id, doc_id, round(sum(round(q.w * d.w, 9)::DECIMAL(28, 9)), 6)::DOUBLE AS score FROM q JOIN d ON q.term = d.term AND d.w > 0.05 AND q.w > 0.05 WHERE query_id <> doc_id GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM s)"""
+
+
+@register("sparse_topk", f"WITH {_SPARSE} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100")
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned-sparse retrieval by an inverted index: coordinates over 0.05 stand for term weights."""
+    w = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("term", "w")).select("vec_id", "term", F.col("w").cast("double").alias("w")).filter("w > 0.05")
+    q = w.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return top_k(sparse_scores(q, w.withColumnRenamed("vec_id", "doc_id")).filter("query_id <> doc_id"), 100)

@@ -112,10 +112,10 @@ def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "n", F.round("tau", 6).alias("tau"), F.round("rho", 6).alias("rho"))
 
 
-@register("score_diagnostics", f"WITH {_FUSED} SELECT round(score, 4) AS score_bin, count(*) AS n, round(avg(final), 6) AS mean_final, count(*) FILTER (pos <> original_rank) AS n_moved FROM fused GROUP BY ALL")
+@register("score_diagnostics", f"WITH {_FUSED} SELECT round(score, 4) AS score_bin, count(*) AS n, round(sum(final), 6) AS sum_final, count(*) FILTER (pos <> original_rank) AS n_moved FROM fused GROUP BY ALL")
 def score_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of model scores and how many candidates moved."""
-    return fuse(candidates(spark, sf_dir)).groupBy(F.round("score", 4).alias("score_bin")).agg(F.count("*").alias("n"), F.round(F.avg("final"), 6).alias("mean_final"), F.count_if(F.col("pos") != F.col("original_rank")).alias("n_moved"))
+    return fuse(candidates(spark, sf_dir)).groupBy(F.round("score", 4).alias("score_bin")).agg(F.count("*").alias("n"), F.round(F.sum("final"), 6).alias("sum_final"), F.count_if(F.col("pos") != F.col("original_rank")).alias("n_moved"))
 
 
 @register("score_summary", f"WITH {_FUSED} SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_candidates, count(DISTINCT score) AS n_values, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std FROM fused")
