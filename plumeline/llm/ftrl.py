@@ -32,13 +32,13 @@ _MULTIPLIER, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03
 @dataclass(frozen=True)
 class FtrlParams:
     bits: int = 22
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 10.0
+    l1: float = 20.0
     l2: float = 1.0
-    passes: int = 5
+    passes: int = 8
     #: Toxic documents are few; each counts so many times.
-    positive_weight: float = 4.0
+    positive_weight: float = 8.0
     rows_per_shard: int = 12_000
     #: At most so many labelled rows are learnt from, chosen by a hash of their ids.
     max_rows: int = 24_000
