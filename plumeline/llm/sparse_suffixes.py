@@ -121,8 +121,11 @@ def _matches(docs: DataFrame, params: SuffixParams) -> DataFrame:
     once = kept.dropDuplicates(["uid"])
     suffixes = once.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "uid", F.explode(F.arrays_zip("gram", "at")).alias("s")).select("doc", "uid", "s.gram", "s.at")
 
-    shared = kept.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = suffixes.join(shared, "gram").withColumn("part", F.when(F.col("n") > params.part, F.pmod(F.xxhash64(F.lit(9), "uid"), F.ceil(F.col("n") / params.part))).otherwise(F.lit(0)))
+    # Written down, so that the join has a plain exchange on both sides and a hot gram's suffixes can be split among tasks.
+    shared = stage(kept.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    repeated = suffixes.join(shared.hint("merge"), "gram").withColumn("part", F.when(F.col("n") > params.part, F.pmod(F.xxhash64(F.lit(9), "uid"), F.ceil(F.col("n") / params.part))).otherwise(F.lit(0)))
+    # Dealt anew by gram and part: the window would otherwise make do with the join's order by gram, and a hot gram stay in one task.
+    repeated = repeated.repartition("gram", "part")
     me, order = F.struct("doc", "uid", "at"), ["doc", "uid", "at"]
     sorted_ = repeated.withColumn("before", F.lag(me).over(Window.partitionBy("gram", "part").orderBy(*order)))
     pairs = stage(sorted_.select("gram", "n", "doc", "uid", "at", "before").filter(F.col("before").isNotNull() | (F.col("n") > params.part)), "neighbours")
