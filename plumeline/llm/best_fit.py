@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -108,14 +110,25 @@ def best_fit_moves(histogram: dict[int, int], capacity: int) -> tuple[list[Move]
 
 # ---------------------------------------------------------------------------------------------------------------- ids
 
-#: Latin text, where Python's case and composition rules are the tokenizer's; other texts go through it whole.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7e¡-įı-ɏ]*+")
+#: What is not plain Latin text, where Python's case and composition rules are the tokenizer's; such texts go through it whole.
+_OTHER = re.compile(r"[^\t-\r\x20-\x7e¡-įı-ɏ]")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    moved = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return [moved.get(b, chr(b)) for b in range(256)]
 
 
 class WordTokenizer:
-    """Ids of a text by a `tokenizers` file, with the ids of words kept: its merges never cross words."""
+    """Ids of a text by a `tokenizers` file. Its merges never cross words nor white space, so what is between spaces is
+    encoded once and kept, and so are the words in it.
+
+    At most twice `LIMIT` pieces are kept: a full generation becomes the old one, and what is still met moves to the new.
+    """
 
-    LIMIT = 300_000
+    LIMIT = 250_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,26 +136,43 @@ class WordTokenizer:
         self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
-        split = kind["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if [n["type"] for n in kind["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this tokenizer normalises in another way")
-        self.split, self.known = regex.compile(split), {}
+        self.split = regex.compile(kind["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.model, self.letters = self.whole.model, _byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not _PLAIN.fullmatch(text):
+        if _OTHER.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.split.findall(unicodedata.normalize("NFC", text).lower())
+        pieces = unicodedata.normalize("NFC", text).lower().split()
         known = self.known
         try:
-            return b"".join([known[w] for w in words])
+            return b"".join([known[p] for p in pieces])
         except KeyError:
-            if len(known) > self.LIMIT:
-                known.clear()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for word, got in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            self._learn(pieces)
+            known = self.known
+            return b"".join([known[p] for p in pieces])
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) > self.LIMIT:
+            self.known, self.old = {}, self.known
+        for piece in dict.fromkeys(pieces):
+            if piece not in self.known:
+                kept = self.old.get(piece)
+                self.known[piece] = b"".join([self._word(w) for w in self.split.findall(piece)]) if kept is None else kept
+
+    def _word(self, word: str) -> bytes:
+        if (kept := self.words.get(word)) is None:
+            if len(self.words) > self.LIMIT:
+                self.words.clear()
+            letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+            ids = [t.id for t in self.model.tokenize(letters)]
+            self.words[word] = kept = struct.pack(f"<{len(ids)}I", *ids)
+        return kept
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -172,9 +202,10 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int) -> Da
 
 def pack(pieces: DataFrame, capacity: int, chunk_bits: int = 20) -> DataFrame:
     """`pieces` (with a `length` from 1 to capacity) and their sequence_id and offset, by best-fit decreasing."""
-    # The id's high bits are the partition, its low bits the row in it; so a chunk has at most 2**chunk_bits rows.
     numbered = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    numbered = numbered.withColumn("_chunk", F.shiftright("_row", chunk_bits))
+    # Chunks of about 2**chunk_bits rows, so their table of offsets is far smaller than the pieces.
+    chunks = max(1, -(-numbered.count() // (1 << chunk_bits)))
+    numbered = numbered.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(7), "_row"), F.lit(chunks)))
     counts = stage(numbered.groupBy("length", "_chunk").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # <= capacity rows
     moves, _ = best_fit_moves(histogram, capacity)
