@@ -11,6 +11,11 @@ A gram that very many documents share is ordered in parts of at most `part` suff
 suffixes are then ordered among themselves, so each suffix but the very first still has an earlier neighbour.
 Grams that occur once are dropped by a count before anything is sorted.
 
+That neighbour can be the wrong one: it may share the gram alone while a farther suffix shares the whole passage. So every
+run of `words` words whose selected gram is shared, and which lies in no passage found so far, is then hashed whole; all but
+the first place of equal runs are repeats too. The first place of a run is never inside a found passage, so nothing is lost,
+whichever neighbours met.
+
 Words are what white space separates. An extension reads as far as `words` words; what lies beyond holds selected
 positions of its own. Defined results: a null text is an empty one; texts under `words` words have no passage. A passage
 that overlaps its own earlier occurrence in a document is repeated too. Rows that repeat both doc_id and text are one
@@ -44,27 +49,33 @@ class SuffixParams:
         return self.words - self.gram + 1
 
 
-def selected(hashes: np.ndarray, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the suffixes kept."""
+def chosen(hashes: np.ndarray, params: SuffixParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, how many runs of `words` words select each); the runs of one position follow those of the one before."""
     grams = gram_hashes(hashes, params.gram)
     if len(grams) < params.window:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     at = [start + np.arange(len(part)) + part.argmin(axis=1) for start in range(0, len(grams) - params.window + 1, 4096) for part in [sliding_window_view(grams[start : start + 4096 + params.window - 1], params.window)]]
-    at = np.unique(np.concatenate(at))
-    return at, grams[at]
+    at, runs = np.unique(np.concatenate(at), return_counts=True)
+    return at, grams[at], runs
+
+
+def selected(hashes: np.ndarray, params: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, gram hashes) of the suffixes kept."""
+    return chosen(hashes, params)[:2]
 
 
 def _kept(params: SuffixParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, grams, counts = [], [], []
+            places, grams, leads, counts = [], [], [], []
             for text in batch.column(2):
-                words = text.as_py().split()
-                at, g = selected(WORDS.of(words), params)
+                at, g, runs = chosen(WORDS.of(text.as_py().split()), params)
                 places.append(at.tolist())
                 grams.append(g.view(np.int64).tolist())
-                counts.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "uid", "n_words", "at", "gram"])
+                leads.append((at - (np.cumsum(runs) - runs)).tolist())
+                counts.append(runs.tolist())
+            small = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, small), pa.array(grams, pa.list_(pa.int64())), pa.array(leads, small), pa.array(counts, small)], ["doc_id", "uid", "at", "gram", "lead", "runs"])
 
     return run
 
@@ -110,6 +121,52 @@ def _extended(params: SuffixParams):
     return run
 
 
+def _unsettled(params: SuffixParams):
+    """A document's shared suffixes and found passages -> the starts of runs of `words` words that no passage holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("places").offsets.to_numpy()
+            flat = batch.column("places").values
+            start, end, open_ = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "end", "open"))
+            out = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                left = np.zeros(max(0, int(end[a:b].max())), bool)
+                for k in sorted(range(a, b), key=lambda k: not open_[k]):
+                    left[start[k] : end[k]] = open_[k]
+                out.append(np.flatnonzero(left).tolist())
+            rows = pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc"), pa.array(out, pa.list_(pa.int32()))], ["uid", "doc", "starts"])
+            yield rows.filter(pa.array([bool(x) for x in out], pa.bool_()))
+
+    return run
+
+
+def _whole_runs(params: SuffixParams):
+    """Documents with starts of runs of `words` words -> a row for each with the run's hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, doc, text, starts in zip(*(batch.column(n) for n in ("uid", "doc", "text", "starts")), strict=True):
+                at = starts.values.to_numpy()
+                keys = gram_hashes(WORDS.of(text.as_py().split()), params.words)[at].view(np.int64)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, uid.as_py(), np.int64)), pa.array(at), pa.array(keys)], ["doc", "uid", "at", "key"])
+
+    return run
+
+
+def _runs(linked: DataFrame, size: int) -> DataFrame:
+    """Neighbours at one distance, each equal for `size` words, joined where they touch."""
+    line = Window.partitionBy("uid", "source_uid", "apart").orderBy("at")
+    cut = F.coalesce((F.col("at") - F.lag("at").over(line) > size).cast("int"), F.lit(1))
+    runs = linked.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(line)).groupBy("uid", "source_uid", "apart", "_run")
+    return runs.agg(F.min("doc").alias("doc"), F.min("source_doc").alias("source_doc"), F.min("at").cast("long").alias("start"), (F.max("at") + size).cast("long").alias("end"))
+
+
+def _back(c: str):
+    return F.when(F.col(c) < 2**63 - 1, F.col(c))
+
+
 def _identified(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
@@ -117,9 +174,9 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 def _matches(docs: DataFrame, params: SuffixParams) -> DataFrame:
     """(doc_id, uid, source_doc_id, source_uid, start, end, source_start) of passages that an earlier place holds too."""
-    kept = stage(docs.mapInArrow(_kept(params), "doc_id long, uid long, n_words long, at array<int>, gram array<long>").filter("size(at) > 0").select("doc_id", "uid", "at", "gram"), "suffixes")
+    kept = stage(docs.mapInArrow(_kept(params), "doc_id long, uid long, at array<int>, gram array<long>, lead array<int>, runs array<int>").filter("size(at) > 0"), "suffixes")
     once = kept.dropDuplicates(["uid"])
-    suffixes = once.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "uid", F.explode(F.arrays_zip("gram", "at")).alias("s")).select("doc", "uid", "s.gram", "s.at")
+    suffixes = once.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "uid", F.explode(F.arrays_zip("gram", "at", "lead", "runs")).alias("s")).select("doc", "uid", "s.*")
 
     # Written down, so that the join has a plain exchange on both sides and a hot gram's suffixes can be split among tasks.
     shared = stage(kept.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
@@ -128,15 +185,11 @@ def _matches(docs: DataFrame, params: SuffixParams) -> DataFrame:
     repeated = repeated.repartition("gram", "part")
     me, order = F.struct("doc", "uid", "at"), ["doc", "uid", "at"]
     sorted_ = repeated.withColumn("before", F.lag(me).over(Window.partitionBy("gram", "part").orderBy(*order)))
-    pairs = stage(sorted_.select("gram", "n", "doc", "uid", "at", "before").filter(F.col("before").isNotNull() | (F.col("n") > params.part)), "neighbours")
-    first = pairs.filter("before is null").withColumn("before", F.lag(me).over(Window.partitionBy("gram").orderBy(*order)))
+    pairs = stage(sorted_.select("gram", "n", "doc", "uid", "at", "lead", "runs", "before"), "neighbours")
+    first = pairs.filter(F.col("before").isNull() & (F.col("n") > params.part)).withColumn("before", F.lag(me).over(Window.partitionBy("gram").orderBy(*order)))
     linked = pairs.unionByName(first).filter("before is not null").select("doc", "uid", "at", F.col("before.doc").alias("source_doc"), F.col("before.uid").alias("source_uid"), (F.col("at") - F.col("before.at")).alias("apart"))
 
-    line = Window.partitionBy("uid", "source_uid", "apart").orderBy("at")
-    cut = F.coalesce((F.col("at") - F.lag("at").over(line) > params.gram).cast("int"), F.lit(1))
-    runs = linked.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(line)).groupBy("uid", "source_uid", "apart", "_run")
-    runs = runs.agg(F.min("doc").alias("doc"), F.min("source_doc").alias("source_doc"), F.min("at").cast("long").alias("start"), (F.max("at") + params.gram).cast("long").alias("end"))
-    runs = stage(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
+    runs = stage(_runs(linked, params.gram).withColumn("run", F.monotonically_increasing_id()), "runs")
 
     def side(k: int, uid: str, shift) -> DataFrame:
         return runs.select(F.col(uid).alias("uid"), F.struct("run", F.lit(k).alias("side"), (F.col("start") - shift).alias("start"), (F.col("end") - shift).alias("end")).alias("request"))
@@ -146,9 +199,25 @@ def _matches(docs: DataFrame, params: SuffixParams) -> DataFrame:
     around = docs.select("uid", "text").join(requests, "uid").select("text", "requests").mapInArrow(_around(params), "run long, side int, before binary, after binary")
     one = [F.max(F.when(F.col("side") == k, F.col(c))).alias(f"{c}_{k}") for c in ("before", "after") for k in (0, 1)]
     both = around.groupBy("run").agg(*one).join(runs, "run")
-    back = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c))
-    both = both.select(back("doc").alias("doc_id"), "uid", back("source_doc").alias("source_doc_id"), "source_uid", "start", "end", (F.col("start") - F.col("apart")).cast("long").alias("source_start"), "before_0", "before_1", "after_0", "after_1")
-    return both.mapInArrow(_extended(params), "doc_id long, uid long, source_doc_id long, source_uid long, start long, end long, source_start long")
+    both = both.select(_back("doc").alias("doc_id"), "uid", _back("source_doc").alias("source_doc_id"), "source_uid", "start", "end", (F.col("start") - F.col("apart")).cast("long").alias("source_start"), "before_0", "before_1", "after_0", "after_1")
+    found = stage(both.mapInArrow(_extended(params), "doc_id long, uid long, source_doc_id long, source_uid long, start long, end long, source_start long"), "found")
+    return found.unionByName(_others(docs, pairs, found, params))
+
+
+def _others(docs: DataFrame, shared: DataFrame, found: DataFrame, params: SuffixParams) -> DataFrame:
+    """Repeats like `found` that lie in none of the found passages, run by run of `words` words."""
+    first = F.col("at") - F.col("lead")
+    places = shared.select("uid", "doc", F.struct(first.alias("start"), (first + F.col("runs")).alias("end"), F.lit(True).alias("open")).alias("place"))
+    settled = found.select("uid", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.struct(F.col("start").cast("int").alias("start"), (F.col("end") - params.words + 1).cast("int").alias("end"), F.lit(False).alias("open")).alias("place"))
+    # A document has no more places than words, since each passage found comes from a suffix of its own.
+    places = places.unionByName(settled).groupBy("uid", "doc").agg(F.collect_list("place").alias("places"))
+    starts = places.mapInArrow(_unsettled(params), "uid long, doc long, starts array<int>")
+    whole = stage(docs.select("uid", "text").join(starts, "uid").mapInArrow(_whole_runs(params), "doc long, uid long, at int, key long"), "whole")
+    me = F.struct("doc", "uid", "at")
+    sources = whole.groupBy("key").agg(F.count("*").alias("_n"), F.min(me).alias("first")).filter("_n > 1").select("key", "first")
+    # A sort-merge join, so that a run in very many documents can be split among tasks.
+    linked = whole.join(sources.hint("merge"), "key").filter(me != F.col("first")).select("doc", "uid", "at", F.col("first.doc").alias("source_doc"), F.col("first.uid").alias("source_uid"), (F.col("at") - F.col("first.at")).alias("apart"))
+    return _runs(linked, params.words).select(_back("doc").alias("doc_id"), "uid", _back("source_doc").alias("source_doc_id"), "source_uid", "start", "end", (F.col("start") - F.col("apart")).cast("long").alias("source_start"))
 
 
 def repeats(documents: DataFrame, params: SuffixParams | None = None) -> DataFrame:

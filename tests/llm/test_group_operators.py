@@ -166,6 +166,32 @@ def test_repeats(docs, empty, part):
     assert sparse_suffixes.repeats(empty).count() == 0 and sparse_suffixes.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("part", [20_000, 2])
+def test_a_passage_around_a_hot_line(spark, part):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    params = sparse_suffixes.SuffixParams(part=part)
+    made = []
+    for _ in range(6):
+        while True:  # every selected gram of the passage lies in the line
+            line = word(40)
+            passage = word(12) + line + word(12)
+            at, _ = sparse_suffixes.selected(sparse_suffixes.WORDS.of(passage), params)
+            if 12 <= at.min() and at.max() + params.gram <= 52:
+                break
+        n = len(made)
+        made += [(n + k, " ".join(word(30) + (passage if k in (4, 30) else line) + word(30))) for k in range(40)]
+    want = {i: v for (i, _), v in repeated_words(made).items() if v}
+    assert len(want) == 6
+    texts = {i: t.split() for i, t in made}
+    got = defaultdict(set)
+    for r in sparse_suffixes.repeats(spark.createDataFrame(made, "doc_id long, text string"), params).collect():
+        n = r.end_word - r.start_word
+        assert n >= 50 and r.source_doc_id < r.doc_id and texts[r.doc_id][r.start_word : r.end_word] == texts[r.source_doc_id][r.source_start_word : r.source_start_word + n]
+        got[r.doc_id].update(range(r.start_word, r.end_word))
+    assert got == want
+
+
 def test_gram_hashes_depend_on_content_only():
     x = np.random.default_rng(5).integers(0, 2**63, 200).astype(np.uint64)
     a, b = gram_hashes(np.concatenate([x[:50], x[:50]]), 7), gram_hashes(x[:50], 7)
