@@ -5,6 +5,10 @@ put in lexicographic order of keys. Each vector is compared with the next `windo
 are united. The number of passes follows from the largest label: near vectors must agree in about log2(rows / window)
 leading bits to meet in a window, so passes are added until a pair at the threshold is met with the target recall.
 
+That number holds where unrelated vectors agree on about half of the bits. Vectors in a cone agree on more, and then near
+ones are missed. So labels of up to `exact` classes make no passes: all their vectors are compared with each other, as
+groups are, which sends no more rows than the passes would. Larger labels have passes alone.
+
 Pairs missed inside a dense group do no harm: links are not counted in the windows. The passes only have to connect a
 group; then all its members are compared with each other exactly, in blocks, in double precision.
 
@@ -41,6 +45,7 @@ class PassParams:
     recall: float = 0.9999
     least_passes: int = 8
     block: int = 1024
+    exact: int = 20_000
     seed: int = 5
 
 
@@ -145,19 +150,24 @@ def near_duplicates(embeddings: DataFrame, params: PassParams | None = None) ->
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
     classes = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = stage(classes, "classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    passes = passes_needed(largest, params)
-
-    keyed = stage(classes.select("label", "embedding", "rep").mapInArrow(_keyed(params.seed, passes), "pass int, label long, key long, rep long, embedding array<float>"), "keys")
-    ordered = keyed.repartitionByRange("pass", "label", "key", "rep").sortWithinPartitions("pass", "label", "key", "rep")
-    united = connected_components(ordered.mapInArrow(_windows(params), "a long, b long").distinct())
-
-    grouped = classes.join(united.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("root", "rep")).drop("root")
+    sizes = classes.groupBy("label").agg(F.count("*").alias("_size"))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    # The label and the length are in the group, since rows of several labels may share a vec_id.
+    grouped = classes.withColumn("group", F.xxhash64("label", F.size("embedding")))
+    if largest > params.exact:
+        large = classes.join(sizes, "label").filter(F.col("_size") > params.exact).drop("_size")
+        small = grouped.join(sizes, "label").filter(F.col("_size") <= params.exact).drop("_size")
+        passes = passes_needed(largest, params)
+        keyed = stage(large.select("label", "embedding", "rep").mapInArrow(_keyed(params.seed, passes), "pass int, label long, key long, rep long, embedding array<float>"), "keys")
+        ordered = keyed.repartitionByRange("pass", "label", "key", "rep").sortWithinPartitions("pass", "label", "key", "rep")
+        united = connected_components(ordered.mapInArrow(_windows(params), "a long, b long").distinct())
+        found = large.join(united.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.xxhash64("label", F.size("embedding"), F.coalesce("root", "rep"))).drop("root")
+        grouped = small.unionByName(found)
     many = grouped.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
     pairs = block_pairs(grouped.join(many, "group", "left_semi"), "group", "rep", params.block)
     seen = stage(pairs.groupBy("group", "_i", "_j").applyInPandas(_counted(params), "rep long, links long, root long"), "links")
     counts = seen.groupBy("rep").agg(F.sum("links").alias("links"))
-    final = connected_components(seen.select(F.col("root").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "rep")
+    final = connected_components(seen.filter("root != rep").select(F.col("root").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "rep")
 
     known = classes.join(counts, "rep", "left").join(final, "rep", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     inside = rows.filter(usable).join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")

@@ -124,6 +124,33 @@ def test_near_duplicate_vectors(spark):
     assert sorted_passes.near_duplicates(x.limit(0)).count() == 0
 
 
+def test_near_duplicate_vectors_by_passes(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(6, 16))
+    x = np.array([centre[i % 6] + rng.normal(size=16) * 0.12 for i in range(120)], np.float32)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(120) % 5 // 2  # 0 and 1 are large
+    links = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(exact=30)).collect()}
+    assert got == {i: int(links[i].sum()) - 1 for i in range(120)}
+
+
+def test_near_duplicates_in_a_cone(spark):
+    rng = np.random.default_rng(4)
+    side = lambda n: (v := rng.normal(size=(n, 64))) / np.linalg.norm(v, axis=1, keepdims=True)
+    x = 0.8**0.5 * np.eye(64)[0] + 0.2**0.5 * side(3000)  # unrelated vectors have a cosine of 0.8
+    x[2000:] = x[:1000] / np.linalg.norm(x[:1000], axis=1, keepdims=True) + 0.37 * side(1000)
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.93, 1))
+    count, group = Counter(links.ravel().tolist()), roots(3000, links.tolist())
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_passes.near_duplicates(frame).collect()}
+    wrong = sum(got[i] != (count[i], group[i]) for i in range(3000))
+    assert len(links) > 500 and wrong == 0, f"{wrong} wrong of {len(count)} linked, {len(links)} links"
+
+
 def test_passes_grow_with_rows():
     p = sorted_passes.PassParams()
     assert sorted_passes.passes_needed(100, p) == p.least_passes < sorted_passes.passes_needed(10**5, p) < sorted_passes.passes_needed(10**8, p)
