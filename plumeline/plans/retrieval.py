@@ -126,9 +126,31 @@ s AS (SELECT query_id, doc_id, round(sum(round(q.w * d.w, 9)::DECIMAL(28, 9)), 6
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM s)"""
 
 
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("term", "w")).select("vec_id", "term", F.col("w").cast("double").alias("w")).filter("w > 0.05")
+    q = w.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    return sparse_scores(q, w.withColumnRenamed("vec_id", "doc_id")).filter("query_id <> doc_id")
+
+
 @register("sparse_topk", f"WITH {_SPARSE} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned-sparse retrieval by an inverted index: coordinates over 0.05 stand for term weights."""
-    w = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("term", "w")).select("vec_id", "term", F.col("w").cast("double").alias("w")).filter("w > 0.05")
-    q = w.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    return top_k(sparse_scores(q, w.withColumnRenamed("vec_id", "doc_id")).filter("query_id <> doc_id"), 100)
+    return top_k(_sparse(spark, sf_dir), 100)
+
+
+@register("hybrid_three_topk", f"""WITH {_MAXSIM}, q2 AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+dense AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(list_transform(qv, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM q2 CROSS JOIN embeddings WHERE query_id <> vec_id),
+w AS (SELECT vec_id, unnest(range(64)) AS term, unnest(embedding)::DOUBLE AS w FROM embeddings),
+sparse AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(sum(round(a.w * b.w, 9)::DECIMAL(28, 9)), 6)::DOUBLE AS score FROM w a JOIN w b ON a.term = b.term AND a.w > 0.05 AND b.w > 0.05 WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+b AS (SELECT d.query_id, d.doc_id, d.score AS s1, coalesce(p.score, 0) AS s2, m.score AS s3 FROM dense d JOIN maxsim m USING (query_id, doc_id) LEFT JOIN sparse p USING (query_id, doc_id)),
+f AS (SELECT query_id, doc_id, round((s1 - avg(s1) OVER w) / greatest(stddev_samp(s1) OVER w, 1e-6) + 0.3 * (s2 - avg(s2) OVER w) / greatest(stddev_samp(s2) OVER w, 1e-6) + (s3 - avg(s3) OVER w) / greatest(stddev_samp(s3) OVER w, 1e-6), 6) AS score FROM b WINDOW w AS (PARTITION BY query_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM f)
+SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 20""")
+def hybrid_three_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense, sparse and MaxSim scores standardised per query and added with weights 1, 0.3 and 1; no common term is a sparse 0."""
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    dense = dense_scores(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))).filter("query_id <> doc_id")
+    both = dense.withColumnRenamed("score", "dense").join(_maxsim(spark, sf_dir).withColumnRenamed("score", "maxsim"), ["query_id", "doc_id"])
+    every = both.join(_sparse(spark, sf_dir).withColumnRenamed("score", "sparse"), ["query_id", "doc_id"], "left").fillna(0.0, ["sparse"])
+    return top_k(zscore_fusion(every, {"dense": 1.0, "sparse": 0.3, "maxsim": 1.0}), 20)
