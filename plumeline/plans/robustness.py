@@ -59,6 +59,14 @@ def stage_delta_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_delta(_headline(rows.filter("query_id % 2 = 0"), "rank_clean"), _headline(rows.filter("query_id % 3 = 0"), "rank_noisy"), ["user_id"], ["mrr", "hit10"])
 
 
+@register("stage_delta_all", f"""WITH {OUTCOMES_SQL} SELECT user_id, round(avg(coalesce(1.0 / rank_noisy, 0)) - avg(coalesce(1.0 / rank_clean, 0)), 6) AS mrr_delta,
+round(avg(coalesce((rank_noisy <= 10)::INTEGER, 0)) - avg(coalesce((rank_clean <= 10)::INTEGER, 0)), 6) AS hit10_delta FROM outcomes GROUP BY user_id""")
+def stage_delta_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy metrics against clean ones over all documents; `stage_delta` has a user on one side or both."""
+    rows = outcomes(spark, sf_dir)
+    return stage_delta(_headline(rows, "rank_clean"), _headline(rows, "rank_noisy"), ["user_id"], ["mrr", "hit10"])
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty documents in a row are the candidates of one query; the score stands in for a model's."""
     d = table(spark, sf_dir, "documents")

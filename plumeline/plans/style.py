@@ -175,7 +175,7 @@ def audit_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("audit_stability")
 def audit_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How refits on subsamples agree with the full fit."""
-    return G.stability(style_vectors(spark, sf_dir), rounds=5)
+    return G.stability(style_vectors(spark, sf_dir))
 
 
 @register("pair_selection", f"""WITH {_PARAMS_SQL}, pu AS (SELECT DISTINCT asin, user_id FROM vectors WHERE split = 'profile'),

@@ -164,3 +164,24 @@ def test_corpus_rules(spark):
     text = "It is 10 x 20 x 30 inches. It weighs 5 pounds. A Lovely Big Wooden Table. It lasts."
     assert one(spark, C.without_restated(F.lit(text), F.lit("10 x 20 x 30"), F.lit("5 pounds"), F.lit("A Lovely Big Wooden Table"))) == "It lasts."
     assert one(spark, C.without_title(F.array(F.lit("A Lovely Big Table!"), F.lit("Strong")), F.lit("A Lovely Big Table"))) == ["Strong"]
+
+
+def test_audit_stability_has_twenty_rounds(spark):
+    from plumeline.plans.style import audit_stability
+    from plumeline.sources.tables import style_vectors
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.user_id: r.rho_median for r in audit_stability(spark, sf).collect()}
+    want = {r.user_id: r.rho_median for r in G.stability(style_vectors(spark, sf), rounds=20).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and got
+
+
+def test_stage_delta_all_reads_every_document(spark):
+    from plumeline.plans.robustness import outcomes, stage_delta_all_query
+
+    sf = "/root/testdata/sf0.001"
+    rows = [r for r in outcomes(spark, sf).collect() if r.user_id == "web"] or outcomes(spark, sf).collect()
+    user = rows[0].user_id
+    rows = [r for r in rows if r.user_id == user]
+    delta = sum(1 / (r.rank_noisy or float("inf")) - 1 / (r.rank_clean or float("inf")) for r in rows) / len(rows)
+    assert {r.user_id: r.mrr_delta for r in stage_delta_all_query(spark, sf).collect()}[user] == pytest.approx(delta, abs=1e-5)
