@@ -6,8 +6,9 @@ with equal content lengths are kept as one run. Its moves say which ranks of a l
 the pieces of a length and every piece looks up its place. Ranks are counted per (length, chunk) and offset by the
 chunks before, so a length that a third of all pieces have is still ranked in many tasks.
 
-Defined results: a null text is an empty one and has the single id 0. Repeated rows are packed as often as they come.
-An empty table gives no rows. Extra columns are not read.
+Defined results: a null text is an empty one and has the single id 0; a null doc_id stays null. Special tokens written
+out in a text are the ids that the library gives them. Repeated rows are packed as often as they come. An empty table
+gives no rows. `pack_documents` reads doc_id and text alone; `pack` carries all columns of its input.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from plumeline.llm.common import stage, whole_text
+from plumeline.llm.common import fresh, stage, whole_text
 
 
 class CapacityTree:
@@ -133,9 +134,12 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
+        added = [t["content"] for t in kind.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        #: How the added tokens begin, up to the first letter: without one of these a text holds none.
+        self.heads = sorted({re.match(r"[\W\d]*", t)[0] for t in added})
         if [n["type"] for n in kind["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this tokenizer normalises in another way")
         self.split = regex.compile(kind["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -145,8 +149,8 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _OTHER.search(text):
+        """Little-endian unsigned 32-bit ids. Texts with an added token, in whatever case, go through the library whole."""
+        if _OTHER.search(text) or (any(h in text for h in self.heads) and self.added.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         pieces = unicodedata.normalize("NFC", text).lower().split()
         known = self.known
@@ -200,27 +204,34 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int) -> Da
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, capacity: int, chunk_bits: int = 20) -> DataFrame:
-    """`pieces` (with a `length` from 1 to capacity) and their sequence_id and offset, by best-fit decreasing."""
-    numbered = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    # Chunks of about 2**chunk_bits rows, so their table of offsets is far smaller than the pieces.
-    chunks = max(1, -(-numbered.count() // (1 << chunk_bits)))
-    numbered = numbered.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(7), "_row"), F.lit(chunks)))
-    counts = stage(numbered.groupBy("length", "_chunk").agg(F.count("*").alias("_n")), "lengths")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # <= capacity rows
+def pack(pieces: DataFrame, capacity: int, chunk_bits: int = 20, least_chunks: int = 64) -> DataFrame:
+    """`pieces` (with a `length` from 1 to capacity) and their sequence_id and offset, by best-fit decreasing.
+
+    Other columns, null ids among them, are carried along; input columns named sequence_id or offset give way.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
+    row, chunk, n, before, local, rank = (fresh(pieces.columns, c) for c in ("_row", "_chunk", "_n", "_before", "_local", "_rank"))
+    numbered = stage(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    # Chunks of at most about 2**chunk_bits rows, so their table of offsets is far smaller than the pieces; never fewer
+    # than `least_chunks`, since pieces of full length may be most of them and share one group in a chunk.
+    chunks = max(least_chunks, -(-numbered.count() // (1 << chunk_bits)))
+    numbered = numbered.withColumn(chunk, F.pmod(F.xxhash64(F.lit(7), row), F.lit(chunks)))
+    counts = stage(numbered.groupBy("length", chunk).agg(F.count("*").alias(n)), "lengths")
+    histogram = {r.length: r.total for r in counts.groupBy("length").agg(F.sum(n).alias("total")).collect()}  # <= capacity rows
     moves, _ = best_fit_moves(histogram, capacity)
     by_length: dict[int, list[Move]] = defaultdict(list)
     for m in moves:
         by_length[m.length].append(m)
     tables = {length: np.array([(m.rank, m.first, m.each, m.offset) for m in ms], np.int64).T for length, ms in by_length.items()}
 
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("_row")) - 1
-    ranked = numbered.withColumn("_local", local).join(before, ["length", "_chunk"]).withColumn("_rank", F.col("_local") + F.col("_before"))
+    earlier = F.sum(n).over(Window.partitionBy("length").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("length", chunk, F.coalesce(earlier, F.lit(0)).alias(before))
+    place_ = F.row_number().over(Window.partitionBy("length", chunk).orderBy(row)) - 1
+    ranked = numbered.withColumn(local, place_).join(offsets, ["length", chunk]).withColumn(rank, F.col(local) + F.col(before))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, ranks = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            lengths, ranks = batch.column("length").to_numpy(), batch.column(rank).to_numpy()
             sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
@@ -229,11 +240,11 @@ def pack(pieces: DataFrame, capacity: int, chunk_bits: int = 20) -> DataFrame:
                 within = ranks[at] - start[k]
                 sequence[at] = first[k] + within // each[k]
                 offset[at] = begin[k] + within % each[k] * length
-            keep = [n for n in batch.schema.names if n != "_rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
+            keep = [c for c in batch.schema.names if c != rank]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     out = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(place, out)
+    return ranked.select(*pieces.columns, rank).mapInArrow(place, out)
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

@@ -166,9 +166,8 @@ def test_moves_are_best_fit_decreasing(seed):
 def test_packing(docs, empty, bits):
     path = P.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     pieces = best_fit.token_pieces(docs, path, 64)
-    got = best_fit.pack(pieces, 64, bits).collect()
+    got = best_fit.pack(pieces, 64, bits, least_chunks=3).collect()
     want, lengths = Counter(), []
     for i, t in TEXTS:
         ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
@@ -191,6 +190,21 @@ def test_packing(docs, empty, bits):
     assert best_fit.pack_documents(empty, path).count() == 0
 
 
+def test_special_tokens_are_the_librarys():
+    path = P.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), best_fit.WordTokenizer(path)
+    for text in ("<|endoftext|>", "a<|startoftext|>b <|endoftext|>c", "<|EndOfText|> x", "< |endoftext|> <|endoftext|", " <|endoftext|>  <|startoftext|>é", "<|x|> <|endoftext|><|endoftext|>"):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(own.ids("<|endoftext|>"), "<u4").tolist() == [49407]
+
+
+def test_packing_carries_clashing_names(spark):
+    made = [(None, k % 5 + 1, k, k, k, "x") for k in range(40)]
+    frame = spark.createDataFrame(made, "doc_id long, length long, _row int, _chunk int, _rank int, offset string")
+    got = best_fit.pack(frame, 8).collect()
+    assert sorted(r._row for r in got) == list(range(40)) and all(r._rank == r._row == r._chunk and isinstance(r.offset, int) for r in got)
+
+
 # ------------------------------------------------------------------------------------------------------------ byte BPE
 
 
