@@ -34,7 +34,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the tables that `stage` wrote for these frames; nothing that is still to be computed may read them."""
+    for frame in frames:
+        path = getattr(frame, "_staged_at", None)
+        if path:
+            where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(columns: list[str], name: str) -> str:

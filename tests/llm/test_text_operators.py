@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -103,6 +104,32 @@ def test_hypergeometric_variance():
     assert abs(np.mean(draws) - 375_000) < 100 and 350 < np.std(draws) < 620
 
 
+@pytest.mark.parametrize(("good", "bad", "drawn"), [(5, 9, 4), (40, 25, 30), (30, 400, 60), (500, 30, 100), (300, 200, 490), (20, 20, 39)])
+def test_hypergeometric_matches_its_law(good, bad, drawn):
+    rng, n = random.Random(5), 20_000
+    seen = Counter(shard_shuffle.hypergeometric(rng, good, bad, drawn) for _ in range(n))
+    law = {k: math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn) for k in range(max(0, drawn - bad), min(good, drawn) + 1)}
+    assert sum(law.values()) == pytest.approx(1) and set(seen) <= set(law)
+    cells = [(seen[k], n * p) for k, p in law.items() if n * p >= 8]
+    chi = sum((a - b) ** 2 / b for a, b in cells)
+    assert chi < len(cells) + 5 * math.sqrt(2 * len(cells)) + 5
+
+
+def test_every_place_is_equally_likely(spark):
+    frame, seen, rounds = spark.range(12).toDF("doc_id").coalesce(2), np.zeros((12, 12)), 60
+    for seed in range(rounds):
+        for r in shard_shuffle.shuffle_into_shards(frame, 3, seed=seed, chunk_bits=2).collect():
+            seen[r.doc_id, r.shard * 4 + r.slot] += 1
+    want = rounds / 12
+    assert ((seen - want) ** 2 / want).sum() < 121 + 5 * math.sqrt(242)
+
+
+def test_shards_keep_other_columns(spark):
+    frame = spark.createDataFrame([(i, i, -i, i, i) for i in range(30)], "doc_id long, _row int, _key int, _part int, slot int")
+    got = shard_shuffle.shuffle_into_shards(frame, 4, chunk_bits=3).collect()
+    assert all(r._row == r._part == r.doc_id == -r._key for r in got) and len(got) == 30
+
+
 # -------------------------------------------------------------------------------------------------------- fingerprints
 
 
