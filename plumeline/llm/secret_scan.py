@@ -1,13 +1,21 @@
 """Secret scanning with DataFrame functions only: three fixed patterns and a battery of randomness tests.
 
-Every long token outside the fixed patterns' finds gets an encoding (hexadecimal, base 32, base 36, base 64, letters or
-digits) and tests of the hypothesis that its symbols are drawn uniformly: chi-squared over the alphabet's symbols and
-over its classes (digits, capitals, vowels, other letters), runs above and below the middle symbol, and serial
-correlation of neighbours. Fisher's method combines their p-values. A
-token counts as random unless Benjamini and Hochberg's procedure rejects that within its length stratum, and it must be
-long enough for ordinary text, whose letters agree in about 6.5 % of pairs, to fail the chi-squared test. The
-procedure's ranks come from a histogram of p-values over all documents: at most 401 bins for each power of two of
-length, so what reaches the driver is bounded whatever the corpus holds.
+Every long token outside the fixed patterns' finds gets an encoding (digits, hexadecimal, letters, base 32, base 36,
+base 64) and two questions.
+
+Are its symbols drawn uniformly from that alphabet? Chi-squared over the symbols and over their classes (digits,
+capitals, vowels, other letters), runs above and below the middle symbol, and serial correlation of neighbours; Fisher's
+method combines their p-values. Tokens for which Benjamini and Hochberg's procedure rejects this are not secrets, so the
+rate bounds the share of secrets among the tokens lost here.
+
+Could it be ordinary text? The likelihood ratio of the uniform alphabet against a text model (how letters, capitals,
+digits and signs follow each other, how common a letter is) has a mean of at most 1 over text, so its inverse bounds the
+p-value of text by Markov's inequality, whatever the length: a short token must be the odder for it. The procedure runs
+on these p-values too; only tokens for which text is rejected are reported, so the rate bounds the share of text-like
+tokens among the finds. There is no minimal length but the pattern's 20.
+
+Both procedures run within strata of length (powers of two). Their ranks come from a histogram of p-values over all
+documents: at most 2 x 401 bins for each stratum, so what reaches the driver is bounded whatever the corpus holds.
 
 Defined results: a null text is an empty one and has no spans; spans are in code points, end exclusive. Texts are
 scanned whole. Repeated rows give repeated rows. An empty table gives no rows. Extra columns are not read by `scan`.
@@ -15,6 +23,8 @@ scanned whole. Repeated rows give repeated rows. An empty table gives no rows. E
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +47,26 @@ ENCODINGS = (
 )
 #: Classes of symbols for the coarse chi-squared test; what is in none of them is the last class.
 CLASSES = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiou")
-#: How often two letters of ordinary text agree.
-TEXT_AGREES = 0.065
+# How often each letter of English text occurs, in thousandths, and how often a lower-case letter, a
+# capital, a digit or a sign follows each of them in names, paths and text.
+LETTERS = {
+    "a": 82, "b": 15, "c": 28, "d": 43, "e": 127, "f": 22, "g": 20, "h": 61, "i": 70, "j": 2, "k": 8, "l": 40, "m": 24, "n": 67, "o": 75, "p": 19, "q": 1, "r": 60, "s": 63, "t": 91, "u": 28, "v": 10, "w": 24, "x": 2, "y": 20, "z": 1,
+}
+FOLLOWS = ((0.88, 0.05, 0.02, 0.05), (0.55, 0.35, 0.05, 0.05), (0.08, 0.07, 0.70, 0.15), (0.55, 0.20, 0.20, 0.05))
+SYMBOLS = ENCODINGS[-1][2]
 #: Histogram of p-values: 20 bins for each factor of ten, down to 1e-20.
 BINS_PER_DECADE, LAST_BIN = 20, 400
 
+
+
+def text_model() -> tuple[list[int], list[float], list[float]]:
+    """For each of SYMBOLS its kind (0 lower, 1 capital, 2 digit, 3 sign) and log-probability within the kind; for each pair of kinds (4 x before + after) the log-probability of the step."""
+    kinds = [0 if s.islower() else 1 if s.isupper() else 2 if s.isdigit() else 3 for s in SYMBOLS]
+    signs, letters = kinds.count(3), sum(LETTERS.values())
+    within = [log(LETTERS[s.lower()] / letters) if k < 2 else -log(10 if k == 2 else signs) for s, k in zip(SYMBOLS, kinds, strict=True)]
+    return kinds, within, [log(p) for row in FOLLOWS for p in row]
+
+
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -83,8 +108,13 @@ def _log_tails(scores: Column) -> Column:
     return F.transform(F.transform(near, tail), lambda s: F.log(F.greatest(F.when(s["z"] >= 0, s["upper"]).otherwise(1 - s["upper"]) * s["sides"], F.lit(1e-30))))
 
 
+def _bin(log_p: Column) -> Column:
+    """The histogram bin of a p-value, by its decimal logarithm; small ones have large bins."""
+    return F.greatest(F.lit(0), F.least(F.lit(LAST_BIN), F.floor(-log_p * BINS_PER_DECADE).cast("int")))
+
+
 def _tested(tokens: Column) -> Column:
-    """array<struct<start,end,text>> -> array<struct<start,end,stratum,bin,apt>>."""
+    """array<struct<start,end,text>> -> array<struct<start,end,stratum,uneven,odd>>: bins of p-values, of uniform symbols and of text."""
 
     def encoded(c: Column) -> Column:
         alphabet = F.lit(ENCODINGS[-1][2])
@@ -104,7 +134,20 @@ def _tested(tokens: Column) -> Column:
         n = F.length(c["text"]).cast("double")
         squares = F.aggregate(F.array_distinct(symbols), F.lit(0.0), lambda acc, s: acc + F.pow(n - F.length(F.replace(c["text"], s, F.lit(""))), F.lit(2.0)))
         places = F.transform(symbols, lambda s: F.call_function("instr", c["alphabet"], s).cast("double"))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), F.length(c["alphabet"]).cast("double").alias("k"), squares.alias("squares"), places.alias("at"), pairs.alias("classes"))
+        signs = F.transform(symbols, lambda s: F.call_function("instr", F.lit(SYMBOLS), s))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), n.alias("n"), F.length(c["alphabet"]).cast("double").alias("k"), squares.alias("squares"), places.alias("at"), pairs.alias("classes"), signs.alias("signs"))
+
+    def compared(c: Column) -> Column:
+        """ln of the likelihood under the uniform alphabet over that under the text model."""
+        kinds, within, steps = (F.array(*map(F.lit, x)) for x in text_model())
+
+        def follow(a: Column, i: Column) -> Column:
+            kind = F.element_at(kinds, i)
+            step = F.when(a["kind"] < 0, F.lit(-log(4))).otherwise(F.element_at(steps, F.greatest(4 * a["kind"] + kind + 1, F.lit(1))))
+            return F.struct(kind.alias("kind"), (a["sum"] + step + F.element_at(within, i)).alias("sum"))
+
+        text = F.aggregate(c["signs"], F.struct(F.lit(-1).alias("kind"), F.lit(0.0).alias("sum")), follow, lambda a: a["sum"])
+        return F.struct(*[c[x].alias(x) for x in ("start", "end", "n", "k", "squares", "at", "classes")], (-c["n"] * F.log(c["k"]) - text).alias("odds"))
 
     def summed(c: Column) -> Column:
         middle = (c["k"] + 1) / 2
@@ -114,7 +157,7 @@ def _tested(tokens: Column) -> Column:
             crossed = (a["last"] == 0) | ((a["last"] > middle) != (x > middle))
             return F.struct(x.alias("last"), (a["high"] + (x > middle).cast("double")).alias("high"), (a["runs"] + crossed.cast("double")).alias("runs"), (a["sum"] + x).alias("sum"), (a["sq"] + x * x).alias("sq"), (a["lag"] + a["last"] * x).alias("lag"))
 
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["n"].alias("n"), c["k"].alias("k"), c["squares"].alias("squares"), c["classes"].alias("classes"), F.aggregate(c["at"], zero, step).alias("s"), c["at"][0].alias("first"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["n"].alias("n"), c["k"].alias("k"), c["squares"].alias("squares"), c["classes"].alias("classes"), F.aggregate(c["at"], zero, step).alias("s"), c["at"][0].alias("first"), c["odds"].alias("odds"))
 
     def measured(c: Column) -> Column:
         n, k, s = c["n"], c["k"], c["s"]
@@ -123,7 +166,7 @@ def _tested(tokens: Column) -> Column:
         coarse = F.aggregate(used, F.lit(0.0), lambda a, x: a + x["seen"] * x["seen"] * k / (n * x["size"])) - n
         mean = s["sum"] / n
         around = s["lag"] - mean * (2 * s["sum"] - c["first"] - s["last"]) + (n - 1) * mean * mean
-        values = {"start": c["start"], "end": c["end"], "n": n, "k": k, "chi": k / n * c["squares"] - n, "coarse": coarse, "wide": F.size(used) - 1, "runs": s["runs"], "expected": 1 + 2 * s["high"] * low / n, "around": around, "variance": s["sq"] - n * mean * mean}
+        values = {"start": c["start"], "end": c["end"], "n": n, "k": k, "chi": k / n * c["squares"] - n, "coarse": coarse, "wide": F.size(used) - 1, "runs": s["runs"], "expected": 1 + 2 * s["high"] * low / n, "around": around, "variance": s["sq"] - n * mean * mean, "odds": c["odds"]}
         return F.struct(*[v.alias(name) for name, v in values.items()])
 
     def scored(c: Column) -> Column:
@@ -136,17 +179,14 @@ def _tested(tokens: Column) -> Column:
         serial = F.when(c["variance"] > 1e-9, F.abs(c["around"] / c["variance"] + 1 / c["n"]) * F.sqrt(c["n"])).otherwise(F.lit(37.0))
         scores = F.array(*[F.struct(z.alias("z"), F.lit(sides).alias("sides")) for z, sides in ((cube(c["chi"], c["k"] - 1), 1.0), (coarse, 1.0), (runs, 2.0), (serial, 2.0))])
         half = -F.aggregate(_log_tails(scores), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["n"].alias("n"), c["k"].alias("k"), half.alias("half"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["n"].alias("n"), c["odds"].alias("odds"), half.alias("half"))
 
     def judged(c: Column) -> Column:
-        n, k, half = c["n"], c["k"], c["half"]
-        log_p = (-half + F.log(1 + half + half * half / 2 + half * half * half / 6)) / F.log(F.lit(10.0))  # chi-squared, 8 degrees
-        apart = (n - 1) * (k * TEXT_AGREES - 1) >= 6 * F.sqrt(2 * (k - 1))  # text fails the test by six deviations
-        apt = F.when(k == 16, F.lit(True)).when(k == 10, n >= 40).otherwise(apart)
-        bin_ = F.greatest(F.lit(0), F.least(F.lit(LAST_BIN), F.floor(-log_p * BINS_PER_DECADE).cast("int")))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.floor(F.log2(n)).cast("int").alias("stratum"), bin_.alias("bin"), apt.alias("apt"))
-
-    for f in (encoded, counted, summed, measured, scored, judged):
+        n, half, ten = c["n"], c["half"], F.log(F.lit(10.0))
+        log_p = (-half + F.log(1 + half + half * half / 2 + half * half * half / 6)) / ten  # chi-squared, 8 degrees
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.floor(F.log2(n)).cast("int").alias("stratum"), _bin(log_p).alias("uneven"), _bin(-c["odds"] / ten).alias("odd"))
+
+    for f in (encoded, counted, compared, summed, measured, scored, judged):
         tokens = F.transform(tokens, f)
     return tokens
 
@@ -157,22 +197,31 @@ def _tokens(text: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
 
 
-def rejection_bins(documents: DataFrame, rate: float) -> dict[int, int]:
-    """By length stratum, the first bin of p-values at which randomness is rejected at false-discovery rate `rate`."""
-    tested = documents.select(F.explode(_tested(_tokens(whole_text()))).alias("t")).select("t.stratum", "t.bin")
-    counts = tested.groupBy("stratum", "bin").agg(F.count("*").alias("n"))  # <= strata x 401 rows
-    w = Window.partitionBy("stratum")
+def rejection_bins(documents: DataFrame, rate: float) -> dict[str, dict[int, int]]:
+    """For `uneven` and `odd`, by length stratum: the first bin of p-values that is rejected at false-discovery rate `rate`."""
+    tested = documents.select(F.explode(_tested(_tokens(whole_text()))).alias("t"))
+    both = F.array(*[F.struct(F.lit(test).alias("test"), F.col(f"t.{test}").alias("bin")) for test in ("uneven", "odd")])
+    rows = tested.select("t.stratum", F.explode(both).alias("b")).select("stratum", "b.test", "b.bin")
+    counts = rows.groupBy("test", "stratum", "bin").agg(F.count("*").alias("n"))  # <= strata x 2 x 401 rows
+    w = Window.partitionBy("test", "stratum")
     at_most = F.sum("n").over(w.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0))
     edge = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
     passed = counts.withColumn("_ok", edge <= rate * at_most / F.sum("n").over(w)).filter("_ok")
-    return {r.stratum: r.first for r in passed.groupBy("stratum").agg(F.min("bin").alias("first")).collect()}
+    found: dict[str, dict[int, int]] = {"uneven": {}, "odd": {}}
+    for r in passed.groupBy("test", "stratum").agg(F.min("bin").alias("first")).collect():
+        found[r.test][r.stratum] = r.first
+    return found
 
 
-def _spans(text: Column, bins: dict[int, int]) -> tuple[Column, Column]:
+def _spans(text: Column, bins: dict[str, dict[int, int]]) -> tuple[Column, Column]:
     """(base spans, random spans) columns."""
-    first = F.create_map(*[F.lit(x) for kv in (bins or {-1: 0}).items() for x in kv])
+
+    def first(test: str, stratum: Column) -> Column:
+        known = F.create_map(*[F.lit(x) for kv in (bins[test] or {-1: 0}).items() for x in kv])
+        return F.coalesce(F.try_element_at(known, stratum), F.lit(LAST_BIN + 1))
+
     base = _base_spans(text)
-    kept = F.filter(_tested(_tokens(text)), lambda t: t["apt"] & (t["bin"] < F.coalesce(F.try_element_at(first, t["stratum"]), F.lit(LAST_BIN + 1))))
+    kept = F.filter(_tested(_tokens(text)), lambda t: (t["odd"] >= first("odd", t["stratum"])) & (t["uneven"] < first("uneven", t["stratum"])))
     return base, F.transform(kept, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
 
 

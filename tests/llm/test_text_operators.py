@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumeline.llm import best_fit, bucket_digest, byte_bpe, secret_scan, shard_shuffle
@@ -56,6 +57,84 @@ def test_random_tokens_are_found_and_names_are_not(spark):
     assert not any(got[200 + i] for i in range(len(names)))
 
 
+def plain_p_values(token):
+    """(log10 p of uniform symbols, log10 p of text), with the formulas of textbooks."""
+    alphabet = next(a for _, pattern, a in secret_scan.ENCODINGS if re.search(pattern, token))
+    text = token if alphabet == secret_scan.SYMBOLS else token.lower()
+    n, k = len(text), len(alphabet)
+    at = np.array([alphabet.index(c) + 1 for c in text], float)
+
+    def tail(z):
+        return max(math.erfc(z / math.sqrt(2)) / 2, 1e-30)
+
+    def chi_tail(seen, share):  # Wilson and Hilferty
+        seen, want = np.array(seen, float), n * np.array(share)
+        df = len(seen) - 1
+        if not df:
+            return 0.5
+        x = ((seen - want) ** 2 / want).sum()
+        return tail(((max(x, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+    def kind(c):
+        return next((j for j, m in enumerate(secret_scan.CLASSES) if c in m), 3)
+
+    kinds, size = [kind(c) for c in text], [sum(kind(c) == j for c in alphabet) for j in range(4)]
+    used = [j for j in range(4) if size[j]]
+    p = [chi_tail([text.count(c) for c in alphabet], [1 / k] * k), chi_tail([kinds.count(j) for j in used], [size[j] / k for j in used])]
+    high = at > (k + 1) / 2
+    h, low = high.sum(), n - high.sum()
+    expected, runs = 1 + 2 * h * low / n, 1 + (high[1:] != high[:-1]).sum()
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    p.append(2 * tail(abs(runs - expected) / math.sqrt(spread)) if spread > 0 else 1e-30)
+    off = at - at.mean()
+    p.append(2 * tail(abs((off[1:] * off[:-1]).sum() / (off**2).sum() + 1 / n) * math.sqrt(n)) if (off**2).sum() > 1e-9 else 1e-30)
+    half = -sum(map(math.log, p))
+    uneven = (-half + math.log(sum(half**j / math.factorial(j) for j in range(4)))) / math.log(10)
+
+    total = sum(secret_scan.LETTERS.values())
+    sorts = ["lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "sign" for c in text]
+    order = ["lower", "upper", "digit", "sign"]
+    ln = math.log(0.25) + sum(math.log(secret_scan.FOLLOWS[order.index(a)][order.index(b)]) for a, b in zip(sorts, sorts[1:], strict=False))
+    ln += sum(math.log(secret_scan.LETTERS[c.lower()] / total) if c.isalpha() else -math.log(10 if c.isdigit() else 4) for c in text)
+    return uneven, -(-n * math.log(k) - ln) / math.log(10)
+
+
+def test_statistics_match_the_textbook(spark):
+    rng = random.Random(9)
+    alphabets = [a for _, _, a in secret_scan.ENCODINGS]
+    tokens = ["".join(rng.choices(a, k=rng.randint(20, 60))) for a in alphabets for _ in range(12)] + ["CamelCaseIdentifierWithManyWords", "a_very_long_snake_case_identifier", "A" * 30, "2024-01-02-03-04-05-06", "ABCDEFGHIJKLMNOPQRST234567"]
+    frame = spark.createDataFrame(list(enumerate(tokens)), "i int, t string")
+    got = {r.i: r.x[0] for r in frame.select("i", secret_scan._tested(secret_scan._tokens(F.col("t"))).alias("x")).collect()}
+    for i, token in enumerate(tokens):
+        want = [max(0, min(secret_scan.LAST_BIN, math.floor(-x * secret_scan.BINS_PER_DECADE))) for x in plain_p_values(token)]
+        assert abs(got[i].uneven - want[0]) <= 1 and abs(got[i].odd - want[1]) <= 1 and got[i].stratum == int(math.log2(len(token))), token
+
+
+def test_rejections_are_benjamini_and_hochbergs(spark):
+    rng = random.Random(10)
+    tokens = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.randint(20, 40))) for _ in range(150)] + ["some_name_of_part_" + w * 2 for w in ("alpha", "beta", "gamma", "delta") * 40]
+    frame = spark.createDataFrame([(t,) for t in tokens], "text string")
+    got = secret_scan.rejection_bins(frame, 0.05)
+    tested = [r.x for r in frame.select(F.explode(secret_scan._tested(secret_scan._tokens(F.col("text")))).alias("x")).collect()]
+    for test in ("uneven", "odd"):
+        for stratum in {x.stratum for x in tested}:
+            p = sorted(10 ** (-x[test] / secret_scan.BINS_PER_DECADE) for x in tested if x.stratum == stratum)
+            passed = [v for k, v in enumerate(p, 1) if v <= 0.05 * k / len(p) * (1 + 1e-12)]
+            want = round(-math.log10(max(passed)) * secret_scan.BINS_PER_DECADE) if passed else None
+            assert got[test].get(stratum) == want
+
+
+@pytest.mark.parametrize(("alphabet", "length"), [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24), ("abcdefghijklmnopqrstuvwxyz0123456789", 24), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20), ("abcdefghijklmnopqrstuvwxyz", 32), ("0123456789ABCDEF", 24)])
+def test_short_secrets_of_every_encoding(spark, alphabet, length):
+    rng = random.Random(11)
+    words = "quick brown data config service manager handler index user account payment server client local share application component factory builder module version update default internal".split()
+    names = [[lambda w: "".join(x.title() for x in w), "_".join, "/".join, "-".join][k % 4](rng.sample(words, 6)) for k in range(400)]
+    texts = ["see " + "".join(rng.choices(alphabet, k=length)) + " here" for _ in range(200)] + [f"in {n} here" for n in names]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == f"random:4:{4 + length}" for i in range(200)) >= 170
+    assert sum(bool(got[200 + i]) for i in range(400)) <= 4
+
+
 def test_redaction(spark, docs, empty):
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert secret_scan.redact(docs).columns == docs.columns and KEY not in got[114].text
