@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,17 @@ def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ids in `ids`, a bounded table: of rows that share an id, the one with the smallest text hash.
+
+    So the result is no larger than `ids` however often an id comes; Spark prunes each partition to one row for an id
+    before the shuffle.
+    """
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    found = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    return found.withColumn("_first", F.row_number().over(order)).filter("_first = 1").drop("_first")
+
+
 class WordHash(dict):
     """64-bit hashes of words. A worker keeps at most `LIMIT` of them; beyond that it starts anew."""
 

@@ -7,7 +7,7 @@ runs its own passes, and the weights are averaged (parameter mixing). The averag
 thousand numbers, which tasks get with the function that scores.
 
 Defined results: a null text is an empty one and has the bias alone for a score. Documents with a null label or a null
-doc_id are never learnt from; repeated labels of a document are learnt from once each; without any usable label every
+doc_id are never learnt from; repeated labels of a document are learnt from once each, and of rows that share a doc_id one text is; without any usable label every
 score is 0.5. Repeated rows give repeated rows. Extra columns are not read.
 """
 
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeline.llm.common import WORDS, mix, whole_text
+from plumeline.llm.common import WORDS, mix, one_text_each, stage, unstage, whole_text
 
 _WORD = regex.compile(r"[\p{L}\p{N}_']+")
 _MULTIPLIER, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
@@ -40,6 +40,8 @@ class FtrlParams:
     #: Toxic documents are few; each counts so many times.
     positive_weight: float = 8.0
     rows_per_shard: int = 12_000
+    #: A shard is one task; long texts make more shards.
+    features_per_shard: int = 16_000_000
     #: At most so many labelled rows are learnt from, chosen by a hash of their ids.
     max_rows: int = 24_000
 
@@ -82,17 +84,27 @@ def fit(documents: DataFrame, labels: DataFrame, params: FtrlParams) -> tuple[np
     usable = labels.filter("doc_id is not null and label in (0, 1)").select("doc_id", "label")
     # Bounded by max_rows, 12 bytes each.
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(params.max_rows)
-    shards = max(1, -(-sample.count() // params.rows_per_shard))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = one_text_each(docs, sample)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [features(t.as_py(), params.bits).astype(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["doc_id", "at"])
+
+    seen = stage(texts.mapInArrow(featured, "doc_id long, at array<int>").join(F.broadcast(sample), "doc_id"), "features")
+    size = seen.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("features")).first()
+    shards = max(1, -(-size.rows // params.rows_per_shard), -(-size.features // params.features_per_shard))
+    rows = seen.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf.sort_values(["doc_id", "text"])
-        at, w = train([(features(t, params.bits), int(y)) for t, y in zip(data["text"], data["label"], strict=True)], params)
+        data = pdf.assign(_size=pdf["at"].map(len)).sort_values(["doc_id", "label", "_size"])
+        at, w = train([(x.astype(np.int64), int(y)) for x, y in zip(data["at"], data["label"], strict=True)], params)
         return pd.DataFrame({"at": at, "w": w})
 
     mixed = rows.groupBy("shard").applyInPandas(learn, "at long, w double").groupBy("at").agg((F.sum("w") / shards).alias("w"))
     found = mixed.filter("w <> 0").toPandas().sort_values("at")  # what the L1 term leaves: a few thousand numbers
+    unstage(seen)
     return found["at"].to_numpy(np.int64), found["w"].to_numpy(np.float64)
 
 

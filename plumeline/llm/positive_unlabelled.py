@@ -9,7 +9,7 @@ share of positives that the unlabelled score distribution can hold, by the lowes
 
 Only a bounded sample (documented parameters) is learnt from, a vector of 40 numbers for each of its rows.
 Defined results: a null text is an empty one and gets its vector's score. Null or repeated labels: null is no positive,
-each positive row counts. With no positive or no document to learn from, every score is 0.5. Repeated rows give repeated
+each positive row counts, and of rows that share a doc_id one text is learnt from. With no positive or no document to learn from, every score is 0.5. Repeated rows give repeated
 rows. Extra columns are not read by `quality`; `keep_good` returns all columns it was given.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from plumeline.llm.common import fresh, whole_text
+from plumeline.llm.common import fresh, one_text_each, whole_text
 from plumeline.llm.ftrl import held_out
 
 _KIND = np.zeros(256, np.uint8)  # 0 symbol, 1 lower or non-ASCII, 2 capital, 3 digit, 4 space, 5 line end
@@ -148,7 +148,8 @@ def fit(documents: DataFrame, labels: DataFrame, params: PuParams) -> QualityMod
     # Bounded by max_positive + max_unlabelled ids of 8 bytes.
     open_ = docs.filter(~held_out(5, 0)).select("doc_id").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(params.max_unlabelled)
     sample = trusted.select("doc_id", F.lit(1).alias("trusted")).unionByName(open_.filter("doc_id is not null").select("doc_id", F.lit(0).alias("trusted")))
-    rows = _vectors(docs.join(F.broadcast(sample), "doc_id").select("trusted", "text")).toPandas()
+    # One text for an id, so the driver gets no more than the sample's rows.
+    rows = _vectors(one_text_each(docs, sample)).join(F.broadcast(sample), "doc_id").select("trusted", "x").toPandas()
     x = np.array(rows["x"].tolist(), np.float64).reshape(len(rows), len(_EMPTY))
     return fit_vectors(x[rows["trusted"] == 1], x[rows["trusted"] == 0], params)
 

@@ -1,5 +1,6 @@
 """Operators that compare documents or vectors with each other, the classifiers and the pipeline."""
 
+import math
 import os
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from plumeline.llm import blocks, connected, ftrl, lsh_forest, positive_unlabelled, sorted_passes, sparse_suffixes
+from plumeline.llm import blocks, common, connected, ftrl, lsh_forest, positive_unlabelled, sorted_passes, sparse_suffixes
 from plumeline.llm.common import fresh, gram_hashes, table
 from tests_rows import rows
 
@@ -277,6 +278,50 @@ def test_classifiers_take_any_row(docs, empty, labels):
     assert kept.columns == docs.columns and {r._score for r in kept.collect()} <= {0.5}
 
 
+def test_ftrl_matches_the_plain_recurrence():
+    rng = np.random.default_rng(12)
+    params = ftrl.FtrlParams(bits=5, alpha=0.5, l1=0.3, passes=2)
+    data = [(np.unique(rng.integers(0, 32, 6)), int(rng.random() < 0.4)) for _ in range(60)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= params.l1:
+            return 0.0
+        return -(z[i] - math.copysign(params.l1, z[i])) / ((params.beta + math.sqrt(n[i])) / params.alpha + params.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(params.passes):
+        for k in order.permutation(len(data)):
+            x, y = [*data[k][0].tolist(), 32], data[k][1]
+            g = (1 / (1 + math.exp(-sum(map(weight, x)))) - y) * (params.positive_weight if y else 1.0)
+            for i, w in [(i, weight(i)) for i in x]:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / params.alpha
+                z[i] += g - sigma * w
+                n[i] += g * g
+    at, w = ftrl.train(data, params)
+    assert dict(zip(at.tolist(), w, strict=True)) == pytest.approx({i: weight(i) for i in range(33) if weight(i)})
+
+
+def test_the_risk_step_is_the_gradient():
+    rng = np.random.default_rng(13)
+    p, u, theta = rng.normal(1, 1, (50, 4)), rng.normal(0, 1, (80, 4)), rng.normal(size=4)
+    soft = lambda g: np.log1p(np.exp(g))
+    for prior in (0.2, 0.95):
+        negative = lambda t: soft(u @ t).mean() - prior * soft(p @ t).mean()  # noqa: B023, E731
+        risk = lambda t: prior * soft(-(p @ t)).mean() + negative(t)  # noqa: B023, E731
+        f = (lambda t: -negative(t)) if negative(theta) < 0 else risk  # noqa: B023
+        numeric = [(f(theta + e) - f(theta - e)) / 2e-6 for e in np.eye(4) * 1e-6]
+        assert positive_unlabelled._risk_step(theta, p, u, prior) == pytest.approx(numeric, abs=1e-5)
+
+
+def test_learning_is_bounded_where_an_id_repeats(spark):
+    made = made_corpus(300, 8)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in made] + [(5, f"copy {k} of words") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in made], "doc_id long, quality int, toxic int")
+    assert common.one_text_each(docs, labels).count() == 300
+    assert ftrl.toxicity(docs, labels).count() == positive_unlabelled.quality(docs, labels).count() == 700
+
+
 def test_the_prior_is_near_the_truth():
     rng = np.random.default_rng(8)
     positive, unlabelled = rng.normal(2, 1, 4000), np.concatenate([rng.normal(2, 1, 2800), rng.normal(-2, 1, 1200)])
