@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumeline.llm.common import stage
+from plumeline.llm.common import stage, unstage
 
 
 def _halved(parent: DataFrame) -> DataFrame:
@@ -13,7 +13,9 @@ def _halved(parent: DataFrame) -> DataFrame:
     while True:
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
         jumped = stage(parent.join(up, "parent", "left").select("node", F.coalesce("_up", "parent").alias("parent"), F.col("_up").isNotNull().alias("_moved")), "jump")
+        unstage(parent)
         parent = jumped.select("node", "parent")
+        parent._staged_at = jumped._staged_at
         if jumped.filter("_moved").isEmpty():
             return parent
 
@@ -26,7 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     neighbours is ever collected, so a hub with a third of all edges is pre-aggregated before the shuffle.
     """
     left = stage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left_at = left
     labels: DataFrame | None = None
+    labels_at: list[DataFrame] = []
     while not left.isEmpty():
         parent = _halved(stage(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "hook"))
         if labels is None:
@@ -35,8 +39,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
             moved = parent.select(F.col("node").alias("root"), F.col("parent").alias("_to"))
             labels = labels.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
             labels = labels.unionByName(parent.select("node", F.col("parent").alias("root")))
-        labels = stage(labels, "labels")
+        labels, before = stage(labels, "labels"), labels_at
+        unstage(*before)
+        labels_at = [labels]
         to_a, to_b = parent.toDF("a", "_a"), parent.toDF("b", "_b")
         left = left.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
-        left = stage(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before = left_at
+        left = left_at = stage(left.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        unstage(before, parent)
     return labels if labels is not None else left.select(F.col("a").alias("node"), F.col("b").alias("root"))

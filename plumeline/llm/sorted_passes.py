@@ -2,12 +2,15 @@
 
 Every pass draws random hyperplanes; the signs of a vector's projections on them are its key, and vectors of a label are
 put in lexicographic order of keys. Each vector is compared with the next `window` ones; pairs that reach the cosine
-are united. The number of passes follows from the largest label: near vectors must agree in about log2(rows / window)
-leading bits to meet in a window, so passes are added until a pair at the threshold is met with the target recall.
+are united. Planes go through the mean direction of a label, not the origin, so that unrelated vectors agree on about
+half of the bits even where all of them lie in a cone. How many passes are made follows from the data: near vectors must
+agree in about log2(rows / window) leading bits to meet in a window, and how often they agree on one follows from how
+far a label's vectors lie around their mean. A narrow cone takes many passes: with a mutual cosine of 0.8, a million
+vectors take about a thousand. Passes run a few at a time and leave only links behind, so disk use does not grow with
+their number.
 
-That number holds where unrelated vectors agree on about half of the bits. Vectors in a cone agree on more, and then near
-ones are missed. So labels of up to `exact` classes make no passes: all their vectors are compared with each other, as
-groups are, which sends no more rows than the passes would. Larger labels have passes alone.
+Labels of up to `exact` classes make no passes: all their vectors are compared with each other, as groups are, which
+sends no more rows than the passes would. Larger labels have passes alone.
 
 Pairs missed inside a dense group do no harm: links are not counted in the windows. The passes only have to connect a
 group; then all its members are compared with each other exactly, in blocks, in double precision.
@@ -21,6 +24,7 @@ vec_id are repeated in the result; where such rows hold different vectors, they
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumeline.llm.blocks import block_pairs
-from plumeline.llm.common import stage
+from plumeline.llm.common import stage, unstage
 from plumeline.llm.connected import connected_components
 
 BITS = 64
@@ -44,14 +48,19 @@ class PassParams:
     window: int = 32
     recall: float = 0.9999
     least_passes: int = 8
+    #: Passes sorted together; each sends the vectors once.
+    passes_per_round: int = 2
     block: int = 1024
     exact: int = 20_000
     seed: int = 5
 
 
-def passes_needed(rows: int, params: PassParams) -> int:
-    """Passes after which a pair at the threshold has been within a window of each other with the target recall."""
-    agree = 1 - math.acos(params.cosine) / math.pi
+def passes_needed(rows: int, params: PassParams, around: float = 1.0) -> int:
+    """Passes after which a pair at the threshold has been within a window of each other with the target recall.
+
+    `around` is the mean squared distance of a label's unit vectors from their mean.
+    """
+    agree = 1 - math.acos(max(0.0, 1 - (1 - params.cosine) / max(around, 1e-9))) / math.pi
     met = agree ** max(1.0, math.log2(max(2, rows) / params.window))
     return max(params.least_passes, math.ceil(math.log(1 - params.recall) / math.log(1 - met)))
 
@@ -69,20 +78,40 @@ def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _keyed(seed: int, passes: int):
+def _unit(rows: list[np.ndarray]) -> np.ndarray:
+    x = np.stack(rows).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors added up by label and length, a few rows for each partition."""
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        pdf = batch.to_pandas()
+        for (label, size), part in pdf.groupby(["label", pdf["embedding"].map(len)]):
+            sums[label, size] = sums.get((label, size), 0) + np.append(_unit(part["embedding"].to_numpy()).sum(axis=0), len(part))
+    for (label, size), total in sums.items():
+        n = np.full(size, int(total[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, label)), pa.array(np.full(size, size, np.int32)), pa.array(np.arange(size, dtype=np.int32)), pa.array(total[:-1]), pa.array(n)], ["label", "size", "i", "x", "n"])
+
+
+def _keyed(seed: int, passes: range):
+    """Vectors with their label's mean -> a row for each pass with the key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             pdf = batch.to_pandas()
             for size, part in pdf.groupby(pdf["embedding"].map(len)):
-                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                x = _unit(part["embedding"].to_numpy()) - np.stack(part["mean"].to_numpy())
                 if size not in planes:
-                    planes[size] = np.random.default_rng(seed).standard_normal((size, passes * BITS))
-                signs = np.packbits((x @ planes[size] > 0).reshape(len(x), passes, BITS), axis=2)
-                keys = signs.reshape(len(x) * passes, 8).view(">u8").ravel() ^ np.uint64(1 << 63)  # in signed order
+                    planes[size] = np.concatenate([np.random.default_rng([seed, p]).standard_normal((size, BITS)) for p in passes], axis=1)
+                n = len(passes)
+                signs = np.packbits((x @ planes[size] > 0).reshape(len(x), n, BITS), axis=2)
+                keys = signs.reshape(len(x) * n, 8).view(">u8").ravel() ^ np.uint64(1 << 63)  # in signed order
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({
-                    "pass": np.tile(np.arange(passes, dtype=np.int32), len(x)), "label": np.repeat(part["label"].to_numpy(), passes).astype(np.int64), "key": keys.astype(np.uint64).view(np.int64),
-                    "rep": np.repeat(part["rep"].to_numpy(), passes), "embedding": np.repeat(part["embedding"].to_numpy(), passes)}), preserve_index=False)
+                    "pass": np.tile(np.array(passes, np.int32), len(x)), "label": np.repeat(part["label"].to_numpy(), n).astype(np.int64), "key": keys.astype(np.uint64).view(np.int64),
+                    "rep": np.repeat(part["rep"].to_numpy(), n), "embedding": np.repeat(part["embedding"].to_numpy(), n)}), preserve_index=False)
 
     return run
 
@@ -142,10 +171,36 @@ def _counted(params: PassParams):
     return run
 
 
+def _connected_by_passes(large: DataFrame, params: PassParams) -> DataFrame:
+    """(node, root) of the vectors of large labels (label, embedding, rep) that the passes connect."""
+    sums = large.select("label", "embedding").mapInArrow(_summed, "label long, size int, i int, x double, n long").groupBy("label", "size", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    means = sums.groupBy("label", "size").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("m")))), lambda s: s["m"]).alias("mean"))
+    means = stage(means.withColumn("around", 1 - F.aggregate("mean", F.lit(0.0), lambda a, m: a + m * m)), "means")
+    # A row for each label of more than `exact` vectors.
+    passes = max((passes_needed(r.n, params, r.around) for r in means.groupBy(F.ceil(F.log2("n")).alias("_b")).agg(F.max("n").alias("n"), F.min("around").alias("around")).collect()), default=0)
+    spread = means.select("label", "size", "mean")
+    spread = F.broadcast(spread) if means.count() <= 10_000 else spread.hint("merge")
+    centred = large.withColumn("size", F.size("embedding")).join(spread, ["label", "size"]).select("label", "embedding", "rep", "mean")
+    kind = large.schema["embedding"].dataType.simpleString()
+    links: list[DataFrame] = []
+    for first in range(0, passes, params.passes_per_round):
+        keyed = centred.mapInArrow(_keyed(params.seed, range(first, min(passes, first + params.passes_per_round))), f"pass int, label long, key long, rep long, embedding {kind}")
+        ordered = keyed.repartitionByRange("pass", "label", "key", "rep").sortWithinPartitions("pass", "label", "key", "rep")
+        links.append(stage(ordered.mapInArrow(_windows(params), "a long, b long").distinct(), "near"))
+        if len(links) == 5 or first + params.passes_per_round >= passes:
+            roots = connected_components(functools.reduce(DataFrame.unionByName, links))
+            forest = stage(roots.select(F.col("root").alias("a"), F.col("node").alias("b")), "near")
+            unstage(*links, roots)
+            links = [forest]
+    unstage(means)
+    return links[0].select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
 def near_duplicates(embeddings: DataFrame, params: PassParams | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of `embeddings` (vec_id, embedding, label)."""
     params = params or PassParams()
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
     classes = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
@@ -157,14 +212,10 @@ def near_duplicates(embeddings: DataFrame, params: PassParams | None = None) ->
     if largest > params.exact:
         large = classes.join(sizes, "label").filter(F.col("_size") > params.exact).drop("_size")
         small = grouped.join(sizes, "label").filter(F.col("_size") <= params.exact).drop("_size")
-        passes = passes_needed(largest, params)
-        keyed = stage(large.select("label", "embedding", "rep").mapInArrow(_keyed(params.seed, passes), "pass int, label long, key long, rep long, embedding array<float>"), "keys")
-        ordered = keyed.repartitionByRange("pass", "label", "key", "rep").sortWithinPartitions("pass", "label", "key", "rep")
-        united = connected_components(ordered.mapInArrow(_windows(params), "a long, b long").distinct())
+        united = _connected_by_passes(large.select("label", "embedding", "rep"), params)
         found = large.join(united.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.xxhash64("label", F.size("embedding"), F.coalesce("root", "rep"))).drop("root")
         grouped = small.unionByName(found)
-    many = grouped.groupBy("group").agg(F.count("*").alias("_n")).filter("_n > 1").select("group")
-    pairs = block_pairs(grouped.join(many, "group", "left_semi"), "group", "rep", params.block)
+    pairs = block_pairs(grouped, "group", "rep", params.block)
     seen = stage(pairs.groupBy("group", "_i", "_j").applyInPandas(_counted(params), "rep long, links long, root long"), "links")
     counts = seen.groupBy("rep").agg(F.sum("links").alias("links"))
     final = connected_components(seen.filter("root != rep").select(F.col("root").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "rep")

@@ -152,6 +152,19 @@ def test_near_duplicates_in_a_cone(spark):
     assert len(links) > 500 and wrong == 0, f"{wrong} wrong of {len(count)} linked, {len(links)} links"
 
 
+def test_passes_in_a_cone(spark):
+    rng = np.random.default_rng(14)
+    side = lambda n: (v := rng.normal(size=(n, 32))) / np.linalg.norm(v, axis=1, keepdims=True)
+    x = 0.75**0.5 * np.eye(32)[0] + 0.25**0.5 * side(500)
+    x[400:] = x[:100] / np.linalg.norm(x[:100], axis=1, keepdims=True) + 0.35 * side(100)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93) & ~np.eye(500, dtype=bool)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(exact=30, window=8, passes_per_round=12)).collect()}
+    assert links.any() and got == {i: int(links[i].sum()) for i in range(500)}
+    assert sorted_passes.passes_needed(10**6, sorted_passes.PassParams(), 0.2) > 4 * sorted_passes.passes_needed(10**6, sorted_passes.PassParams())
+
+
 def test_passes_grow_with_rows():
     p = sorted_passes.PassParams()
     assert sorted_passes.passes_needed(100, p) == p.least_passes < sorted_passes.passes_needed(10**5, p) < sorted_passes.passes_needed(10**8, p)
