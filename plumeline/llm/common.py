@@ -107,13 +107,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n consecutive word hashes."""
+def gram_hashes(hashes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each run of n consecutive word hashes, or of those that start `at`; a run that does not fit has hash 0."""
     m = len(hashes) - n + 1
     if m <= 0:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64) if at is None else np.zeros(len(at), np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64)])
-    return mix((sums[n:] - sums[:-n]) * _powers(_INVERSE, m))
+    if at is None:
+        return mix((sums[n:] - sums[:-n]) * _powers(_INVERSE, m))
+    fits = np.minimum(at, m - 1)
+    return np.where(at < m, mix((sums[fits + n] - sums[fits]) * _powers(_INVERSE, m)[fits]), np.uint64(0))
 
 
 def shingles(text: str, n: int = 5) -> np.ndarray:

@@ -185,9 +185,10 @@ def repeated_words(made, words=50):
     return flagged
 
 
-@pytest.mark.parametrize("part", [20_000, 2])
-def test_repeats(docs, empty, part):
-    params = sparse_suffixes.SuffixParams(part=part)
+@pytest.mark.parametrize("parts", ["4", "13"])
+def test_repeats(spark, docs, empty, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    params = sparse_suffixes.SuffixParams()
     made = rows()
     want = {k: v for k, v in repeated_words(made).items() if v}
     texts = {i or 0: (t or "").split() for i, t in made}
@@ -205,13 +206,13 @@ def test_repeats(docs, empty, part):
         if r.doc_id == 110:
             assert r.text == "tail" and r.n_chars == 4
     assert sparse_suffixes.repeats(empty).count() == 0 and sparse_suffixes.without_repeats(empty).count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("part", [20_000, 2])
-def test_a_passage_around_a_hot_line(spark, part):
+def test_a_passage_around_a_hot_line(spark):
     rng = np.random.default_rng(11)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
-    params = sparse_suffixes.SuffixParams(part=part)
+    params = sparse_suffixes.SuffixParams()
     made = []
     for _ in range(6):
         while True:  # every selected gram of the passage lies in the line
