@@ -49,7 +49,7 @@ def test_similarity_join(docs, empty, block):
         if i is not None:
             smallest[group[k]] = min(i, smallest.get(group[k], i))
     want = Counter((i, smallest.get(group[k]) if t and t.split() else i, count[k]) for k, (i, t) in enumerate(made))
-    params = lsh_forest.ForestParams(block=block)
+    params = lsh_forest.ForestParams(block=block, node_block=block)
     assert Counter(tuple(r) for r in lsh_forest.similarity_join(docs, params).collect()) == want
     kept = lsh_forest.one_of_each(docs, params)
     assert kept.columns == docs.columns
@@ -63,15 +63,73 @@ def test_similarity_join(docs, empty, block):
 def test_a_large_group_of_near_copies(spark):
     words = [f"w{i}" for i in range(120)]
     texts = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(60)] + [" ".join(f"y{i}" for i in range(50))]
-    got = lsh_forest.similarity_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lsh_forest.ForestParams(block=7)).collect()
+    got = lsh_forest.similarity_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lsh_forest.ForestParams(block=7, node_block=9)).collect()
     count = Counter(i for pair in jaccard_links(texts) for i in pair)
     assert all(r.n_links == count[r.doc_id] and r.class_id == (0 if r.doc_id < 60 else 60) for r in got)
 
 
-def test_prefix_depth_reaches_the_recall():
-    p = lsh_forest.ForestParams()
-    depth = lsh_forest.prefix_depth(p)
-    assert 1 - (1 - 0.8**depth) ** p.trees >= p.recall > 1 - (1 - 0.8 ** (depth + 1)) ** p.trees
+def reached(depths, trees, params):
+    return 1 - np.prod([1 - params.similarity**d for d in depths] + [1 - params.similarity**params.least] * (trees - len(depths)))
+
+
+def test_prefixes_are_shortened_until_the_recall():
+    p, rng = lsh_forest.ForestParams(), np.random.default_rng(15)
+    for n in (0, 1, 5, 13, 24):
+        sizes = [sorted(rng.integers(1, 500, 5).tolist(), reverse=True) for _ in range(n)]
+        got = lsh_forest.chosen_depths(sizes, p)
+        assert len(got) == n and all(p.least <= d <= p.depth for d in got) and reached(got, p.trees, p) >= p.recall
+        if n == 24:
+            one_more = [max(reached([*got[:t], d + 1, *got[t + 1 :]], p.trees, p) for t, d in enumerate(got) if d < p.depth)]
+            assert min(one_more) < 0.9999 and len(set(got)) > 1
+    hot = [[10_000, 9_000, 8_000, 7_000, 6_000]] * 8 + [[3, 2, 2, 1, 1]] * 16
+    got = lsh_forest.chosen_depths(hot, p)
+    assert min(got[:8]) > max(got[8:])  # crowded trees stay deep
+
+
+def test_common_prefixes_and_node_sizes():
+    rng = np.random.default_rng(16)
+    keys = np.array(sorted(map(tuple, rng.integers(0, 2, (60, 5)))), ">u2")
+    got = lsh_forest.common_prefixes(keys)
+    assert got[0] == 0 and all(got[i] == next((k for k in range(5) if keys[i][k] != keys[i - 1][k]), 5) for i in range(1, 60))
+
+
+def test_spanning_pairs_keep_components():
+    rng = np.random.default_rng(17)
+    x = rng.integers(0, 3, (70, 12)).astype(np.uint16)
+    close = [(i, j) for i in range(70) for j in range(i) if (x[i] == x[j]).sum() >= 8]
+    a, b = lsh_forest.spanning_pairs(x, 8)
+    assert roots(70, close) == roots(70, list(zip(a.tolist(), b.tolist(), strict=True))) and set(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist(), strict=True)) <= set(close)
+
+
+def test_every_link_of_planted_copies_is_found(spark):
+    rng = np.random.default_rng(18)
+    texts = []
+    for _ in range(250):
+        words = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(60, 200))]
+        for _ in range(3):
+            copy = list(words)
+            for k in rng.choice(len(copy), max(1, len(copy) // 110), replace=False):
+                copy[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    links = jaccard_links(texts)
+    got = {r.doc_id: r.n_links for r in lsh_forest.similarity_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    count = Counter(i for pair in links for i in pair)
+    assert len(links) > 300 and sum(got.values()) >= 0.99 * 2 * len(links) and all(got[i] <= count[i] for i in got)
+
+
+def test_texts_of_one_template_do_not_chain(spark):
+    rng = np.random.default_rng(19)
+    template = [f"t{i}" for i in range(100)]
+    texts = [" ".join(template[: 68 + k % 3] + [f"u{v}" for v in rng.integers(0, 10**6, 30)]) for k in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts[:40])]
+    likeness = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0.45 < min(likeness) and max(likeness) < 0.6
+    params = lsh_forest.ForestParams()
+    docs = frame.select(F.xxhash64("text").alias("node"), "text", "doc_id")
+    signed = docs.select("doc_id", "node", "text").mapInArrow(lsh_forest._signed(params), "doc_id long, node long, signature binary").select("node", "signature")
+    assert lsh_forest._candidates(signed, params).count() == 0
+    assert {(r.class_id == r.doc_id, r.n_links) for r in lsh_forest.similarity_join(frame).collect()} == {(True, 0)}
 
 
 def test_intersections():
