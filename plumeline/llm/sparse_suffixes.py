@@ -5,8 +5,8 @@ one with the smallest hash. Every run of `words` words holds a selected position
 Kept suffixes are sorted by content: by their first gram, then by hashes of their first words at growing lengths up to
 `words`, then by document and position. Each is compared with its neighbours of equal gram in that order: the later one
 of a pair, by document, repeats the earlier. Neighbours at one distance whose grams touch make a run. Both sides of a run
-send its words and those around it; the words are compared as they stand, and the match is extended left and right word
-by word. A match of `words` words or more is a repeated passage; the earlier document (by doc_id, nulls last) keeps it.
+send a 160-bit digest of its words and, as they stand, the words around it; runs whose digests differ are dropped, and
+the match is extended left and right word by word. A match of `words` words or more is a repeated passage; the earlier document (by doc_id, nulls last) keeps it.
 
 The order is a range sort of rows, so a gram that very many documents share is split among tasks by what follows it.
 Grams that occur once are dropped by a count before anything is sorted.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -121,9 +122,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _around(params: SuffixParams):
-    """Documents with requests (run, side, start, end) -> the words before start, nearest first, those of the run, and from end on."""
+    """Documents with requests (run, side, start, end) -> the words before start, nearest first, a digest of those of the run, and from end on."""
     reach, names = params.words, ["run", "side", "before", "middle", "after"]
-    types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,9 +133,9 @@ def _around(params: SuffixParams):
                 words = text.as_py().split()
                 for r in requests.as_py():
                     start, end = r["start"], r["end"]
-                    for column, value in zip(out, (r["run"], r["side"], " ".join(words[max(0, start - reach) : start][::-1]), " ".join(words[start:end]), " ".join(words[end : end + reach])), strict=True):
+                    for column, value in zip(out, (r["run"], r["side"], " ".join(words[max(0, start - reach) : start][::-1]), blake2b(" ".join(words[start:end]).encode("utf-8", "surrogatepass"), digest_size=20).digest(), " ".join(words[end : end + reach])), strict=True):
                         column.append(value)
-                    held += end - start + 2 * reach
+                    held += 2 * reach
                 if held > 500_000:  # words
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
                     out, held = [[] for _ in names], 0
@@ -249,7 +250,7 @@ def _matches(docs: DataFrame, params: SuffixParams) -> DataFrame:
 
     # A suffix has two neighbours, so a document's requests are bounded by its words.
     requests = side(0, "uid", F.lit(0)).unionByName(side(1, "source_uid", F.col("apart"))).groupBy("uid").agg(F.collect_list("request").alias("requests"))
-    around = docs.select("uid", "text").join(requests, "uid").select("text", "requests").mapInArrow(_around(params), "run long, side int, before string, middle string, after string")
+    around = docs.select("uid", "text").join(requests, "uid").select("text", "requests").mapInArrow(_around(params), "run long, side int, before string, middle binary, after string")
     one = [F.max(F.when(F.col("side") == k, F.col(c))).alias(f"{c}_{k}") for c in ("before", "middle", "after") for k in (0, 1)]
     both = around.groupBy("run").agg(*one).join(runs, "run")
     both = both.select(_back("doc").alias("doc_id"), "uid", _back("source_doc").alias("source_doc_id"), "source_uid", "start", "end", (F.col("start") - F.col("apart")).cast("long").alias("source_start"), "before_0", "before_1", "middle_0", "middle_1", "after_0", "after_1")
