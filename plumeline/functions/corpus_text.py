@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumeline.functions.scoped import let
-from plumeline.functions.text import strip, unescape
+from plumeline.functions.text import strip, unescape, unescape_each
 
 # What garbled characters stand for.
 GARBLED = {
@@ -43,7 +43,11 @@ def squeeze(c: Column) -> Column:
 
 def plain_text(c: Column) -> Column:
     """One round of references, tags out, and anything but letters, digits, space and a few marks to a space."""
-    c = F.regexp_replace(unescape(c, rounds=1), "<[^>]*>", " ")
+    return plain_marks(unescape(c, once=True))
+
+
+def plain_marks(c: Column) -> Column:
+    c = F.regexp_replace(c, "<[^>]*>", " ")
     return squeeze(F.regexp_replace(c, r"""[^\p{L}\p{N}\s\-_/.,:%&+()\[\]'"#]""", " "))
 
 
@@ -119,7 +123,7 @@ def clean_description(c: Column, dimensions: Column, weight: Column, title: Colu
 
 def clean_features(features: Column, title: Column) -> Column:
     """`#1: ...`, `#2: ...`: cleaned, without empty ones and without a first one that restates the title."""
-    made = F.filter(F.transform(features, clean_field), lambda f: f != "")
+    made = F.filter(F.transform(unescape_each(features), lambda f: fix_encoding(without_marketing(plain_marks(f)))), lambda f: f != "")
     return F.transform(without_title(made, title), lambda f, i: F.concat(F.lit("#"), i + 1, F.lit(": "), f))
 
 

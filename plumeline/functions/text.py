@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +13,6 @@ SPACE = " \t\n\r"
 #: A word with inner apostrophes and hyphens.
 WORD = r"[\p{L}\p{N}_]+(?:['-][\p{L}\p{N}_]+)*"
 
-#: The character references that product pages use.
-ENTITIES = {"&quot;": '"', "&lt;": "<", "&gt;": ">", "&copy;": "©", "&middot;": "·", "&nbsp;": " ", "&#39;": "'", "&amp;": "&"}
-
-
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(SPACE))
 
@@ -28,19 +27,47 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
-def unescape(c: Column, rounds: int = 3) -> Column:
-    """Character references replaced, over and over: `&amp;quot;` needs two rounds."""
-    for _ in range(rounds):
-        for name, value in ENTITIES.items():
-            c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+@F.pandas_udf("string")
+def _unescaped_once(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+@F.pandas_udf("string")
+def _unescaped(texts: pd.Series) -> pd.Series:
+    def whole(text: str) -> str:
+        while (plain := html.unescape(text)) != text:
+            text = plain
+        return text
+
+    return texts.map(whole, na_action="ignore")
+
+
+def unescape(c: Column, once: bool = False) -> Column:
+    """All character references of HTML 5, named and numeric, replaced: over and over (`&amp;quot;`), or in one pass.
+
+    The table of names and the rules for references without a semicolon are the standard library's; only texts with an
+    ampersand are sent to it.
+    """
+    marked = F.when(F.contains(c, F.lit("&")), c)
+    return F.coalesce((_unescaped_once if once else _unescaped)(marked), c)
+
+
+@F.pandas_udf("array<string>")
+def _unescaped_each(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [t if t is None else html.unescape(t) for t in texts], na_action="ignore")
+
+
+def unescape_each(c: Column) -> Column:
+    """One pass over every text of a list."""
+    marked = F.when(F.exists(c, lambda t: F.contains(t, F.lit("&"))), c)
+    return F.coalesce(_unescaped_each(marked), c)
 
 
 def clean_html(c: Column) -> Column:
-    """References and tags out, runs of white space to one space."""
-    c = F.regexp_replace(unescape(c), r"(?i)<br\s*/?>", " ")
-    c = F.regexp_replace(c, r"<[^>]+>", " ")
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    """References and tags out, runs of spaces to one."""
+    c = F.regexp_replace(unescape(c), r"<br\s*/?>", " ")
+    c = F.regexp_replace(c, r"</?[a-zA-Z][^>]*>", " ")
+    return strip(F.regexp_replace(c, r" {2,}", " "))
 
 
 def hash_bucket(text: Column, mod: int, salt: str = "") -> Column:
@@ -50,7 +77,7 @@ def hash_bucket(text: Column, mod: int, salt: str = "") -> Column:
     """
     if mod not in (2, 5, 10):
         raise ValueError("only moduli that divide 10")
-    digest = F.sha1(F.encode(F.concat(F.lit(salt + "\x1f"), F.lower(strip(text))), "UTF-8"))
+    digest = F.sha1(F.encode(F.concat(F.lit(salt + "|"), F.lower(strip(text))), "UTF-8"))
     digits = F.transform(F.split(digest, ""), lambda d: F.conv(d, 16, 10).cast("int"))
     total = F.aggregate(digits, F.lit(0), lambda a, d: a + d)
     last = F.conv(F.right(digest, F.lit(1)), 16, 10).cast("int")

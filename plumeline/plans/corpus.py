@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.functions import corpus_text as C
 from plumeline.plans.attributes import product_meta
 from plumeline.registry import register
-from plumeline.sources.tables import table
+from plumeline.sources.tables import table, unescape_sql
 
 
 def _quoted(x: str) -> str:
@@ -31,19 +31,12 @@ def _phrases_sql(c: str) -> str:
     return c
 
 
-def _unescaped_sql(c: str) -> str:
-    from plumeline.functions.text import ENTITIES
-
-    for name, value in ENTITIES.items():
-        c = f"replace({c}, {_quoted(name)}, {' || '.join(f'chr({ord(x)})' for x in value)})"
-    return c
-
-
 def clean_sql(source: str, key: str, text: str) -> str:
     """`cleaned` (key, text) as common table expressions."""
     scripts = r"[\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{0400}-\x{04FF}\x{0370}-\x{03FF}\x{0590}-\x{05FF}\x{0600}-\x{06FF}]"
     allowed = r"""[^\p{L}\p{N}\s\-_/.,:%&+()\[\]'"#]"""
-    return f"""p1 AS (SELECT {key} AS k, trim(regexp_replace(regexp_replace(regexp_replace({_unescaped_sql(text)}, '<[^>]*>', ' ', 'g'), {_quoted(allowed)}, ' ', 'g'), '\\s+', ' ', 'g'), {_SPACE}) AS t FROM {source}),
+    return f"""p0 AS (SELECT {key} AS k, {text} AS raw FROM {source}),
+p1 AS (SELECT k, trim(regexp_replace(regexp_replace(regexp_replace({unescape_sql("raw", 1)}, '<[^>]*>', ' ', 'g'), {_quoted(allowed)}, ' ', 'g'), '\\s+', ' ', 'g'), {_SPACE}) AS t FROM p0),
 p2 AS (SELECT k, array_to_string(list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, {_SPACE}) <> '' AND NOT regexp_matches(trim(s, {_SPACE}), {_WHOLE})), ' ') AS t FROM p1),
 p3 AS (SELECT k, {_phrases_sql("t")} AS t FROM p2),
 p4 AS (SELECT k, trim(regexp_replace(regexp_replace(regexp_replace(t, 'https?://\\S+', ' ', 'g'), '\\bwww\\.\\S+', ' ', 'g'), '\\s+', ' ', 'g'), {_SPACE}) AS t FROM p3),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumeline.functions.text import clean_html, hash_bucket, split_name
 from plumeline.registry import register
-from plumeline.sources.tables import BUCKET_SQL, REVIEWS_SQL, review_sentences, reviews, table
+from plumeline.sources.tables import BUCKET_SQL, REVIEWS_SQL, review_sentences, reviews, table, unescape_sql
 
 
 @register("sentences_per_user", f"""WITH {REVIEWS_SQL}
@@ -52,16 +52,8 @@ def sentence_count_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.agg(F.sum("users").alias("n_users"), F.min("n").alias("least"), F.max("n").alias("most"), median.alias("median"), *over)
 
 
-def _unescape_sql(c: str, rounds: int = 3) -> str:
-    from plumeline.functions.text import ENTITIES
-
-    for _ in range(rounds):
-        for name, value in ENTITIES.items():
-            c = f"replace({c}, '{name.replace(chr(39), chr(39) * 2)}', {' || '.join(f'chr({ord(x)})' for x in value)})"
-    return c
-
-
-@register("clean_html_pages", f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_unescape_sql("html")}, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM pages""")
+@register("clean_html_pages", f"""WITH r1 AS (SELECT page_id, {unescape_sql("html", 1)} AS t FROM pages), r2 AS (SELECT page_id, {unescape_sql("t", 1)} AS t FROM r1), r3 AS (SELECT page_id, {unescape_sql("t", 1)} AS t FROM r2)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '<br\\s*/?>', ' ', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g'), ' {{2,}}', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM r3""")
 def clean_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as plain text."""
     return table(spark, sf_dir, "pages").select("page_id", clean_html(F.col("html")).alias("text"))

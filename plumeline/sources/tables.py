@@ -42,7 +42,24 @@ def style_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.concat(F.lit("u"), "label").alias("user_id"), F.concat(F.lit("A"), F.col("vec_id") % 25).alias("asin"), split_name(F.col("vec_id").cast("string")).alias("split"), z.alias("z"))
 
 
-BUCKET_SQL = """((list_sum(list_transform(range(1, 41), lambda i: CASE WHEN i = 40 THEN 1 ELSE 6 END * (instr('0123456789abcdef', substr(sha1('{salt}' || chr(31) || lower(trim({text}, chr(32) || chr(9) || chr(10) || chr(13)))), i, 1)) - 1))) % 10)::INTEGER)"""
+BUCKET_SQL = """((list_sum(list_transform(range(1, 41), lambda i: CASE WHEN i = 40 THEN 1 ELSE 6 END * (instr('0123456789abcdef', substr(sha1('{salt}' || '|' || lower(trim({text}, chr(32) || chr(9) || chr(10) || chr(13)))), i, 1)) - 1))) % 10)::INTEGER)"""
+
+
+def unescape_sql(c: str, rounds: int) -> str:
+    """Character references replaced in SQL, `rounds` times: a map of the names, and numbers; names cut short stay as they are."""
+    from html.entities import html5
+
+    def chars(x: str) -> str:
+        return " || ".join(f"chr({ord(k)})" for k in x)
+
+    names = "MAP {" + ", ".join(f"'&{k}': {chars(v)}" for k, v in html5.items()) + "}"
+    pattern = "'&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)'"
+    number = "CASE WHEN lower(q[2][3]) = 'x' THEN ('0x' || rtrim(q[2][4:], ';'))::INTEGER ELSE rtrim(q[2][3:], ';')::INTEGER END"
+    value = f"CASE WHEN q[2] IS NULL THEN '' WHEN q[2][2] = '#' THEN chr({number}) ELSE coalesce(map_extract({names}, q[2])[1], q[2]) END"
+    for _ in range(rounds):
+        c = f"CASE WHEN contains({c}, '&') THEN array_to_string(list_transform(list_zip(string_split_regex({c}, {pattern}), regexp_extract_all({c}, {pattern})), lambda q: q[1] || {value}), '') ELSE {c} END"
+    return c
+
 
 VECTORS_SQL = f"""vectors AS (
   SELECT vec_id, 'u' || label::VARCHAR AS user_id, 'A' || (vec_id % 25)::VARCHAR AS asin,

@@ -26,6 +26,24 @@ def test_clean_html(spark):
     assert one(spark, T.clean_html(F.lit("A&amp;quot;b<br />c <p>d</p>"))) == 'A"b c d'
 
 
+def test_references_are_the_librarys(spark):
+    import html
+
+    texts = ["caf&eacute; &#8217;s &#x27;q&#x27; &notit; &am &amp", "&amp;amp;amp;quot;&amp;lt;", "&#128; &#xD800; &#0; &#99999999; &#x1F600;", "&nbsp;&NotEqualTilde;&fjlig;", "plain", "", "a & b &; &#; &#x;"]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = frame.select(T.unescape(F.col("t")).alias("a"), T.unescape(F.col("t"), once=True).alias("b"), T.unescape_each(F.array("t")).alias("c")).collect()
+    for text, r in zip(texts, got, strict=False):
+        whole = text
+        while (plain := html.unescape(whole)) != whole:
+            whole = plain
+        assert (r.a, r.b, r.c) == (whole, html.unescape(text), [html.unescape(text)])
+    assert (got[-1].a, got[-1].b) == (None, None)
+
+
+def test_tags_are_elements(spark):
+    assert one(spark, T.clean_html(F.lit("5 < 6 > 4<br/>a<b class=x>c</b>  d"))) == "5 < 6 > 4 a c d"
+
+
 @pytest.mark.parametrize(("raw", "want"), [("Dishwasher SafeMicrowave Safe", "Dishwasher Safe Microwave Safe"), ("machine_wash", "machine wash"), ("FOOBar", "FOO Bar")])
 def test_split_camel(spark, raw, want):
     assert one(spark, T.split_camel(F.lit(raw))) == want
@@ -40,7 +58,7 @@ def test_hash_bucket_is_the_digest_modulo_ten(spark):
 
     words = ["a", "Hello World", "été", "x" * 300]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(T.hash_bucket(F.col("w"), 10, "s").alias("b")).collect()
-    assert [r.b for r in got] == [int(hashlib.sha1(b"s\x1f" + w.lower().encode()).hexdigest(), 16) % 10 for w in words]
+    assert [r.b for r in got] == [int(hashlib.sha1(b"s|" + w.lower().encode()).hexdigest(), 16) % 10 for w in words]
 
 
 def test_attribute_rules(spark):
