@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: What Python's str.strip takes away from the texts at hand.
 SPACE = " \t\n\r"
@@ -27,12 +28,12 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped_once(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     def whole(text: str) -> str:
         while (plain := html.unescape(text)) != text:
@@ -52,7 +53,7 @@ def unescape(c: Column, once: bool = False) -> Column:
     return F.coalesce((_unescaped_once if once else _unescaped)(marked), c)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _unescaped_each(lists: pd.Series) -> pd.Series:
     return lists.map(lambda texts: [t if t is None else html.unescape(t) for t in texts], na_action="ignore")
 
