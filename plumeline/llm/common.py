@@ -107,16 +107,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def gram_hashes(hashes: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each run of n consecutive word hashes, or of those that start `at`; a run that does not fit has hash 0."""
+def _running(hashes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64)])
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n consecutive word hashes."""
     m = len(hashes) - n + 1
     if m <= 0:
-        return np.empty(0, np.uint64) if at is None else np.zeros(len(at), np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=np.uint64)])
-    if at is None:
-        return mix((sums[n:] - sums[:-n]) * _powers(_INVERSE, m))
-    fits = np.minimum(at, m - 1)
-    return np.where(at < m, mix((sums[fits + n] - sums[fits]) * _powers(_INVERSE, m)[fits]), np.uint64(0))
+        return np.empty(0, np.uint64)
+    sums = _running(hashes)
+    return mix((sums[n:] - sums[:-n]) * _powers(_INVERSE, m))
+
+
+def run_hashes(hashes: np.ndarray, lengths: list[int], at: np.ndarray) -> np.ndarray:
+    """The same for the runs of several lengths that start `at`, a column for each; a run that does not fit has hash 0."""
+    sums, back = _running(hashes), _powers(_INVERSE, len(hashes) + 1)[at]
+    ends = [np.minimum(at + n, len(hashes)) for n in lengths]
+    return np.stack([np.where(at + n <= len(hashes), mix((sums[e] - sums[at]) * back), np.uint64(0)) for n, e in zip(lengths, ends, strict=True)], axis=1)
 
 
 def shingles(text: str, n: int = 5) -> np.ndarray:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeline.llm.common import WORDS, fresh, gram_hashes, mix, stage, unstage, whole_text
+from plumeline.llm.common import WORDS, fresh, gram_hashes, mix, run_hashes, stage, unstage, whole_text
 
 
 @dataclass(frozen=True)
@@ -81,7 +81,7 @@ def _kept(params: SuffixParams):
             for text in batch.column(2):
                 hashes = WORDS.of(text.as_py().split())
                 at, g, runs = chosen(hashes, params)
-                order.append(np.stack([gram_hashes(hashes, n, at).view(np.int64) for n in lengths], axis=1).ravel() if len(at) else [])
+                order.append(run_hashes(hashes, lengths, at).view(np.int64).ravel() if len(at) else [])
                 places.append(at.tolist())
                 grams.append(g.view(np.int64).tolist())
                 leads.append((at - (np.cumsum(runs) - runs)).tolist())
@@ -194,7 +194,7 @@ def _whole_runs(params: SuffixParams):
             for uid, doc, text, starts in zip(*(batch.column(n) for n in ("uid", "doc", "text", "starts")), strict=True):
                 at = starts.values.to_numpy()
                 hashes = WORDS.of(text.as_py().split())
-                halves = [gram_hashes(x, params.words, at).view(np.int64) for x in (hashes, mix(hashes ^ np.uint64(0xA5A5A5A5)))]
+                halves = [run_hashes(x, [params.words], at).view(np.int64).ravel() for x in (hashes, mix(hashes ^ np.uint64(0xA5A5A5A5)))]
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc.as_py(), np.int64)), pa.array(np.full(n, uid.as_py(), np.int64)), pa.array(at), *map(pa.array, halves)], ["doc", "uid", "at", "key", "key2"])
 

@@ -298,6 +298,13 @@ def test_gram_hashes_depend_on_content_only():
     assert (a[:44] == b).all() and (a[50:] == b).all() and len(set(b.tolist())) == 44 and len(gram_hashes(x[:3], 7)) == 0
 
 
+def test_run_hashes_are_gram_hashes():
+    x = np.random.default_rng(6).integers(0, 2**63, 40).astype(np.uint64)
+    at = np.array([0, 7, 30, 39])
+    got = common.run_hashes(x, [3, 10], at)
+    assert (got[:3, 0] == gram_hashes(x, 3)[at[:3]]).all() and (got[:3, 1] == gram_hashes(x, 10)[at[:3]]).all() and got[3].tolist() == [0, 0]
+
+
 def test_fresh_names():
     assert fresh(["a", "_A"], "a") == "__a"
 
