@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.functions.noise import APOSTROPHES, HOMOPHONES, MECHANISMS, NEAR_KEYS, OTHER_LAYOUT, apply_edit, classify, corrupt, minimal
 from plumeline.operators.injection import inject_chain
 from plumeline.operators.profiles import context_profile, hierarchical_rate, lift_cosine, mechanism_rates
-from plumeline.operators.rules import length_bucket, signatures
+from plumeline.operators.rules import annotated, length_bucket, signatures
 from plumeline.plans.style import PARSED_SQL, parsed
 from plumeline.registry import register
 from plumeline.sources.tables import table
@@ -170,20 +170,34 @@ def hierarchical_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------------- signatures, edits
 
 
-_SIGS_SQL = f"""{PARSED_SQL},
-s AS (SELECT length(ws[i]) AS n, p[i] AS pos, CASE WHEN i = 1 THEN 'ROOT' ELSE d[i] END AS dep, CASE WHEN i = 1 THEN 'ROOT' ELSE p[i - 1] END AS parent, CASE WHEN i <= 2 THEN 'ROOT' ELSE p[i - 2] END AS grand,
-  CASE WHEN i > 2 AND list_contains(d[2:(i - 1)], 'prep') THEN 'PREP' ELSE 'ROOT' END AS clause, CASE WHEN i > 3 THEN 'd3+' ELSE 'd' || (i - 1)::VARCHAR END AS depth FROM (SELECT ws, p, d, unnest(range(1, len(p) + 1)) AS i FROM k)),
-x AS (SELECT CASE WHEN n BETWEEN 1 AND 3 THEN '1-3' WHEN n BETWEEN 4 AND 6 THEN '4-6' WHEN n BETWEEN 7 AND 10 THEN '7-10' WHEN n BETWEEN 11 AND 20 THEN '11-20' ELSE '11+' END AS len_bucket,
-  unnest(['full', 'd4', 'd3', 'clause', 'depth', 'sibling', 'coarse']) AS name, unnest([pos || '|' || dep || '|' || parent || '|' || grand || '|' || clause || '|' || depth, 'D4|' || grand || '|' || parent || '|' || dep || '|' || pos,
-  'D3|' || parent || '|' || dep || '|' || pos, clause || '|' || pos, depth || '|' || pos || '|' || dep, pos || '|NONE|NONE', pos || '|' || dep]) AS sig FROM s)"""
+_OPENED = "CASE WHEN {d} IN ('advcl', 'acl', 'relcl', 'ccomp', 'xcomp', 'conj', 'parataxis') THEN upper({d}) WHEN {d} = 'prep' THEN 'PREP' ELSE '' END"
+_BUCKET = "CASE WHEN length(text) BETWEEN 1 AND 3 THEN '1-3' WHEN length(text) BETWEEN 4 AND 6 THEN '4-6' WHEN length(text) BETWEEN 7 AND 10 THEN '7-10' WHEN length(text) BETWEEN 11 AND 20 THEN '11-20' ELSE '11+' END"
 
 
-@register("token_signatures", f"WITH {_SIGS_SQL} SELECT name, sig, len_bucket, count(*) AS n FROM x GROUP BY ALL")
+def annotated_sql(source: str, key: str, words: str, carried: str = "") -> str:
+    """`x` (key, i, text, the seven signatures as columns s0 to s6 and the context signature) of the parsed lists of `source`."""
+    more = f", {carried}" if carried else ""
+    return f"""tok AS (SELECT {key}{more}, unnest(range(1, len(p) + 1)) AS i, p, d, h, {words} AS words FROM {source}),
+kids AS (SELECT {key}, i, lag(p[i]) OVER s AS l, lead(p[i]) OVER s AS r FROM tok WHERE h[i] <> i WINDOW s AS (PARTITION BY {key}, h[i] ORDER BY i)),
+climb AS (SELECT {key}, i, h[i] AS up, d, h, h[i] = i AS top, CASE WHEN h[i] = i THEN '' ELSE {_OPENED.format(d="d[h[i]]")} END AS mark FROM tok),
+walk AS (SELECT * FROM climb UNION ALL SELECT {key}, i, h[up], d, h, h[up] = up, CASE WHEN h[up] = up THEN '' ELSE {_OPENED.format(d="d[h[up]]")} END FROM walk WHERE mark = '' AND NOT top),
+marks AS (SELECT {key}, i, max(mark) AS mark FROM walk GROUP BY ALL),
+ann AS (SELECT t.*, words[i] AS text, p[i] AS pos, d[i] AS dep, CASE WHEN h[i] = i THEN 'ROOT' ELSE p[h[i]] END AS parent, CASE WHEN h[i] = i OR h[h[i]] = h[i] THEN 'ROOT' ELSE p[h[h[i]]] END AS grand,
+  CASE WHEN h[i] = i THEN 'd0' WHEN h[h[i]] = h[i] THEN 'd1' WHEN h[h[h[i]]] = h[h[i]] THEN 'd2' ELSE 'd3+' END AS depth, coalesce(nullif(m.mark, ''), 'ROOT') AS clause, coalesce(l, 'NONE') AS lft, coalesce(r, 'NONE') AS rgt
+  FROM tok t JOIN marks m USING ({key}, i) LEFT JOIN kids USING ({key}, i)),
+x AS (SELECT {key}{more}, i, text, pos, dep, parent, {_BUCKET} AS len_bucket, pos || '|' || dep || '|' || parent || '|' || grand || '|' || clause || '|' || depth AS s0, 'D4|' || grand || '|' || parent || '|' || dep || '|' || pos AS s1, 'D3|' || parent || '|' || dep || '|' || pos AS s2,
+  clause || '|' || pos AS s3, depth || '|' || pos || '|' || dep AS s4, pos || '|' || lft || '|' || rgt AS s5, pos || '|' || dep AS s6 FROM ann)"""
+
+
+LEVELS_SQL = "unnest([0, 1, 2, 3, 4, 5, 6]) AS level, unnest([s0, s1, s2, s3, s4, s5, s6]) AS sig"
+
+
+@register("token_signatures", f"WITH RECURSIVE {PARSED_SQL}, {annotated_sql('k', 'sent_id', 'ws')}, g AS (SELECT len_bucket, {LEVELS_SQL} FROM x) SELECT level::INTEGER AS level, sig, len_bucket, count(*) AS n FROM g GROUP BY ALL")
 def token_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each context signature of a parsed word occurs, by level and length of the word."""
-    rows = parsed(spark, sf_dir).select("tokens", F.explode("tokens").alias("t"))
-    marked = rows.select(F.explode(signatures(F.col("tokens"), F.col("t"))).alias("s"), length_bucket(F.length("t.text")).alias("len_bucket"))
-    return marked.groupBy("s.name", "s.sig", "len_bucket").agg(F.count("*").alias("n"))
+    rows = parsed(spark, sf_dir).select(F.explode(annotated(F.col("tokens"))).alias("t"))
+    marked = rows.select(F.explode(signatures(F.col("t"))).alias("s"), length_bucket(F.length("t.text")).alias("len_bucket"))
+    return marked.groupBy("s.level", "s.sig", "len_bucket").agg(F.count("*").alias("n"))
 
 
 def _first_long(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.vectors import norm, scaled
@@ -13,27 +13,43 @@ from plumeline.sources.tables import REVIEWS_SQL, VECTORS_SQL, review_sentences,
 
 # ------------------------------------------------------------------------------------------------- rules and vocabulary
 
-#: Stand-in for a parser: a word's class goes by its length, its head is the word before it, the first word is the root.
-_POS = ("DET", "ADP", "NOUN", "VERB", "ADJ")
-_DEP = ("det", "prep", "nsubj", "dobj", "amod")
+#: Stand-in for a parser: a word's class goes by its length; its head is an earlier word that its place and length pick,
+#: so that trees branch; the first word is the root.
+POS = ("DET", "ADP", "NOUN", "VERB", "ADJ")
+DEP = ("det", "prep", "nsubj", "dobj", "amod", "conj", "relcl")
+
+
+def parse(words: Column) -> Column:
+    """array<struct<i,text,pos,dep,head>> of a list of words."""
+    pos, dep = F.array(*map(F.lit, POS)), F.array(*map(F.lit, DEP))
+    n = F.length
+    token = lambda w, i: F.struct(i.alias("i"), w.alias("text"), pos[n(w) % 5].alias("pos"), F.when(i == 0, "ROOT").otherwise(dep[(n(w) + i) % 7]).alias("dep"), F.when(i == 0, F.lit(0)).otherwise((i * 7 + n(w)) % F.greatest(i, F.lit(1))).alias("head"))
+    return F.transform(words, token)
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, sent_id, tokens) of sentences of three to thirty words."""
+    """(user_id, sent_id, tokens) of sentences of three words or more."""
     s = review_sentences(spark, sf_dir)
     words = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
-    pos, dep = F.array(*map(F.lit, _POS)), F.array(*map(F.lit, _DEP))
-    tokens = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("text"), pos[F.length(w) % 5].alias("pos"), F.when(i == 0, "ROOT").otherwise(dep[F.length(w) % 5]).alias("dep"), F.greatest(i - 1, F.lit(0)).alias("head")))
-    return s.select("user_id", F.concat_ws(":", "review_pos", "sent_pos").alias("sent_id"), tokens.alias("tokens")).filter("size(tokens) between 3 and 30")
+    # Generated, so that the words are split once and not in every place that reads them.
+    rows = s.select("user_id", F.concat_ws(":", "review_pos", "sent_pos").alias("sent_id"), F.explode(F.array(words)).alias("words")).filter("size(words) >= 3")
+    return rows.select("user_id", "sent_id", F.explode(F.array(parse(F.col("words")))).alias("tokens"))
+
+
+def parse_sql(source: str, words: str, name: str = "k") -> str:
+    """`name` with lists p, d and h (heads from 1) beside the columns of `source`."""
+    listed = lambda x: "[" + ",".join(f"'{v}'" for v in x) + "]"
+    return f"""{name} AS (SELECT *, list_transform({words}, lambda x: ({listed(POS)})[length(x) % 5 + 1]) AS p, list_transform({words}, lambda x, i: CASE WHEN i = 1 THEN 'ROOT' ELSE ({listed(DEP)})[(length(x) + i - 1) % 7 + 1] END) AS d,
+  list_transform({words}, lambda x, i: CASE WHEN i = 1 THEN 1 ELSE ((i - 1) * 7 + length(x)) % (i - 1) + 1 END) AS h FROM {source})"""
 
 
 PARSED_SQL = f"""{REVIEWS_SQL},
-w AS (SELECT user_id, review_pos::VARCHAR || ':' || sent_pos::VARCHAR AS sent_id, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda x: x <> '') AS ws FROM sentences),
-k AS (SELECT user_id, sent_id, ws, list_transform(ws, lambda x: (['DET','ADP','NOUN','VERB','ADJ'])[length(x) % 5 + 1]) AS p, list_transform(ws, lambda x: (['det','prep','nsubj','dobj','amod'])[length(x) % 5 + 1]) AS d FROM w WHERE len(ws) BETWEEN 3 AND 30),
-t AS (SELECT user_id, sent_id, unnest(range(1, len(p) + 1)) AS i, p, d FROM k),
+w0 AS (SELECT user_id, review_pos::VARCHAR || ':' || sent_pos::VARCHAR AS sent_id, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda x: x <> '') AS ws FROM sentences),
+w AS (SELECT * FROM w0 WHERE len(ws) >= 3), {parse_sql("w", "ws")},
+t AS (SELECT user_id, sent_id, unnest(range(1, len(p) + 1)) AS i, p, d, h FROM k),
 rules AS (
-  SELECT DISTINCT user_id, sent_id, 'D4|' || CASE WHEN i = 2 THEN 'ROOT' ELSE p[i - 2] END || '|' || p[i - 1] || '|' || d[i] || '|' || p[i] AS rule FROM t WHERE i > 1
-  UNION SELECT DISTINCT user_id, sent_id, 'D3|' || p[i - 1] || '|' || d[i] || '|' || p[i] FROM t WHERE i > 1
+  SELECT DISTINCT user_id, sent_id, 'D4|' || CASE WHEN h[h[i]] = h[i] THEN 'ROOT' ELSE p[h[h[i]]] END || '|' || p[h[i]] || '|' || d[i] || '|' || p[i] AS rule FROM t WHERE i > 1
+  UNION SELECT DISTINCT user_id, sent_id, 'D3|' || p[h[i]] || '|' || d[i] || '|' || p[i] FROM t WHERE i > 1
   UNION SELECT DISTINCT user_id, sent_id, 'P3|' || p[i] || '|' || p[i + 1] || '|' || p[i + 2] FROM t WHERE i + 2 <= len(p))"""
 
 
@@ -44,8 +60,9 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("struct_rules", f"WITH {PARSED_SQL} SELECT sent_id, count(*) AS n_rules, string_agg(rule, ' ' ORDER BY rule) AS rules FROM rules GROUP BY sent_id")
 def struct_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct rules of every sentence."""
-    rules = F.sort_array(struct_rules(F.col("tokens")))
-    return parsed(spark, sf_dir).select("sent_id", F.size(rules).cast("long").alias("n_rules"), F.array_join(rules, " ").alias("rules"))
+    found = parsed(spark, sf_dir).select("sent_id", F.explode(F.array(struct_rules(F.col("tokens")))).alias("rules"))
+    rules = F.sort_array("rules")
+    return found.select("sent_id", F.size(rules).cast("long").alias("n_rules"), F.array_join(rules, " ").alias("rules"))
 
 
 @register("rule_vocab", f"""WITH {PARSED_SQL}, v AS (SELECT rule, count(DISTINCT sent_id) AS df FROM rules GROUP BY rule HAVING count(DISTINCT sent_id) >= 2)

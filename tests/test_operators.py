@@ -11,7 +11,7 @@ from plumeline.operators.attributes import attribute, clean_value, extracted, to
 from plumeline.operators.metrics import fuse
 from plumeline.operators.ranking import flip_rate, hit_columns, kendall_and_spearman
 from plumeline.operators.retrieval import maxsim_scores
-from plumeline.operators.rules import length_bucket, signatures, struct_rules, word_shape
+from plumeline.operators.rules import annotated, length_bucket, signatures, struct_rules, word_shape
 
 
 def one(spark, column):
@@ -135,11 +135,21 @@ def test_rules_and_signatures(spark):
     df = spark.createDataFrame([(tokens,)], "tokens array<struct<i:int,text:string,pos:string,dep:string,head:int>>")
     rules = set(df.select(struct_rules(F.col("tokens")).alias("r")).first().r)
     assert rules == {"D4|VERB|NOUN|amod|ADJ", "D4|ROOT|VERB|nsubj|NOUN", "D4|ROOT|VERB|advmod|ADV", "D3|NOUN|amod|ADJ", "D3|VERB|nsubj|NOUN", "D3|VERB|advmod|ADV", "P3|ADJ|NOUN|VERB", "P3|NOUN|VERB|ADV"}
-    sigs = df.select(F.explode("tokens").alias("t"), "tokens").select("t.text", signatures(F.col("tokens"), F.col("t")).alias("s")).collect()
+    sigs = df.select(F.explode(annotated(F.col("tokens"))).alias("t")).select("t.text", signatures(F.col("t")).alias("s")).collect()
     by_word = {r.text: {x.name: x.sig for x in r.s} for r in sigs}
     assert by_word["big"]["full"] == "ADJ|amod|NOUN|VERB|ROOT|d2" and by_word["dogs"]["sibling"] == "NOUN|NONE|ADV" and by_word["bark"]["depth"] == "d0|VERB|ROOT"
 
 
+def test_long_sentences_are_parsed_whole(spark):
+    """Two hundred words in a chain of conjuncts under one preposition: the ancestors of the last are as many."""
+    dep = lambda i: "ROOT" if i == 0 else "prep" if i == 1 else "amod"
+    tokens = [(i, f"w{i}", "NOUN", dep(i), max(i - 1, 0)) for i in range(200)]
+    df = spark.createDataFrame([(tokens,)], "tokens array<struct<i:int,text:string,pos:string,dep:string,head:int>>")
+    last = df.select(annotated(F.col("tokens")).alias("a")).first().a[-1]
+    assert (last.clause, last.depth, last.left) == ("PREP", "d3+", "NONE")
+    assert set(df.select(struct_rules(F.col("tokens")).alias("r")).first().r) == {"D4|ROOT|NOUN|prep|NOUN", "D3|NOUN|prep|NOUN", "D4|NOUN|NOUN|amod|NOUN", "D3|NOUN|amod|NOUN", "P3|NOUN|NOUN|NOUN"}
+
+
 @pytest.mark.parametrize(("word", "want"), [("", "empty"), ("42", "digit"), ("abc", "lower"), ("ABC", "upper"), ("Abc", "title"), ("aB1", "mixed"), ("aBc", "other")])
 def test_word_shape(spark, word, want):
     assert one(spark, word_shape(F.lit(word))) == want
