@@ -125,7 +125,7 @@ def corrupt(word: Column, mechanism: Column, seed: Column) -> Column:
 
 def minimal(original: Column, typo: Column) -> Column:
     """Three letters or more, changed, at most five edits away and three characters longer or shorter."""
-    return (F.length(original) >= 3) & (typo != "") & (original != typo) & (F.levenshtein(original, typo) <= 5) & (F.abs(F.length(original) - F.length(typo)) <= 3)
+    return (F.length(original) >= 3) & (typo != "") & (original != typo) & (F.levenshtein(F.lower(original), F.lower(typo)) <= 5) & (F.abs(F.length(original) - F.length(typo)) <= 3)
 
 
 def apply_edit(text: Column, start: Column, end: Column, original: Column, typo: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.functions.noise import MECHANISMS
+
+#: The signature levels at which misspellings are remembered: full, d3 and coarse.
+HISTORY_LEVELS = (0, 2, 6)
+
 
 def context_profile(records: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(user_id, ctx, err) rows -> c, p_user = (c + a) / (sum + a n_e), p_global and lift = ln(p_user / p_global)."""
@@ -26,14 +31,54 @@ def lift_cosine(profile: DataFrame) -> DataFrame:
     return dots.join(norms.toDF("u1", "n1"), "u1").join(norms.toDF("u2", "n2"), "u2").select("u1", "u2", (F.col("d") / (F.col("n1") * F.col("n2"))).alias("cosine"))
 
 
-def mechanism_rates(signed: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """(user_id, level, sig, is_error) -> totals, errors and the rate (errors + a) / (total + 2 a)."""
-    total, errors = F.count("*"), F.count_if("is_error")
-    return signed.groupBy("user_id", "level", "sig").agg(total.alias("total"), errors.alias("errors"), ((errors + alpha) / (total + 2 * alpha)).alias("rate"))
+def error_model(signed: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """(user_id, level, sig, mech or null) rows, one for each word and level -> totals, errors by kind and both rates, (n + a) / (total + 2 a)."""
+    total, errors, letters = F.count("*"), F.count("mech"), F.count_if(F.col("mech").isin(*MECHANISMS))
+    rate = lambda n: (n + alpha) / (total + 2 * alpha)
+    return signed.groupBy("user_id", "level", "sig").agg(total.alias("total"), errors.alias("errors"), letters.alias("char_level"), (errors - letters).alias("surface"), rate(errors).alias("rate"), rate(letters).alias("char_rate"))
+
+
+def mechanism_histogram(signed: DataFrame) -> DataFrame:
+    """(user_id, level, sig, mech) counts of the words that are errors."""
+    return signed.filter("mech is not null").groupBy("user_id", "level", "sig", "mech").agg(F.count("*").alias("n"))
+
+
+def user_totals(model: DataFrame) -> DataFrame:
+    """(user_id, n_tokens, n_edits, n_char, p_err, p_char) over all levels."""
+    t = model.groupBy("user_id").agg(F.sum("total").alias("n_tokens"), F.sum("errors").alias("n_edits"), F.sum("char_level").alias("n_char"))
+    return t.withColumns({"p_err": F.col("n_edits") / F.col("n_tokens"), "p_char": F.col("n_char") / F.col("n_tokens")})
+
+
+def mechanism_weights(histogram: DataFrame) -> DataFrame:
+    """(user_id, weights): how often each letter mechanism occurs, in the order of MECHANISMS."""
+    counts = [F.coalesce(F.sum(F.when(F.col("mech") == m, F.col("n"))), F.lit(0)) for m in MECHANISMS]
+    return histogram.groupBy("user_id").agg(F.array(*counts).alias("weights"))
+
+
+def typo_history(signed: DataFrame) -> DataFrame:
+    """(user_id, word, level, sig, typo, mech, n): letter misspellings of lower-case words at the levels full, d3 and coarse."""
+    kept = signed.filter(F.col("mech").isin(*MECHANISMS) & F.col("level").isin(*HISTORY_LEVELS) & (F.col("typo") != ""))
+    return kept.groupBy("user_id", F.lower("word").alias("word"), "level", "sig", "typo", "mech").agg(F.count("*").alias("n"))
+
+
+def history_form(asked: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+    """The user's commonest misspelling of a word in its finest known context: full, d3, coarse, then any.
+
+    `asked` (keys, user_id, word, sigs: all seven) -> keys, typo, mech and source of those that have one.
+    """
+    h = history.withColumnsRenamed({"word": "_word"})
+    joined = asked.join(h, (asked["user_id"] == h["user_id"]) & (F.lower(asked["word"]) == h["_word"]))
+    tier = F.lit(len(HISTORY_LEVELS))
+    for k, level in reversed(list(enumerate(HISTORY_LEVELS))):
+        tier = F.when((F.col("level") == level) & (F.col("sig") == F.col("sigs")[level]), k).otherwise(tier)
+    rows = joined.withColumn("_tier", tier)
+    best = F.min_by(F.struct("typo", "mech", "_tier"), F.struct("_tier", -F.col("n"), "typo", "mech"))
+    names = F.array(*[F.lit(f"user_historical_{x}") for x in ("full", "d3", "coarse", "any")])
+    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.typo", "b.mech", names[F.col("b._tier")].alias("source"))
 
 
-def hierarchical_rate(asked: DataFrame, rates: DataFrame, keys: list[str], default: float) -> DataFrame:
-    """The rate of the finest level known. `asked` (keys, user_id, sigs: finest first); level -1 and the default for none."""
+def hierarchical_rate(asked: DataFrame, rates: DataFrame, keys: list[str], rate: str = "rate") -> DataFrame:
+    """The rate of the finest level known, null for none. `asked` (keys, user_id, sigs: finest first)."""
     wide = asked.select(*keys, "user_id", F.posexplode("sigs").alias("level", "sig"))
-    found = wide.join(rates.select("user_id", "sig", "rate"), ["user_id", "sig"]).groupBy(*keys).agg(F.min_by(F.struct("level", "rate"), "level").alias("m"))
-    return asked.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("m.level", F.lit(-1)).alias("level"), F.coalesce("m.rate", F.lit(default)).alias("rate"))
+    found = wide.join(rates.select("user_id", "level", "sig", F.col(rate).alias("rate")), ["user_id", "level", "sig"]).groupBy(*keys).agg(F.min_by(F.struct("level", "rate"), "level").alias("m"))
+    return asked.select(*keys).join(found, keys, "left").select(*keys, "m.level", "m.rate")

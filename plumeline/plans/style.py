@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from plumeline.functions.vectors import norm, scaled
 from plumeline.operators import gaussian as G
+from plumeline.operators import selection as S
 from plumeline.operators.rules import struct_rules
 from plumeline.registry import register
-from plumeline.sources.tables import REVIEWS_SQL, VECTORS_SQL, review_sentences, style_vectors
+from plumeline.sources.staged import stage
+from plumeline.sources.tables import REVIEWS_SQL, VECTORS_SQL, review_sentences, reviews, style_vectors
 
 # ------------------------------------------------------------------------------------------------- rules and vocabulary
 
@@ -127,7 +129,8 @@ def gauss_d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _distances(spark, sf_dir).select("vec_id", "user_id", F.round("d2", 6).alias("d2"))
 
 
-_T = {"q95": G.CHI2_16[0.95], "q55": G.CHI2_16[0.55], "q15": G.CHI2_16[0.15], "q05": G.CHI2_16[0.05]}
+_T = {f"q{f'{q:g}'[2:]}": t for q, t in G.CHI2_16.items()}  # q95 to q005
+_OBSERVED = (0.5, 0.75, 0.9, 0.95, 0.99)
 _SCORED_SQL = f"""{_PARAMS_SQL},
 pu AS (SELECT DISTINCT asin, user_id FROM vectors WHERE split = 'profile'),
 pair AS (SELECT c.asin, c.vec_id AS cand_id, c.z, params.* FROM vectors c JOIN pu USING (asin) JOIN params ON params.user_id = pu.user_id WHERE c.split = 'val'), {_d2_sql('pair')},
@@ -151,26 +154,52 @@ def best_user_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATED_SQL = f"""{_SCORED_SQL},
-o AS (SELECT s.*, t.threshold, t.lim, CASE t.threshold {" ".join(f"WHEN '{k}' THEN in_{k}" for k in _T)} END AS inside FROM scored s CROSS JOIN (VALUES {", ".join(f"('{k}', {t})" for k, t in _T.items())}) t(threshold, lim)),
+lims AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {t}::DOUBLE)" for k, t in _T.items())}) t(threshold, lim) UNION ALL {" UNION ALL ".join(f"SELECT 'obs{round(100 * q)}', quantile_cont(d2, {q}) FROM scored" for q in _OBSERVED)}),
+o AS (SELECT s.*, t.threshold, t.lim, CASE t.threshold {" ".join(f"WHEN '{k}' THEN in_{k}" for k in _T)} ELSE 0 END AS inside FROM scored s CROSS JOIN lims t),
 gated AS (SELECT *, CASE WHEN d2 > lim THEN 'above_d2' WHEN inside > 2 THEN 'multi_user_inside' WHEN margin < 0 THEN 'below_margin' ELSE 'kept' END AS reason FROM o)"""
 
 
+def gated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate against the seven theoretical thresholds and the five percentiles of the distances observed."""
+    scored = stage(scored_candidates(spark, sf_dir), "scored")
+    return G.gate(scored, _T | G.observed_thresholds(scored, _OBSERVED))
+
+
 @register("gauss_gate_sweep", f"WITH {_GATED_SQL} SELECT threshold, reason, count(*) AS n, count(DISTINCT asin) AS n_products FROM gated GROUP BY ALL")
 def gauss_gate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidates each threshold keeps, and why it drops the others."""
-    g = G.gate(scored_candidates(spark, sf_dir), _T)
-    return g.groupBy("threshold", "reason").agg(F.count("*").alias("n"), F.countDistinct("asin").alias("n_products"))
+    return gated_candidates(spark, sf_dir).groupBy("threshold", "reason").agg(F.count("*").alias("n"), F.countDistinct("asin").alias("n_products"))
+
+
+@register("gate_products", f"""WITH {_GATED_SQL}, u AS (SELECT threshold, asin, count(DISTINCT user_id) AS users FROM gated WHERE reason = 'kept' GROUP BY ALL),
+p AS (SELECT threshold, sum(users)::BIGINT AS n_kept, {", ".join(f"count(*) FILTER (users >= {k}) AS asins_ge{k}" for k in (1, 2, 3, 5))} FROM u GROUP BY threshold),
+d AS (SELECT threshold, {", ".join(f"count(*) FILTER (reason = '{r}') AS n_{r}" for r in ("above_d2", "multi_user_inside", "below_margin"))} FROM gated GROUP BY threshold)
+SELECT threshold, n_above_d2, n_multi_user_inside, n_below_margin, coalesce(n_kept, 0) AS n_kept, {", ".join(f"coalesce(asins_ge{k}, 0) AS asins_ge{k}" for k in (1, 2, 3, 5))} FROM d LEFT JOIN p USING (threshold)""")
+def gate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by number of kept users, and drops, of each threshold."""
+    return G.kept_users(gated_candidates(spark, sf_dir))
 
 
-@register("gate_selection", f"""WITH {_GATED_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY threshold, asin, user_id ORDER BY round(logp, 9) DESC, cand_id) AS r FROM gated WHERE reason = 'kept')
+@register("gate_selection", f"""WITH {_GATED_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY threshold, asin, user_id ORDER BY round(logp, 9) DESC, round(margin, 9) DESC, cand_id) AS r FROM gated WHERE reason = 'kept')
 SELECT threshold, asin, user_id, cand_id, round(d2, 6) AS d2 FROM k WHERE r = 1""")
 def gate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best kept candidate of each product and user by threshold."""
-    g = G.gate(scored_candidates(spark, sf_dir), _T).filter("reason = 'kept'")
-    w = Window.partitionBy("threshold", "asin", "user_id").orderBy(F.round("logp", 9).desc(), "cand_id")
+    g = gated_candidates(spark, sf_dir).filter("reason = 'kept'")
+    w = Window.partitionBy("threshold", "asin", "user_id").orderBy(F.round("logp", 9).desc(), F.round("margin", 9).desc(), "cand_id")
     return g.withColumn("r", F.row_number().over(w)).filter("r = 1").select("threshold", "asin", "user_id", "cand_id", F.round("d2", 6).alias("d2"))
 
 
+@register("prototype_ranks", f"""WITH {VECTORS_SQL}, x AS (SELECT asin, user_id, unnest(range(16)) AS i, unnest(z) AS x FROM vectors WHERE split = 'profile'), m AS (SELECT asin, user_id, i, avg(x) AS m FROM x GROUP BY ALL),
+p0 AS (SELECT asin, user_id, list(m ORDER BY i) AS p FROM m GROUP BY ALL), p AS (SELECT asin, user_id, list_transform(p, lambda q: q / sqrt(list_inner_product(p, p))) AS p FROM p0),
+v AS (SELECT vec_id, asin, user_id, round(list_inner_product(z, p), 9) AS own, z FROM vectors JOIN p USING (asin, user_id) WHERE split = 'val'),
+r AS (SELECT v.vec_id, count(*) FILTER (q.user_id <> v.user_id AND round(list_inner_product(z, q.p), 9) >= own) AS rank FROM v JOIN p q USING (asin) GROUP BY v.vec_id)
+SELECT count(*) AS n_evaluated, round(avg(rank), 6) AS mean_rank, round(avg((rank = 0)::INTEGER), 6) AS top1, round(avg((rank < 3)::INTEGER), 6) AS top3 FROM r""")
+def prototype_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well held-out rows find their user among a product's prototypes."""
+    r = G.prototype_ranks(style_vectors(spark, sf_dir))
+    return r.agg(F.count("*").alias("n_evaluated"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg((F.col("rank") == 0).cast("int")), 6).alias("top1"), F.round(F.avg((F.col("rank") < 3).cast("int")), 6).alias("top3"))
+
+
 @register("audit_calibration", f"""WITH {_PARAMS_SQL}, val AS (SELECT * FROM vectors JOIN params USING (user_id) WHERE split = 'val'), {_d2_sql('val')},
 c AS (SELECT user_id, count(*) AS n_val, avg((d2 <= 26.2962)::INTEGER) AS coverage, median(d2) AS median_d2 FROM dist GROUP BY user_id)
 SELECT user_id, n_val, round(coverage, 6) AS coverage, round(median_d2, 6) AS median_d2, coverage >= 0.8 AND median_d2 <= 26.2962 AS a2_pass FROM c""")
@@ -189,6 +218,36 @@ def audit_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("user_id", "n_val", *[F.round(c, 6).alias(c) for c in ("d2_q50", "d2_q75", "d2_q95", "d2_max")])
 
 
+@register("audit_numerical", f"""WITH {_PARAMS_SQL}, val AS (SELECT * FROM vectors JOIN params USING (user_id) WHERE split = 'val'), {_d2_sql('val')}, n AS (SELECT user_id, count(*) AS n_val, bool_and(isfinite(d2)) AS finite FROM dist GROUP BY user_id)
+SELECT user_id, coalesce(n_val, 0) AS n_val, lam > 0 AND list_min(s) > 0 AND isfinite(ln(lam) + list_sum(list_transform(s, lambda t: ln(greatest(t, 1e-30))))) AND coalesce(n_val, 0) >= 10 AND coalesce(finite, true) AS a1_pass FROM params LEFT JOIN n USING (user_id)""")
+def audit_numerical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which users' parameters are numerically valid."""
+    p = axis_params(spark, sf_dir).join(_distances(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n_val"), F.max("d2").alias("d2_max")), "user_id", "left")
+    none = p.select("user_id").limit(0)
+    calibrated = none.select("user_id", *[F.lit(None).cast(t).alias(c) for c, t in (("coverage", "double"), ("median_d2", "double"), ("a2_pass", "boolean"))])
+    stable = none.select("user_id", *[F.lit(None).cast("double").alias(c) for c in ("fit_rate", "rho_median", "agreement_median")])
+    return G.verdict(p, calibrated, stable).select("user_id", F.coalesce("n_val", F.lit(0)).alias("n_val"), "a1_pass")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = style_vectors(spark, sf_dir)
+    fits = stage(G.fit(v), "fits")
+    val = v.filter("split = 'val'").join(fits.select("user_id", "mu", "lambda", "v", "s"), "user_id").select("user_id", G.d2(*map(F.col, ("z", "mu", "lambda", "v", "s"))).alias("d2"))
+    return G.verdict(fits, G.calibration(val), G.stability(v))
+
+
+@register("audit_verdict")
+def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which fitted users pass the three rules: numerical validity, calibration and stability."""
+    return _verdicts(spark, sf_dir).select("user_id", "n", "n_val", "coverage", "median_d2", "fit_rate", "rho_median", "agreement_median", "a1_pass", "a2_pass", "a3_pass", "valid")
+
+
+@register("audit_summary")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of users by rule, and percentiles of the audit's figures."""
+    return G.audit_summary(_verdicts(spark, sf_dir))
+
+
 @register("audit_stability")
 def audit_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How refits on subsamples agree with the full fit."""
@@ -204,3 +263,47 @@ def pair_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = style_vectors(spark, sf_dir)
     users = v.filter("split = 'profile'").select("asin", "user_id").distinct().join(axis_params(spark, sf_dir), "user_id")
     return G.most_distant_pairs(users.select("asin", "user_id", "mu", "s"))
+
+
+_TAU = G.CHI2_16[0.95]
+
+
+def exact_d2_sql(source: str) -> str:
+    """`exact`: the columns of `source` (z, mu, lam, v, s) with Mahalanobis distance and log density."""
+    return f"""ex1 AS (SELECT *, list_transform(list_zip(z, mu), lambda q: q[1] - q[2]) AS df FROM {source}),
+ex2 AS (SELECT *, list_sum(list_transform(list_zip(df, s), lambda q: q[1] * q[1] / q[2])) AS dd, list_sum(list_transform(list_zip(df, s, v), lambda q: q[1] * q[3] / q[2])) AS dv, list_sum(list_transform(list_zip(v, s), lambda q: q[1] * q[1] / q[2])) AS vs FROM ex1),
+ex3 AS (SELECT *, greatest(dd - lam * dv * dv / (1 + lam * vs), 0) AS d2 FROM ex2),
+exact AS (SELECT *, -0.5 * d2 - 0.5 * (list_sum(list_transform(s, lambda t: ln(t))) + ln(1 + lam * vs) + 16 * ln(2 * pi())) AS logp FROM ex3)"""
+
+
+@register("conditional_pairs", f"""WITH {_PARAMS_SQL}, pu AS (SELECT DISTINCT asin, user_id FROM vectors WHERE split = 'profile'), u AS (SELECT asin, params.* FROM pu JOIN params USING (user_id)),
+c AS (SELECT vectors.asin, vec_id AS cand_id, 'q' || vec_id::VARCHAR AS text, z, u.* EXCLUDE (asin) FROM vectors JOIN u USING (asin) WHERE split = 'val'), {exact_d2_sql("c")},
+own AS (SELECT a.asin, a.user_id AS me, b.user_id AS other, a.cand_id, a.text, a.logp, a.d2, a.logp - b.logp AS margin FROM exact a JOIN exact b ON a.asin = b.asin AND a.cand_id = b.cand_id AND a.user_id <> b.user_id WHERE a.d2 <= {_TAU} AND b.d2 > {_TAU} AND a.logp - b.logp >= 0),
+best AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY asin, me, other ORDER BY round(logp, 9) DESC, cand_id) = 1),
+f AS (SELECT a.asin, a.me AS u1, a.other AS u2, a.cand_id AS c1, b.cand_id AS c2, a.d2 AS d21, b.d2 AS d22 FROM best a JOIN best b ON a.asin = b.asin AND a.me = b.other AND a.other = b.me AND a.me < b.me WHERE a.text <> b.text),
+bd AS (SELECT a.asin, a.user_id AS u1, b.user_id AS u2, round(list_sum(list_transform(list_zip(a.mu, b.mu, a.s, b.s), lambda q: pow(q[1] - q[2], 2) / ((q[3] + q[4]) / 2))) / 8 + 0.5 * list_sum(list_transform(list_zip(a.s, b.s), lambda q: ln((q[1] + q[2]) / 2 / sqrt(q[1] * q[2])))), 6) AS distance FROM u a JOIN u b ON a.asin = b.asin AND a.user_id < b.user_id)
+SELECT asin, u1, u2, c1, c2, round(d21, 6) AS d2_1, round(d22, 6) AS d2_2, distance FROM f JOIN bd USING (asin, u1, u2) QUALIFY row_number() OVER (PARTITION BY asin ORDER BY distance DESC, u1, u2) = 1""")
+def conditional_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most distant feasible pair of users of each product, by exact distances, and the candidate chosen for each."""
+    v = style_vectors(spark, sf_dir)
+    users = v.filter("split = 'profile'").select("asin", "user_id").distinct().join(axis_params(spark, sf_dir), "user_id")
+    cands = v.filter("split = 'val'").select("asin", F.col("vec_id").alias("cand_id"), F.concat(F.lit("q"), "vec_id").alias("text"), "z")
+    out = G.select_pairs(cands, users)
+    return out.select("asin", "u1", "u2", F.col("p1.cand_id").alias("c1"), F.col("p2.cand_id").alias("c2"), F.round("p1.d2", 6).alias("d2_1"), F.round("p2.d2", 6).alias("d2_2"), "distance")
+
+
+@register("eligible_users", f"""WITH {VECTORS_SQL}, n AS (SELECT user_id, count(*) FILTER (split = 'profile') AS n_profile, count(*) FILTER (split = 'val') AS n_val FROM vectors GROUP BY user_id)
+SELECT * FROM n WHERE n_profile >= 18 AND n_val >= 4 AND user_id IN (SELECT 'u' || label::VARCHAR FROM embeddings GROUP BY label HAVING min(vec_id) % 2 = 0)""")
+def eligible_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with enough profile and held-out rows who are on the list of trained ones (here: whose first vector has an even id)."""
+    v = style_vectors(spark, sf_dir)
+    trained = v.groupBy("user_id").agg(F.min("vec_id").alias("first")).filter("first % 2 = 0").select("user_id")
+    return S.gaussian_eligible(v, trained, 18, 4)
+
+
+@register("top_product_users", f"""WITH {REVIEWS_SQL}, n AS (SELECT user_id, count(*) AS n FROM sentences GROUP BY user_id), p AS (SELECT DISTINCT asin, user_id FROM reviews)
+SELECT asin, user_id, n FROM p JOIN n USING (user_id) QUALIFY row_number() OVER (PARTITION BY asin ORDER BY n DESC, user_id) <= 2""")
+def top_product_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two users of each product who wrote the most sentences."""
+    n = review_sentences(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
+    return S.top_users(reviews(spark, sf_dir).select("asin", "user_id").distinct().join(n, "user_id"), 2)
