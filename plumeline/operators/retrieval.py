@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.vectors import cosine
+from plumeline.sources.staged import stage
 
 #: The stop words of the lexical retriever.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
@@ -27,23 +28,36 @@ def term_counts(rows: DataFrame, key: str, text: str, params: Bm25) -> DataFrame
     return terms.filter(~F.col("term").isin(*params.stop_words)).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Up to so many distinct query terms are broadcast; more meet the documents' words by a shuffle.
+FEW_TERMS = 1_000_000
+
+
 def bm25_scores(queries: DataFrame, documents: DataFrame, params: Bm25) -> DataFrame:
     """(query_id, doc_id, score) of documents that share a term with a query, idf in its Lucene form.
 
-    The stated query set is small; its terms are the small side of the join, so only the postings of query terms are
-    kept before anything is shuffled for scoring. Lengths and their mean are counted over all documents.
+    Documents are split into words once: what is written down is a row for each query term of a document and one for all
+    its other words, from which lengths, document frequencies and scores follow.
     """
-    q = term_counts(queries, "query_id", "text", params).withColumnRenamed("tf", "qtf")
-    tokens = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(params.token), F.lit(0)), lambda t: ~t.isin(*params.stop_words))
-    docs = documents.select("doc_id", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = docs.agg(F.count("*").alias("n"), (F.sum("dl") / F.count("*")).alias("avgdl"))
-    wanted = q.select("term").distinct()
-    postings = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("dl") / F.col("avgdl")))
-    joined = postings.join(q, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    return joined.groupBy("query_id", "doc_id").agg(_exact_sum(part).alias("score"))
+    q = stage(term_counts(queries, "query_id", "text", params).withColumnRenamed("tf", "qtf"), "query-terms")
+    wanted = q.select("term", F.col("term").alias("known")).distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted.hint("shuffle_hash")
+    words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(params.token), F.lit(0))).alias("term")).filter(~F.col("term").isin(*params.stop_words))
+    counts = stage(words.join(wanted, "term", "left").groupBy("doc_id", F.col("known").alias("term")).agg(F.count("*").alias("tf")), "postings")
+    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    n = documents.count()
+    total = counts.agg(F.sum("tf")).first()[0] or 0
+    postings = counts.filter("term is not null").join(lengths, "doc_id")
+    df = counts.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("dl") / F.lit(total / max(1, n))))
+    return postings.join(q.join(df, "term"), "term").groupBy("query_id", "doc_id").agg(_exact_sum(part).alias("score"))
+
+
+def target_ranks(scores: DataFrame, targets: DataFrame, limit: int = 20_000) -> DataFrame:
+    """(query_id, target, rank): one more than the documents before the target by score, then doc_id; counted, not sorted. Beyond `limit`, or without a score, limit + 1."""
+    own = scores.join(targets.select("query_id", F.col("target").alias("doc_id")), ["query_id", "doc_id"]).select("query_id", F.col("score").alias("_s"), F.col("doc_id").alias("_t"))
+    before = scores.join(own, "query_id").groupBy("query_id").agg((1 + F.count_if((F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("doc_id") < F.col("_t"))))).alias("_rank"))
+    return targets.join(before, "query_id", "left").select("query_id", "target", F.when(F.col("_rank") <= limit, F.col("_rank")).otherwise(F.lit(limit + 1)).cast("int").alias("rank"))
 
 
 def _exact_sum(part: Column) -> Column:

@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeline.operators.blocked import blocked_fusion, blocked_top_k, cosine_scores, maxsim, sparse_products
 from plumeline.operators.ranking import hit_columns
-from plumeline.operators.retrieval import Bm25, bm25_scores, dense_scores, maxsim_scores, sparse_scores, top_k, zscore_fusion
+from plumeline.operators.retrieval import Bm25, bm25_scores, target_ranks, top_k
+from plumeline.operators.selection import joined_one_to_one
 from plumeline.registry import register
+from plumeline.sources.staged import stage
 from plumeline.sources.tables import table
 
 _TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
 _STOP = "('a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with')"
 
-BM25_SQL = f"""docs AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+def bm25_sql(queries: str, tag: str = "") -> str:
+    """`scores{tag}`, `ranked{tag}` of the queries (query_id, text) of a table or subquery over the documents of BM25_DOCS."""
+    return f"""qt{tag} AS (SELECT query_id, unnest({_TERMS}) AS term FROM {queries}),
+q{tag} AS (SELECT query_id, term, count(*) AS qtf FROM qt{tag} WHERE term NOT IN {_STOP} GROUP BY ALL),
+scores{tag} AS (SELECT query_id, doc_id, round(sum(round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 9)::DECIMAL(28, 9)), 6)::DOUBLE AS score
+  FROM q{tag} JOIN d USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN stats GROUP BY ALL),
+ranked{tag} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM scores{tag})"""
+
+
+BM25_DOCS = f"""docs AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
 d AS (SELECT doc_id, term, count(*) AS tf FROM docs WHERE term NOT IN {_STOP} GROUP BY ALL),
 len AS (SELECT doc_id, sum(tf) AS dl FROM d GROUP BY doc_id),
 stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM len) / (SELECT count(*) FROM documents)::DOUBLE AS avgdl),
 df AS (SELECT term, count(*) AS df FROM d GROUP BY term),
-qt AS (SELECT item_id AS query_id, unnest({_TERMS}) AS term FROM benchmark),
-q AS (SELECT query_id, term, count(*) AS qtf FROM qt WHERE term NOT IN {_STOP} GROUP BY ALL),
-scores AS (SELECT query_id, doc_id, round(sum(round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)), 9)::DECIMAL(28, 9)), 6)::DOUBLE AS score
-  FROM q JOIN d USING (term) JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN stats GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM scores),
 target AS (SELECT item_id AS query_id, min(doc_id) AS target FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)"""
+BM25_SQL = f"{BM25_DOCS}, {bm25_sql('(SELECT item_id AS query_id, text FROM benchmark)')}"
+#: Clean and misspelt queries: `outcomes` (query_id, asin, user_id, rank_clean, rank_noisy), null for a target beyond the first hundred.
+OUTCOMES_SQL = f"""{BM25_SQL}, {bm25_sql("(SELECT item_id AS query_id, CASE WHEN w = '' THEN text ELSE substr(text, 1, instr(text, w) + length(w) - 2) || substr(text, instr(text, w) + length(w)) END AS text FROM (SELECT item_id, text, regexp_extract(text, '([A-Za-z]{5,})', 1) AS w FROM benchmark))", "_n")},
+outcomes AS (SELECT t.query_id, 'A' || (t.query_id // 4)::VARCHAR AS asin, 'u' || (t.query_id % 10)::VARCHAR AS user_id, CASE WHEN a.pos <= 100 THEN a.pos END AS rank_clean, CASE WHEN b.pos <= 100 THEN b.pos END AS rank_noisy
+  FROM target t LEFT JOIN ranked a ON a.query_id = t.query_id AND a.doc_id = t.target LEFT JOIN ranked_n b ON b.query_id = t.query_id AND b.doc_id = t.target)"""
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def misspelt(queries: DataFrame) -> DataFrame:
+    """(query_id, text): the last letter of each query's first long word dropped."""
+    word = F.regexp_extract("text", "([A-Za-z]{5,})", 1)
+    end = F.instr("text", word) + F.length(word)
+    cut = F.concat(F.substring("text", F.lit(1), end - 2), F.substring("text", end, F.length("text")))
+    return queries.select("query_id", F.when(word == "", F.col("text")).otherwise(cut).alias("text"))
+
+
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_scores(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), Bm25())
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each query, the first document that holds its text. The stated query set is the small side; documents stay where they are."""
+    """For each query, the first document that holds its text. Documents stay where they are as long as the query set is small."""
     q = _queries(spark, sf_dir)
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")).join(F.broadcast(q), F.contains(F.col("body"), F.col("text"))).groupBy("query_id").agg(F.min("doc_id").alias("target"))
+    q = F.broadcast(q) if q.count() <= 50_000 else q
+    found = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")).join(q, F.contains(F.col("body"), F.col("text"))).groupBy("query_id").agg(F.min("doc_id").alias("target"))
+    return stage(found, "targets")
 
 
 @register("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100")
@@ -47,8 +69,23 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = top_k(bm25(spark, sf_dir), 20_000)
-    return targets(spark, sf_dir).join(ranked.withColumnRenamed("doc_id", "target"), ["query_id", "target"], "left").withColumn("rank", F.coalesce("pos", F.lit(20_001))).select("query_id", "target", "rank")
+    return target_ranks(stage(bm25(spark, sf_dir), "scores"), targets(spark, sf_dir))
+
+
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, asin, user_id, rank_clean, rank_noisy): BM25 ranks of each query's target, clean and misspelt; null beyond the first hundred.
+
+    Both ranks of a query must be there, once: the join is asserted.
+    """
+    q, documents = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
+    both = q.select((2 * F.col("query_id")).alias("query_id"), "text").unionByName(misspelt(q).select((2 * F.col("query_id") + 1).alias("query_id"), "text"))
+    t = targets(spark, sf_dir)
+    twice = t.select((2 * F.col("query_id")).alias("query_id"), "target").unionByName(t.select((2 * F.col("query_id") + 1).alias("query_id"), "target"))
+    ranks = stage(target_ranks(stage(bm25_scores(both, documents, Bm25()), "scores"), twice, limit=100), "ranks")
+    ranks = ranks.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2 == 1).alias("noisy"), F.when(F.col("rank") <= 100, F.col("rank")).alias("rank"))
+    clean, noisy = (ranks.filter(c).select("query_id", F.col("rank").alias(n)) for c, n in (("not noisy", "rank_clean"), ("noisy", "rank_noisy")))
+    rows = joined_one_to_one(clean, noisy, ["query_id"])
+    return rows.select("query_id", F.concat(F.lit("A"), F.floor(F.col("query_id") / 4)).alias("asin"), F.concat(F.lit("u"), F.col("query_id") % 10).alias("user_id"), "rank_clean", "rank_noisy")
 
 
 @register("bm25_rank", f"""WITH {BM25_SQL} SELECT t.query_id, target, coalesce(pos, 20001)::INTEGER AS rank, round(1.0 / coalesce(pos, 20001), 6) AS rr,
@@ -72,16 +109,17 @@ scores AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(list_
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM scores)"""
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str, labelled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The stated queries, every fiftieth vector, and all vectors."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0 and label is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return dense_scores(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))).filter("query_id <> doc_id")
+    q = v.filter("vec_id % 50 = 0 and label is not null" if labelled else "vec_id % 50 = 0")
+    return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))
 
 
 @register("dense_topk", f"WITH {_DENSE} SELECT query_id, pos::INTEGER AS pos, doc_id, score, rank::INTEGER AS rank FROM ranked WHERE pos <= 100")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred nearest vectors of every fiftieth vector by cosine, with their competition rank."""
-    return top_k(_dense(spark, sf_dir), 100, competition=True)
+    return blocked_top_k(*_vectors(spark, sf_dir, labelled=True), cosine_scores, 100, competition=True)
 
 
 _TOKENS_SQL = """tokens AS (SELECT vec_id, unnest(range(4)) AS t, embedding FROM embeddings),
@@ -92,17 +130,11 @@ best AS (SELECT query_id, qt, vec_id AS doc_id, max(list_cosine_similarity(qv, v
 maxsim AS (SELECT query_id, doc_id, round(sum(round(m, 9)), 6) AS score FROM best GROUP BY ALL)"""
 
 
-def _maxsim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice("embedding", t * 16 + 1, 16)).alias("parts"))
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("parts").alias("q"))
-    return maxsim_scores(q, v.select(F.col("vec_id").alias("doc_id"), F.col("parts").alias("d"))).filter("query_id <> doc_id")
-
-
 @register("maxsim_topk", f"""WITH {_MAXSIM}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM maxsim)
 SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100""")
 def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late interaction: the sum over a query's parts of the best cosine with a document's parts."""
-    return top_k(_maxsim(spark, sf_dir), 100)
+    return blocked_top_k(*_vectors(spark, sf_dir), maxsim(4), 100)
 
 
 @register("hybrid_topk", f"""WITH {_MAXSIM}, q2 AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
@@ -113,11 +145,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 20""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and MaxSim scores standardised per query and added."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dense = dense_scores(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))).filter("query_id <> doc_id")
-    both = dense.withColumnRenamed("score", "dense").join(_maxsim(spark, sf_dir).withColumnRenamed("score", "maxsim"), ["query_id", "doc_id"])
-    return top_k(zscore_fusion(both, {"dense": 1.0, "maxsim": 1.0}), 20)
+    return blocked_fusion(*_vectors(spark, sf_dir), {"dense": (cosine_scores, 1.0), "maxsim": (maxsim(4), 1.0)}, 20)
 
 
 _SPARSE = """q AS (SELECT vec_id AS query_id, unnest(range(64)) AS term, unnest(embedding)::DOUBLE AS w FROM embeddings WHERE vec_id % 50 = 0),
@@ -126,16 +154,10 @@ s AS (SELECT query_id, doc_id, round(sum(round(q.w * d.w, 9)::DECIMAL(28, 9)), 6
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM s)"""
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("term", "w")).select("vec_id", "term", F.col("w").cast("double").alias("w")).filter("w > 0.05")
-    q = w.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    return sparse_scores(q, w.withColumnRenamed("vec_id", "doc_id")).filter("query_id <> doc_id")
-
-
 @register("sparse_topk", f"WITH {_SPARSE} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned-sparse retrieval by an inverted index: coordinates over 0.05 stand for term weights."""
-    return top_k(_sparse(spark, sf_dir), 100)
+    return blocked_top_k(*_vectors(spark, sf_dir), sparse_products(0.05), 100)
 
 
 @register("hybrid_three_topk", f"""WITH {_MAXSIM}, q2 AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
@@ -148,9 +170,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 20""")
 def hybrid_three_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense, sparse and MaxSim scores standardised per query and added with weights 1, 0.3 and 1; no common term is a sparse 0."""
-    v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dense = dense_scores(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))).filter("query_id <> doc_id")
-    both = dense.withColumnRenamed("score", "dense").join(_maxsim(spark, sf_dir).withColumnRenamed("score", "maxsim"), ["query_id", "doc_id"])
-    every = both.join(_sparse(spark, sf_dir).withColumnRenamed("score", "sparse"), ["query_id", "doc_id"], "left").fillna(0.0, ["sparse"])
-    return top_k(zscore_fusion(every, {"dense": 1.0, "sparse": 0.3, "maxsim": 1.0}), 20)
+    return blocked_fusion(*_vectors(spark, sf_dir), {"dense": (cosine_scores, 1.0), "sparse": (sparse_products(0.05, none=0.0), 0.3), "maxsim": (maxsim(4), 1.0)}, 20)

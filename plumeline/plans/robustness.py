@@ -1,4 +1,4 @@
-"""Robustness queries: volatility, degradation by noise, reranking. Ranks come from the documents' and vectors' own numbers."""
+"""Robustness queries: volatility, degradation by noise, reranking. Degradation compares BM25 ranks of clean and misspelt queries."""
 
 from __future__ import annotations
 
@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 
 from plumeline.operators.metrics import fuse, paired_degradation, rerank_flip, rerank_metrics, stage_delta, volatility
 from plumeline.operators.ranking import kendall_and_spearman
+from plumeline.plans.retrieval import OUTCOMES_SQL, outcomes
 from plumeline.registry import register
 from plumeline.sources.tables import table
 
 
-def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, asin, user_id, rank_clean, rank_noisy) by document; ranks over 30 and 36 stand for misses (null)."""
-    d = table(spark, sf_dir, "documents")
-    clean, noisy = F.col("n_chars") % 33 + 1, (F.col("n_chars") + 3 * F.col("doc_id")) % 40 + 1
-    return d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("A"), F.col("doc_id") % 50).alias("asin"), F.col("source").alias("user_id"), F.when(clean <= 30, clean).alias("rank_clean"), F.when(noisy <= 36, noisy).alias("rank_noisy"))
-
-
-OUTCOMES_SQL = """outcomes AS (SELECT doc_id AS query_id, 'A' || (doc_id % 50)::VARCHAR AS asin, source AS user_id,
-  CASE WHEN n_chars % 33 + 1 <= 30 THEN n_chars % 33 + 1 END AS rank_clean, CASE WHEN (n_chars + 3 * doc_id) % 40 + 1 <= 36 THEN (n_chars + 3 * doc_id) % 40 + 1 END AS rank_noisy FROM documents)"""
-
 _VOLATILITY = """q AS (SELECT label::VARCHAR || '/' || (vec_id % 25)::VARCHAR AS asin, vec_id AS query_id, CASE WHEN vec_id % 17 > 0 THEN vec_id * 7 % 30 + 1 END AS rank, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL),
 u AS (SELECT * FROM q WHERE asin IN (SELECT asin FROM q GROUP BY asin HAVING count(*) >= 2 AND count(*) = count(rank))),
 p AS (SELECT a.asin, a.rank AS ra, b.rank AS rb FROM u a JOIN u b ON a.asin = b.asin AND a.query_id < b.query_id WHERE list_inner_product(a.v, b.v) >= 0.1),
@@ -38,9 +29,9 @@ def volatility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volatility(q, threshold=0.1)
 
 
-@register("paired_degradation", f"""WITH {OUTCOMES_SQL}, d AS (SELECT *, coalesce(1.0 / rank_clean, 0) - coalesce(1.0 / rank_noisy, 0) AS delta FROM outcomes)
+@register("paired_degradation", f"""WITH {OUTCOMES_SQL}, dg AS (SELECT *, coalesce(1.0 / rank_clean, 0) - coalesce(1.0 / rank_noisy, 0) AS delta FROM outcomes)
 SELECT count(*) AS n_pairs, {", ".join(f"round(avg(coalesce((rank_clean <= {k})::INTEGER, 0) - coalesce((rank_noisy <= {k})::INTEGER, 0)), 6) AS hit{k}_drop" for k in (1, 5, 10, 20))},
-round(avg(delta), 6) AS rr_drop_mean, round(median(delta), 6) AS rr_drop_median, count(*) FILTER (delta > 0) AS n_hurt, count(*) FILTER (delta < 0) AS n_helped, count(*) FILTER (delta = 0) AS n_same FROM d""")
+round(avg(delta), 6) AS rr_drop_mean, round(median(delta), 6) AS rr_drop_median, count(*) FILTER (delta > 0) AS n_hurt, count(*) FILTER (delta < 0) AS n_helped, count(*) FILTER (delta = 0) AS n_same FROM dg""")
 def paired_degradation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What noise costs each clean query."""
     return paired_degradation(outcomes(spark, sf_dir))
