@@ -41,13 +41,13 @@ def _headline(rows: DataFrame, rank: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce((F.col(rank) <= 10).cast("int"), F.lit(0))).alias("hit10"))
 
 
-@register("stage_delta", f"""WITH {OUTCOMES_SQL}, a AS (SELECT user_id, avg(coalesce(1.0 / rank_clean, 0)) AS mrr, avg(coalesce((rank_clean <= 10)::INTEGER, 0)) AS hit10 FROM outcomes WHERE query_id % 2 = 0 GROUP BY user_id),
-b AS (SELECT user_id, avg(coalesce(1.0 / rank_noisy, 0)) AS mrr, avg(coalesce((rank_noisy <= 10)::INTEGER, 0)) AS hit10 FROM outcomes WHERE query_id % 3 = 0 GROUP BY user_id)
+@register("stage_delta", f"""WITH {OUTCOMES_SQL}, a AS (SELECT user_id, avg(coalesce(1.0 / rank_clean, 0)) AS mrr, avg(coalesce((rank_clean <= 10)::INTEGER, 0)) AS hit10 FROM outcomes WHERE rank_clean IS NOT NULL GROUP BY user_id),
+b AS (SELECT user_id, avg(coalesce(1.0 / rank_noisy, 0)) AS mrr, avg(coalesce((rank_noisy <= 10)::INTEGER, 0)) AS hit10 FROM outcomes WHERE rank_noisy IS NOT NULL GROUP BY user_id)
 SELECT user_id, round(b.mrr - a.mrr, 6) AS mrr_delta, round(b.hit10 - a.hit10, 6) AS hit10_delta FROM a FULL OUTER JOIN b USING (user_id)""")
 def stage_delta_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of one stage against another's, whichever side has the user."""
     rows = outcomes(spark, sf_dir)
-    return stage_delta(_headline(rows.filter("query_id % 2 = 0"), "rank_clean"), _headline(rows.filter("query_id % 3 = 0"), "rank_noisy"), ["user_id"], ["mrr", "hit10"])
+    return stage_delta(_headline(rows.filter("rank_clean is not null"), "rank_clean"), _headline(rows.filter("rank_noisy is not null"), "rank_noisy"), ["user_id"], ["mrr", "hit10"])
 
 
 @register("stage_delta_all", f"""WITH {OUTCOMES_SQL} SELECT user_id, round(avg(coalesce(1.0 / rank_noisy, 0)) - avg(coalesce(1.0 / rank_clean, 0)), 6) AS mrr_delta,
