@@ -73,4 +73,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sparse_suffix_repeats": op10_sparse_suffix_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Pairwise, so meant for small tables.
+ORACLE_SQL: dict[str, str] = {
+    "op6_lsh_forest_join": """WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep, count(*) AS weight FROM documents GROUP BY 1),
+w AS (SELECT text, rep, weight, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM texts),
+g AS (SELECT rep, list_distinct(list_transform(range(1, greatest(1, len(words) - 4) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS grams FROM w WHERE len(words) > 0),
+p AS (SELECT rep, len(grams) AS size, unnest(grams) AS gram FROM g),
+met AS (SELECT x.rep AS a, y.rep AS b, count(*) AS n, any_value(x.size) AS sa, any_value(y.size) AS sb FROM p x JOIN p y ON x.gram = y.gram AND x.rep <> y.rep GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE n / (sa + sb - n) >= 0.8),
+reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+class AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+n AS (SELECT a AS rep, sum(weight) AS n FROM links JOIN texts ON texts.rep = b GROUP BY a)
+SELECT d.doc_id, CASE WHEN len(words) = 0 THEN d.doc_id ELSE coalesce(class_id, w.rep) END AS class_id, (CASE WHEN len(words) = 0 THEN 0 ELSE coalesce(n, 0) + w.weight - 1 END)::BIGINT AS n_links
+FROM documents d JOIN w ON w.text = coalesce(d.text, '') LEFT JOIN class ON class.rep = w.rep LEFT JOIN n ON n.rep = w.rep""",
+    "op8_sorted_projection_passes": """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM v LEFT JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+}

@@ -435,3 +435,13 @@ def test_registered_queries_run(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()
     n = duckdb.sql(f"select count(*) from '{SF}/{'embeddings' if name.startswith('op8') else 'documents'}.parquet'").fetchall()[0][0]
     assert len(got) == n or name.startswith(("op7", "op10"))
+
+
+@pytest.mark.parametrize("name", sorted(entry._llm.ORACLE_SQL))
+def test_queries_agree_with_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(entry.oracle_sql()[name]).df()
+    got = entry.queries()[name](spark, SF).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
