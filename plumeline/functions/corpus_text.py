@@ -53,9 +53,15 @@ def plain_marks(c: Column) -> Column:
 
 def fix_encoding(c: Column) -> Column:
     """Garbled pairs mended, stray lead characters and other scripts taken away."""
-    for bad, good in GARBLED.items():
-        c = F.replace(c, F.lit(bad), F.lit(good))
-    return squeeze(F.regexp_replace(F.regexp_replace(c, r"[Ââ](?!\S)", ""), OTHER_SCRIPTS, " "))
+
+    def mended(v: Column) -> Column:
+        out = v["c"]
+        for bad, good in GARBLED.items():
+            out = F.replace(out, F.lit(bad), F.lit(good))
+        # Every pair begins with one of these, and few texts hold any.
+        return F.when(v["c"].rlike("[ÂâÃï]"), F.regexp_replace(out, r"[Ââ](?!\S)", "")).otherwise(v["c"])
+
+    return squeeze(F.regexp_replace(let(mended, c=c), OTHER_SCRIPTS, " "))
 
 
 def split_sentences(c: Column) -> Column:
@@ -66,9 +72,18 @@ def without_marketing(c: Column) -> Column:
     """Sentences and phrases that say nothing, and addresses, taken away."""
     whole = r"^\s*(?:" + "|".join(EMPTY_SENTENCES) + r")\s*$"
     c = F.array_join(F.filter(split_sentences(c), lambda s: ~strip(s).rlike(whole)), " ")
-    for phrase in EMPTY_PHRASES:
-        c = F.regexp_replace(c, "(?i)" + phrase, " ")
-    return squeeze(F.regexp_replace(F.regexp_replace(c, r"https?://\S+", " "), r"\bwww\.\S+", " "))
+
+    def without_phrases(v: Column) -> Column:
+        out = v["c"]
+        for phrase in EMPTY_PHRASES:
+            out = F.regexp_replace(out, "(?i)" + phrase, " ")
+        return F.when(v["c"].rlike("(?i)" + "|".join(EMPTY_PHRASES)), out).otherwise(v["c"])
+
+    def without_addresses(v: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(v["c"], r"https?://\S+", " "), r"\bwww\.\S+", " ")
+        return F.when(F.contains(v["c"], F.lit("http")) | F.contains(v["c"], F.lit("www.")), out).otherwise(v["c"])
+
+    return squeeze(let(without_addresses, c=let(without_phrases, c=c)))
 
 
 def numbers(c: Column) -> Column:

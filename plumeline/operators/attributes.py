@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumeline.functions.scoped import let
 from plumeline.functions.text import WORD, split_camel, strip
 
 # Key lists of the attribute rules.
@@ -34,9 +35,9 @@ def raw_attributes(details: Column, features: Column, brand: Column, category: C
     listed = F.filter(F.transform(features, lambda f, i: attribute(1000 + i, F.concat(F.lit("Feature "), i + 1), strip(f))), lambda d: d["value"].isNotNull() & (d["value"] != ""))
     out = F.concat(named, listed)
     for place, (key, value) in enumerate({"Brand": brand, "Main Category": category}.items()):
-        absent = ~F.array_contains(F.transform(out, lambda d: d["key"]), key)
         extra = F.array(attribute(F.lit(2000 + place), F.lit(key), strip(value)))
-        out = F.when(absent & value.isNotNull() & (strip(value) != ""), F.concat(out, extra)).otherwise(out)
+        usable = value.isNotNull() & (strip(value) != "")
+        out = let(lambda v: F.when(usable & ~F.exists(v["out"], lambda d: d["key"] == key), F.concat(v["out"], extra)).otherwise(v["out"]), out=out)  # noqa: B023
     more = [attribute(F.lit(3000 + i), F.lit(k), v.cast("string")) for i, (k, v) in enumerate(numbers.items())]
     return F.concat(out, F.filter(F.array(*more), lambda d: d["value"].isNotNull())) if more else out
 
@@ -50,9 +51,11 @@ def _speaks(d: Column) -> Column:
 def extracted(raw: Column) -> Column:
     """The rules in their order: no digits, first of equal values, at most three words that speak, first part of a comma list."""
     wordy = F.filter(raw, lambda d: ~d["value"].rlike(DIGIT))
-    keys = F.transform(wordy, lambda d: F.lower(strip(d["value"])))
-    first = F.filter(wordy, lambda d, i: F.array_position(keys, F.lower(strip(d["value"]))) == i + 1)
-    spoken = F.filter(first, _speaks)
+
+    def first_of_equal(v: Column) -> Column:
+        return let(lambda u: F.filter(v["wordy"], lambda d, i: F.array_position(u["keys"], u["keys"][i]) == i + 1), keys=F.transform(v["wordy"], lambda d: F.lower(strip(d["value"]))))
+
+    spoken = F.filter(let(first_of_equal, wordy=wordy), _speaks)
     cut = F.transform(spoken, lambda d: attribute(d["pos"], d["key"], strip(F.split_part(d["value"], F.lit(","), F.lit(1)))))
     return F.filter(cut, lambda d: (d["value"] != "") & _speaks(d))
 
@@ -62,7 +65,9 @@ def product_attributes(meta: DataFrame, least: int = 5) -> DataFrame:
     asin = F.coalesce(F.nullif(F.col("parent_asin"), F.lit("")), F.nullif(F.col("asin"), F.lit("")))
     numbers = {"Average Rating": F.col("average_rating"), "Rating Number": F.col("rating_number"), "Price": F.col("price")}
     raw = raw_attributes(F.col("details"), F.col("features"), F.col("brand"), F.col("main_category"), numbers)
-    rows = meta.select(asin.alias("asin"), "line_no", extracted(raw).alias("attrs")).filter("asin is not null")
+    # Generated, so that each step is computed once and not in every place that reads it.
+    rows = meta.select(asin.alias("asin"), "line_no", F.explode(F.array(raw)).alias("raw")).filter("asin is not null")
+    rows = rows.select("asin", "line_no", F.explode(F.array(extracted(F.col("raw")))).alias("attrs"))
     last = rows.groupBy("asin").agg(F.max_by("attrs", "line_no").alias("attrs"))
     return last.filter(F.size("attrs") >= least)
 

@@ -124,11 +124,12 @@ def _prompt_sql(name: str) -> str:
     return f"{quoted(before)} || b.text || {quoted(between)} || substr(trim(d.text, chr(32) || chr(9) || chr(10) || chr(13)), 1, 240) || {quoted(after)}"
 
 
-@register("rerank_prompts", "WITH p AS (" + " UNION ALL ".join(f"SELECT item_id, doc_id, '{n}' AS template, {_prompt_sql(n)} AS prompt FROM benchmark b JOIN documents d ON d.doc_id % 20 = b.item_id % 20 AND d.text IS NOT NULL" for n in RERANK_TEMPLATES) + ") SELECT template, count(*) AS n, sum(length(prompt))::BIGINT AS n_chars, min(sha256(prompt)) AS least FROM p GROUP BY template")
+@register("rerank_prompts", "WITH p AS (" + " UNION ALL ".join(f"SELECT item_id, doc_id, '{n}' AS template, {_prompt_sql(n)} AS prompt FROM (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.k AND d.text IS NOT NULL" for n in RERANK_TEMPLATES) + ") SELECT template, count(*) AS n, sum(length(prompt))::BIGINT AS n_chars, min(sha256(prompt)) AS least FROM p GROUP BY template")
 def rerank_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompts of each query and its candidates (documents of equal remainder), for both rerankers, as digests."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), (F.col("item_id") % 20).alias("k"))
-    pairs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text", (F.col("doc_id") % 20).alias("k")).join(b, "k")
+    """The prompts of the queries, each document with one of them, for both rerankers, as digests."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("query"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"))
+    n = b.count()
+    pairs = table(spark, sf_dir, "documents").filter("text is not null").select("text", F.pmod("doc_id", F.lit(max(1, n))).cast("int").alias("k")).join(b, "k")
     prompts = F.array(*[F.struct(F.lit(n).alias("template"), rerank_prompt(F.col("query"), F.col("text"), n).alias("prompt")) for n in RERANK_TEMPLATES])
     rows = pairs.select(F.explode(prompts).alias("p"))
     return rows.groupBy("p.template").agg(F.count("*").alias("n"), F.sum(F.length("p.prompt")).alias("n_chars"), F.min(F.sha2("p.prompt", 256)).alias("least"))
