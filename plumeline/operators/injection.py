@@ -71,7 +71,7 @@ def inject_chain(queries: DataFrame, signed: DataFrame, parse: Callable[[Column]
         best = best.withColumn("typo", F.coalesce("typo", corrupt(F.col("word"), F.col("mechanism"), seed))).filter(minimal(F.col("word"), F.col("typo")))
         end = F.col("start") + F.length("word")
         made = best.withColumn("after", apply_edit(F.col("noisy"), F.col("start"), end, F.col("word"), F.col("typo"))).filter("after is not null")
-        edit = F.struct(F.lit(index).alias("index"), "position", "start", end.alias("end"), F.col("word").alias("original"), "typo", "mechanism", "source", F.col("noisy").alias("before"), "after")
+        edit = F.struct(F.size("edits").alias("index"), "position", "start", end.alias("end"), F.col("word").alias("original"), "typo", "mechanism", "source", F.col("noisy").alias("before"), "after")
         made = made.select("query_id", F.col("after").alias("_after"), F.array(edit).cast(EDITS).alias("_edit"))
         state = state.join(made, "query_id", "left").select("query_id", "user_id", "query", F.coalesce("_after", "noisy").alias("noisy"), F.when(F.col("_edit").isNotNull(), F.concat("edits", "_edit")).otherwise(F.col("edits")).alias("edits"))
         state = stage(state, "state")

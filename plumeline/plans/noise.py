@@ -286,7 +286,7 @@ d{k} AS (SELECT b.* EXCLUDE (w), f.typo AS known, tier, coalesce(mech, CASE WHEN
 z{k} AS (SELECT query_id, i, word, mechanism, coalesce('user_historical_' || tier, 'generic_fallback') AS source, coalesce(known, typo) AS typo, coalesce(list_sum(list_transform(gaps[1:i], lambda q: length(q))), 0) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda q: length(q))), 0) AS st FROM y{k}),
 ok{k} AS (SELECT * FROM z{k} WHERE typo <> '' AND typo <> word AND levenshtein(lower(word), lower(typo)) <= 5 AND abs(length(word) - length(typo)) <= 3),
 st{k + 1} AS MATERIALIZED (SELECT s.query_id, s.user_id, CASE WHEN o.i IS NULL THEN noisy ELSE substr(noisy, 1, st::BIGINT) || typo || substr(noisy, st::BIGINT + length(word) + 1) END AS noisy, CASE WHEN o.i IS NULL THEN used ELSE list_append(used, o.i - 1) END AS used,
-  CASE WHEN o.i IS NULL THEN log ELSE list_append(log, {k}::VARCHAR || ':' || (o.i - 1)::VARCHAR || ':' || word || '>' || typo || ':' || mechanism || ':' || source) END AS log FROM st{k} s LEFT JOIN ok{k} o USING (query_id))"""
+  CASE WHEN o.i IS NULL THEN log ELSE list_append(log, len(log)::VARCHAR || ':' || (o.i - 1)::VARCHAR || ':' || word || '>' || typo || ':' || mechanism || ':' || source) END AS log FROM st{k} s LEFT JOIN ok{k} o USING (query_id))"""
 
 
 _INJECT_SQL = f"""{SIGNED_SQL}, {_HISTORY_SQL},
