@@ -15,16 +15,24 @@ LEVELS = ("full", "d4", "d3", "clause", "depth", "sibling", "coarse")
 def struct_rules(tokens: Column) -> Column:
     """Distinct D4 and D3 rules of every word but the root and P3 trigrams of classes; none under three words."""
 
-    def named(v: Column) -> Column:
+    joined = lambda a, b: F.concat_ws("|", a, b)
+
+    def upward(v: Column) -> Column:
         pos, dep, head = v["pos"], v["dep"], v["head"]
-        below = F.filter(F.sequence(F.lit(0), F.size(pos) - 1), lambda i: head[i] != i)
-        grand = lambda i: F.when(head[head[i]] == head[i], "ROOT").otherwise(pos[head[head[i]]])
-        d4 = F.transform(below, lambda i: F.concat_ws("|", F.lit("D4"), grand(i), pos[head[i]], dep[i], pos[i]))
-        d3 = F.transform(below, lambda i: F.concat_ws("|", F.lit("D3"), pos[head[i]], dep[i], pos[i]))
-        p3 = F.transform(F.sequence(F.lit(0), F.size(pos) - 3), lambda i: F.concat_ws("|", F.lit("P3"), pos[i], pos[i + 1], pos[i + 2]))
-        return F.when(F.size(pos) >= 3, F.array_distinct(F.concat(d4, d3, p3))).otherwise(F.array().cast("array<string>"))
-
-    return let(lambda t: let(named, **{c: F.transform(t["t"], lambda x: x[c]) for c in ("pos", "dep", "head")}), t=tokens)  # noqa: B023
+        up = F.transform(head, lambda h, i: F.when(h == i, "ROOT").otherwise(pos[h]))
+        below = F.zip_with(F.transform(head, lambda h: pos[h]), F.zip_with(dep, pos, joined), joined)
+        return let(named, pos=pos, head=head, up=up, below=below)
+
+    def named(v: Column) -> Column:
+        pos, head, n = v["pos"], v["head"], F.size(v["pos"]) - 2
+        kept = lambda rules: F.filter(rules, lambda _, i: head[i] != i)
+        d4 = kept(F.zip_with(F.transform(head, lambda h: v["up"][h]), v["below"], lambda g, x: F.concat_ws("|", F.lit("D4"), g, x)))
+        d3 = kept(F.transform(v["below"], lambda x: F.concat(F.lit("D3|"), x)))
+        p3 = F.zip_with(F.zip_with(F.slice(pos, F.lit(1), n), F.slice(pos, F.lit(2), n), joined), F.slice(pos, F.lit(3), n), lambda a, c: F.concat_ws("|", F.lit("P3"), a, c))
+        return F.array_distinct(F.concat(d4, d3, p3))
+
+    few = F.array().cast("array<string>")
+    return let(lambda t: F.when(F.size(t["t"]) >= 3, let(upward, **{c: F.transform(t["t"], lambda x: x[c]) for c in ("pos", "dep", "head")})).otherwise(few), t=tokens)  # noqa: B023
 
 
 def annotated(tokens: Column) -> Column:
