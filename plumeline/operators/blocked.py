@@ -35,21 +35,27 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """Rounded half away from zero, as SQL does."""
+    y = x * 10.0**places
+    return np.trunc(y + np.copysign(0.5, y)) / 10.0**places
+
+
 def cosine_scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return np.round(unit(q) @ unit(d).T, 6)
+    return rounded(unit(q) @ unit(d).T, 6)
 
 
 def sparse_products(least: float, none: float = -np.inf) -> Score:
     """Inner products over the coordinates that exceed `least` on both sides, each product rounded to nine places; `none` where there is no such coordinate."""
 
     def score(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-        out, met = np.zeros((len(q), len(d))), np.zeros((len(q), len(d)), bool)
+        out, met = np.zeros((len(q), len(d)), np.int64), np.zeros((len(q), len(d)), bool)  # billionths
         for i in range(q.shape[1]):
             a, b = np.flatnonzero(q[:, i] > least), np.flatnonzero(d[:, i] > least)
             at = np.ix_(a, b)
-            out[at] += np.round(np.outer(q[a, i], d[b, i]), 9)
+            out[at] += np.trunc(np.outer(q[a, i], d[b, i]) * 1e9 + 0.5).astype(np.int64)  # positive
             met[at] = True
-        return np.where(met, np.round(out, 6), none)
+        return np.where(met, (out + 500) // 1000 / 1e6, none)
 
     return score
 
@@ -60,7 +66,7 @@ def maxsim(parts: int) -> Score:
     def score(q: np.ndarray, d: np.ndarray) -> np.ndarray:
         qs, ds = (unit(x.reshape(len(x), parts, -1)) for x in (q, d))
         best = [np.max([qs[:, i] @ ds[:, j].T for j in range(parts)], axis=0) for i in range(parts)]
-        return np.round(np.sum(np.round(best, 9), axis=0), 6)
+        return rounded(np.sum(rounded(np.array(best), 9), axis=0), 6)
 
     return score
 
@@ -162,6 +168,6 @@ def blocked_fusion(queries: DataFrame, documents: DataFrame, scores: dict[str, t
         for i, (score, weight) in enumerate(scores.values()):
             mean, deviation = q[:, 2 * i, None], np.maximum(q[:, 2 * i + 1, None], 1e-6)
             total = total + weight * (score(q[:, width:], d) - mean) / deviation
-        return np.round(total, 6)
+        return rounded(total, 6)
 
     return blocked_top_k(told, documents, fused, k, blocks=blocks)

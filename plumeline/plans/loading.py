@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from plumeline.operators.models import apply_model, hash_scorer, template_generator
 from plumeline.plans.attributes import TOP_SQL, attr_prompt
-from plumeline.plans.robustness import OUTCOMES_SQL, outcomes
 from plumeline.registry import register
 from plumeline.sources import jsonl
-from plumeline.sources.tables import table
+from plumeline.sources.tables import DOCUMENT_OUTCOMES_SQL, document_outcomes, table
 from plumeline.streaming.metrics import windowed
 
 
-@register("selection_flatten", f"WITH {OUTCOMES_SQL} SELECT asin, user_id AS uid, 'query ' || query_id::VARCHAR AS query FROM outcomes")
+@register("selection_flatten", f"WITH {DOCUMENT_OUTCOMES_SQL} SELECT asin, user_id AS uid, 'query ' || query_id::VARCHAR AS query FROM outcomes")
 def selection_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection files in both forms, one line for each product, flattened."""
-    o = outcomes(spark, sf_dir).withColumn("query", F.concat(F.lit("query "), F.col("query_id")))
+    o = document_outcomes(spark, sf_dir).withColumn("query", F.concat(F.lit("query "), F.col("query_id")))
     users = F.collect_list(F.struct(F.col("user_id").alias("uid"), "query"))
     nested = o.filter("query_id % 2 = 0").groupBy("asin").agg(F.to_json(F.struct(F.array(F.struct("asin", users.alias("users"))).alias("selections"))).alias("line"))
     flat = o.filter("query_id % 2 = 1").select("asin", F.to_json(F.struct(F.array(F.struct("asin", F.col("user_id").alias("uid"), "query")).alias("selections"))).alias("line"))

@@ -33,6 +33,17 @@ sentences AS (
   SELECT user_id, asin, review_pos, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS sent_pos FROM listed)"""
 
 
+def document_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, asin, user_id, rank_clean, rank_noisy) by document, for what only needs rows with ranks in them; ranks over 30 and 36 stand for misses (null)."""
+    d = table(spark, sf_dir, "documents")
+    clean, noisy = F.col("n_chars") % 33 + 1, (F.col("n_chars") + 3 * F.col("doc_id")) % 40 + 1
+    return d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("A"), F.col("doc_id") % 50).alias("asin"), F.col("source").alias("user_id"), F.when(clean <= 30, clean).alias("rank_clean"), F.when(noisy <= 36, noisy).alias("rank_noisy"))
+
+
+DOCUMENT_OUTCOMES_SQL = """outcomes AS (SELECT doc_id AS query_id, 'A' || (doc_id % 50)::VARCHAR AS asin, source AS user_id,
+  CASE WHEN n_chars % 33 + 1 <= 30 THEN n_chars % 33 + 1 END AS rank_clean, CASE WHEN (n_chars + 3 * doc_id) % 40 + 1 <= 36 THEN (n_chars + 3 * doc_id) % 40 + 1 END AS rank_noisy FROM documents)"""
+
+
 def style_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, user_id, asin, split, z): the first 16 dimensions of embeddings, their label taken as the user."""
     from plumeline.functions.text import split_name
