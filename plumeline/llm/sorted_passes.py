@@ -9,9 +9,6 @@ far a label's vectors lie around their mean. A narrow cone takes many passes: wi
 vectors take about a thousand. Passes run a few at a time and leave only links behind, so disk use does not grow with
 their number.
 
-Labels of up to `exact` classes make no passes: all their vectors are compared with each other, as groups are, which
-sends no more rows than the passes would. Larger labels have passes alone.
-
 Pairs missed inside a dense group do no harm: links are not counted in the windows. The passes only have to connect a
 group; then all its members are compared with each other exactly, in blocks, in double precision.
 
@@ -51,7 +48,6 @@ class PassParams:
     #: Passes sorted together; each sends the vectors once.
     passes_per_round: int = 2
     block: int = 1024
-    exact: int = 20_000
     seed: int = 5
 
 
@@ -171,22 +167,22 @@ def _counted(params: PassParams):
     return run
 
 
-def _connected_by_passes(large: DataFrame, params: PassParams) -> DataFrame:
-    """(node, root) of the vectors of large labels (label, embedding, rep) that the passes connect."""
-    sums = large.select("label", "embedding").mapInArrow(_summed, "label long, size int, i int, x double, n long").groupBy("label", "size", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+def _connected_by_passes(classes: DataFrame, params: PassParams) -> DataFrame:
+    """(node, root) of the vectors (label, embedding, rep) that the passes connect."""
+    sums = classes.select("label", "embedding").mapInArrow(_summed, "label long, size int, i int, x double, n long").groupBy("label", "size", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     means = sums.groupBy("label", "size").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("m")))), lambda s: s["m"]).alias("mean"))
     means = stage(means.withColumn("around", 1 - F.aggregate("mean", F.lit(0.0), lambda a, m: a + m * m)), "means")
-    # A row for each label of more than `exact` vectors.
-    passes = max((passes_needed(r.n, params, r.around) for r in means.groupBy(F.ceil(F.log2("n")).alias("_b")).agg(F.max("n").alias("n"), F.min("around").alias("around")).collect()), default=0)
+    # One row for each power of two that a label's size reaches.
+    passes = max((passes_needed(r.n, params, r.around) for r in means.groupBy(F.ceil(F.log2("n")).alias("_b")).agg(F.max("n").alias("n"), F.min("around").alias("around")).collect()), default=1)
     spread = means.select("label", "size", "mean")
     spread = F.broadcast(spread) if means.count() <= 10_000 else spread.hint("merge")
-    centred = large.withColumn("size", F.size("embedding")).join(spread, ["label", "size"]).select("label", "embedding", "rep", "mean")
-    kind = large.schema["embedding"].dataType.simpleString()
+    centred = classes.withColumn("size", F.size("embedding")).join(spread, ["label", "size"]).select("label", "embedding", "rep", "mean")
+    kind = classes.schema["embedding"].dataType.simpleString()
     links: list[DataFrame] = []
     for first in range(0, passes, params.passes_per_round):
         keyed = centred.mapInArrow(_keyed(params.seed, range(first, min(passes, first + params.passes_per_round))), f"pass int, label long, key long, rep long, embedding {kind}")
         ordered = keyed.repartitionByRange("pass", "label", "key", "rep").sortWithinPartitions("pass", "label", "key", "rep")
-        links.append(stage(ordered.mapInArrow(_windows(params), "a long, b long").distinct(), "near"))
+        links.append(stage(ordered.mapInArrow(_windows(params), "a long, b long"), "near"))
         if len(links) == 5 or first + params.passes_per_round >= passes:
             roots = connected_components(functools.reduce(DataFrame.unionByName, links))
             forest = stage(roots.select(F.col("root").alias("a"), F.col("node").alias("b")), "near")
@@ -205,16 +201,11 @@ def near_duplicates(embeddings: DataFrame, params: PassParams | None = None) ->
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
     classes = rows.filter(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = stage(classes, "classes")
-    sizes = classes.groupBy("label").agg(F.count("*").alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0] or 0
-    # The label and the length are in the group, since rows of several labels may share a vec_id.
-    grouped = classes.withColumn("group", F.xxhash64("label", F.size("embedding")))
-    if largest > params.exact:
-        large = classes.join(sizes, "label").filter(F.col("_size") > params.exact).drop("_size")
-        small = grouped.join(sizes, "label").filter(F.col("_size") <= params.exact).drop("_size")
-        united = _connected_by_passes(large.select("label", "embedding", "rep"), params)
-        found = large.join(united.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.xxhash64("label", F.size("embedding"), F.coalesce("root", "rep"))).drop("root")
-        grouped = small.unionByName(found)
+    united = _connected_by_passes(classes.select("label", "embedding", "rep"), params)
+    united = united.unionByName(united.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "rep")
+    # What no pass has united is compared no more. The label and the length are in the group, since rows of several
+    # labels may share a vec_id.
+    grouped = classes.join(united, "rep").withColumn("group", F.xxhash64("label", F.size("embedding"), "root")).drop("root")
     pairs = block_pairs(grouped, "group", "rep", params.block)
     seen = stage(pairs.groupBy("group", "_i", "_j").applyInPandas(_counted(params), "rep long, links long, root long"), "links")
     counts = seen.groupBy("rep").agg(F.sum("links").alias("links"))

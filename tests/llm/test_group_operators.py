@@ -188,10 +188,10 @@ def test_near_duplicate_vectors_by_passes(spark):
     centre = rng.normal(size=(6, 16))
     x = np.array([centre[i % 6] + rng.normal(size=16) * 0.12 for i in range(120)], np.float32)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    label = np.arange(120) % 5 // 2  # 0 and 1 are large
+    label = np.arange(120) % 5 // 2
     links = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
     frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(exact=30)).collect()}
+    got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame).collect()}
     assert got == {i: int(links[i].sum()) - 1 for i in range(120)}
 
 
@@ -205,7 +205,7 @@ def test_near_duplicates_in_a_cone(spark):
     links = np.argwhere(np.triu(unit @ unit.T >= 0.93, 1))
     count, group = Counter(links.ravel().tolist()), roots(3000, links.tolist())
     frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_passes.near_duplicates(frame).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(passes_per_round=12)).collect()}
     wrong = sum(got[i] != (count[i], group[i]) for i in range(3000))
     assert len(links) > 500 and wrong == 0, f"{wrong} wrong of {len(count)} linked, {len(links)} links"
 
@@ -218,7 +218,7 @@ def test_passes_in_a_cone(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = (unit @ unit.T >= 0.93) & ~np.eye(500, dtype=bool)
     frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(exact=30, window=8, passes_per_round=12)).collect()}
+    got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(window=8, passes_per_round=12)).collect()}
     assert links.any() and got == {i: int(links[i].sum()) for i in range(500)}
     assert sorted_passes.passes_needed(10**6, sorted_passes.PassParams(), 0.2) > 4 * sorted_passes.passes_needed(10**6, sorted_passes.PassParams())
 
