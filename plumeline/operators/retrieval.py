@@ -60,6 +60,19 @@ def target_ranks(scores: DataFrame, targets: DataFrame, limit: int = 20_000) ->
     return targets.join(before, "query_id", "left").select("query_id", "target", F.when(F.col("_rank") <= limit, F.col("_rank")).otherwise(F.lit(limit + 1)).cast("int").alias("rank"))
 
 
+def term_coverage(candidates: DataFrame, queries: DataFrame, documents: DataFrame, params: Bm25) -> DataFrame:
+    """`candidates` (query_id, doc_id, ...) with `score`, the share of the query's distinct terms that the document holds; only candidates' texts are read into words."""
+
+    def terms(text: str) -> Column:
+        words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(params.token), F.lit(0))
+        return F.array_except(words, F.array(*map(F.lit, params.stop_words)))  # distinct words
+
+    asked = queries.select("query_id", terms("text").alias("_asked"))
+    rows = candidates.join(documents.select("doc_id", F.col("text").alias("_text")), "doc_id").join(asked, "query_id")
+    share = F.size(F.array_intersect("_asked", terms("_text"))) / F.size("_asked")
+    return rows.withColumn("score", F.round(share, 6)).drop("_asked", "_text")
+
+
 def _exact_sum(part: Column) -> Column:
     """A sum in decimals, so that it does not depend on the order of rows."""
     return F.round(F.sum(F.round(part, 9).cast("decimal(28,9)")), 6).cast("double")

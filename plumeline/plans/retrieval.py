@@ -32,8 +32,10 @@ stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM len
 df AS (SELECT term, count(*) AS df FROM d GROUP BY term),
 target AS (SELECT item_id AS query_id, min(doc_id) AS target FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)"""
 BM25_SQL = f"{BM25_DOCS}, {bm25_sql('(SELECT item_id AS query_id, text FROM benchmark)')}"
+#: The same for misspelt queries.
+NOISY_SQL = bm25_sql("(SELECT item_id AS query_id, CASE WHEN w = '' THEN text ELSE substr(text, 1, instr(text, w) + length(w) - 2) || substr(text, instr(text, w) + length(w)) END AS text FROM (SELECT item_id, text, regexp_extract(text, '([A-Za-z]{5,})', 1) AS w FROM benchmark))", "_n")
 #: Clean and misspelt queries: `outcomes` (query_id, asin, user_id, rank_clean, rank_noisy), null for a target beyond the first hundred.
-OUTCOMES_SQL = f"""{BM25_SQL}, {bm25_sql("(SELECT item_id AS query_id, CASE WHEN w = '' THEN text ELSE substr(text, 1, instr(text, w) + length(w) - 2) || substr(text, instr(text, w) + length(w)) END AS text FROM (SELECT item_id, text, regexp_extract(text, '([A-Za-z]{5,})', 1) AS w FROM benchmark))", "_n")},
+OUTCOMES_SQL = f"""{BM25_SQL}, {NOISY_SQL},
 outcomes AS (SELECT t.query_id, 'A' || (t.query_id // 4)::VARCHAR AS asin, 'u' || (t.query_id % 10)::VARCHAR AS user_id, CASE WHEN a.pos <= 100 THEN a.pos END AS rank_clean, CASE WHEN b.pos <= 100 THEN b.pos END AS rank_noisy
   FROM target t LEFT JOIN ranked a ON a.query_id = t.query_id AND a.doc_id = t.target LEFT JOIN ranked_n b ON b.query_id = t.query_id AND b.doc_id = t.target)"""
 
@@ -104,7 +106,7 @@ def bm25_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in ("hit1", "hit5", "hit10", "hit20")], F.round(F.avg("rr"), 6).alias("mrr"))
 
 
-_DENSE = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0 AND label IS NOT NULL),
+DENSE_SQL = """q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0 AND label IS NOT NULL),
 scores AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(list_transform(qv, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM q CROSS JOIN embeddings WHERE query_id <> vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos, rank() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM scores)"""
 
@@ -116,7 +118,7 @@ def _vectors(spark: SparkSession, sf_dir: str, labelled: bool = False) -> tuple[
     return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("d"))
 
 
-@register("dense_topk", f"WITH {_DENSE} SELECT query_id, pos::INTEGER AS pos, doc_id, score, rank::INTEGER AS rank FROM ranked WHERE pos <= 100")
+@register("dense_topk", f"WITH {DENSE_SQL} SELECT query_id, pos::INTEGER AS pos, doc_id, score, rank::INTEGER AS rank FROM ranked WHERE pos <= 100")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred nearest vectors of every fiftieth vector by cosine, with their competition rank."""
     return blocked_top_k(*_vectors(spark, sf_dir, labelled=True), cosine_scores, 100, competition=True)

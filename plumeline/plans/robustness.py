@@ -1,4 +1,4 @@
-"""Robustness queries: volatility, degradation by noise, reranking. Degradation compares BM25 ranks of clean and misspelt queries."""
+"""Robustness queries: volatility, degradation by noise, reranking. Degradation and reranking start from BM25 ranks of clean and misspelt queries."""
 
 from __future__ import annotations
 
@@ -7,25 +7,33 @@ from pyspark.sql import functions as F
 
 from plumeline.operators.metrics import fuse, paired_degradation, rerank_flip, rerank_metrics, stage_delta, volatility
 from plumeline.operators.ranking import kendall_and_spearman
-from plumeline.plans.retrieval import OUTCOMES_SQL, outcomes
+from plumeline.operators.retrieval import Bm25, bm25_scores, term_coverage, top_k
+from plumeline.operators.selection import joined_one_to_one
+from plumeline.plans.retrieval import BM25_SQL, DENSE_SQL, NOISY_SQL, OUTCOMES_SQL, _queries, dense_topk, misspelt, outcomes, targets
 from plumeline.registry import register
-from plumeline.sources.tables import table
+from plumeline.sources.staged import stage
+from plumeline.sources.tables import PER_PRODUCT, table
 
 
-_VOLATILITY = """q AS (SELECT label::VARCHAR || '/' || (vec_id % 25)::VARCHAR AS asin, vec_id AS query_id, CASE WHEN vec_id % 17 > 0 THEN vec_id * 7 % 30 + 1 END AS rank, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL),
-u AS (SELECT * FROM q WHERE asin IN (SELECT asin FROM q GROUP BY asin HAVING count(*) >= 2 AND count(*) = count(rank))),
+def _volatility_sql(queries: str) -> str:
+    """`s` and `f`, spread and flips by product, of the queries (asin, query_id, rank, v)."""
+    return f"""u AS (SELECT * FROM {queries} WHERE asin IN (SELECT asin FROM {queries} GROUP BY asin HAVING count(*) >= 2 AND count(*) = count(rank))),
 p AS (SELECT a.asin, a.rank AS ra, b.rank AS rb FROM u a JOIN u b ON a.asin = b.asin AND a.query_id < b.query_id WHERE list_inner_product(a.v, b.v) >= 0.1),
 f AS (SELECT asin, avg(((ra <= 1) <> (rb <= 1))::INTEGER) AS f1, avg(((ra <= 5) <> (rb <= 5))::INTEGER) AS f5, avg(((ra <= 10) <> (rb <= 10))::INTEGER) AS f10, avg(((ra <= 20) <> (rb <= 20))::INTEGER) AS f20 FROM p GROUP BY asin),
 s AS (SELECT asin, stddev_pop(1.0 / rank) AS rr_std FROM u GROUP BY asin)"""
 
 
-@register("volatility", f"""WITH {_VOLATILITY} SELECT count(*) AS n_products, round(avg(f1), 6) AS flip1_mean, round(avg(f5), 6) AS flip5_mean, round(avg(f10), 6) AS flip10_mean, round(avg(f20), 6) AS flip20_mean,
-round(avg(rr_std), 6) AS rr_std_mean, round(median(rr_std), 6) AS rr_std_median, round(stddev_pop(rr_std), 6) AS rr_std_std FROM s LEFT JOIN f USING (asin)""")
+_VOLATILITY_COLUMNS = """count(*) AS n_products, round(avg(f1), 6) AS flip1_mean, round(avg(f5), 6) AS flip5_mean, round(avg(f10), 6) AS flip10_mean, round(avg(f20), 6) AS flip20_mean,
+round(avg(rr_std), 6) AS rr_std_mean, round(median(rr_std), 6) AS rr_std_median, round(stddev_pop(rr_std), 6) AS rr_std_std"""
+
+
+@register("volatility", f"""WITH vq AS (SELECT (vec_id // {PER_PRODUCT})::VARCHAR AS asin, vec_id AS query_id, CASE WHEN vec_id % 97 > 0 THEN vec_id * 7 % 30 + 1 END AS rank, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL),
+{_volatility_sql("vq")} SELECT {_VOLATILITY_COLUMNS} FROM s LEFT JOIN f USING (asin)""")
 def volatility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often similar queries of a product disagree."""
+    """How often similar queries of a product disagree; ranks made up from ids, in all rows, so that every case of a missing rank occurs. `dense_volatility` has found ranks."""
     v = table(spark, sf_dir, "embeddings").filter("label is not null")
-    rank = F.when(F.col("vec_id") % 17 > 0, F.col("vec_id") * 7 % 30 + 1)
-    q = v.select(F.concat_ws("/", "label", F.col("vec_id") % 25).alias("asin"), F.col("vec_id").alias("query_id"), rank.alias("rank"), F.col("embedding").alias("vector"))
+    rank = F.when(F.col("vec_id") % 97 > 0, F.col("vec_id") * 7 % 30 + 1)
+    q = v.select(F.floor(F.col("vec_id") / PER_PRODUCT).cast("string").alias("asin"), F.col("vec_id").alias("query_id"), rank.alias("rank"), F.col("embedding").alias("vector"))
     return volatility(q, threshold=0.1)
 
 
@@ -58,18 +66,25 @@ def stage_delta_all_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_delta(_headline(rows, "rank_clean"), _headline(rows, "rank_noisy"), ["user_id"], ["mrr", "hit10"])
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty documents in a row are the candidates of one query; the score stands in for a model's."""
-    d = table(spark, sf_dir, "documents")
-    score = F.round((F.col("n_chars") * 37 % 101) / 100.0, 6)
-    return d.select(F.floor(F.col("doc_id") / 40).alias("query_id"), "doc_id", (F.col("doc_id") % 40 + 1).alias("original_rank"), score.alias("score"))
+def candidates(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+    """(query_id, doc_id, original_rank, score): the forty best documents of each query by BM25; the score is the share of its terms that they hold."""
+    q, documents = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
+    q = misspelt(q) if noisy else q
+    first = stage(top_k(bm25_scores(q, documents, Bm25()), 40), "candidates")
+    return stage(term_coverage(first.select("query_id", "doc_id", F.col("pos").alias("original_rank")), q, documents, Bm25()), "covered")
+
 
+def _fused_sql(tag: str = "") -> str:
+    """`fused{tag}`, and `t{tag}` with the place of each query's target."""
+    return f"""held{tag} AS (SELECT query_id, doc_id, count(*) AS held FROM q{tag} JOIN d USING (term) GROUP BY ALL), asked{tag} AS (SELECT query_id, count(*) AS asked FROM q{tag} GROUP BY query_id),
+c{tag} AS (SELECT query_id, doc_id, pos::INTEGER AS original_rank, round(held / asked::DOUBLE, 6) AS score FROM ranked{tag} JOIN held{tag} USING (query_id, doc_id) JOIN asked{tag} USING (query_id) WHERE pos <= 40),
+k{tag} AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c{tag} WHERE original_rank <= 25),
+x{tag} AS (SELECT query_id, doc_id, original_rank, score, round(CASE WHEN n > 1 THEN (n - original_rank) / (n - 1)::DOUBLE ELSE 1 END, 6) AS rank_prior, round(score + 0.1 * CASE WHEN n > 1 THEN (n - original_rank) / (n - 1)::DOUBLE ELSE 1 END, 6) AS final FROM k{tag}),
+fused{tag} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, original_rank)::INTEGER AS pos FROM x{tag}),
+t{tag} AS (SELECT g.query_id, 'A' || (g.query_id // 4)::VARCHAR AS asin, f.pos AS rank, f.pos IS NOT NULL AS is_candidate FROM target g LEFT JOIN fused{tag} f ON f.query_id = g.query_id AND f.doc_id = g.target)"""
 
-_FUSED = """c AS (SELECT floor(doc_id / 40)::BIGINT AS query_id, doc_id, doc_id % 40 + 1 AS original_rank, round((n_chars * 37 % 101) / 100.0, 6) AS score FROM documents),
-k AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c WHERE original_rank <= 25),
-x AS (SELECT query_id, doc_id, original_rank, score, round(CASE WHEN n > 1 THEN (n - original_rank) / (n - 1)::DOUBLE ELSE 1 END, 6) AS rank_prior, round(score + 0.1 * CASE WHEN n > 1 THEN (n - original_rank) / (n - 1)::DOUBLE ELSE 1 END, 6) AS final FROM k),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, original_rank)::INTEGER AS pos FROM x),
-t AS (SELECT q.query_id, 'A' || (q.query_id % 7)::VARCHAR AS asin, f.pos AS rank, f.pos IS NOT NULL AS is_candidate FROM (SELECT DISTINCT query_id FROM c) q LEFT JOIN fused f ON f.query_id = q.query_id AND f.original_rank = q.query_id * 13 % 40 + 1)"""
+
+_FUSED = f"{BM25_SQL}, {_fused_sql()}"
 
 
 @register("rerank_fusion", f"WITH {_FUSED} SELECT * FROM fused")
@@ -78,12 +93,11 @@ def rerank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse(candidates(spark, sf_dir))
 
 
-def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, asin, rank, is_candidate): where each query's target, candidate 13 x query mod 40, ended."""
-    c = candidates(spark, sf_dir)
-    q = c.select("query_id").distinct().withColumn("original_rank", F.col("query_id") * 13 % 40 + 1)
-    found = q.join(fuse(c).select("query_id", "original_rank", F.col("pos").alias("rank")), ["query_id", "original_rank"], "left")
-    return found.select("query_id", F.concat(F.lit("A"), F.col("query_id") % 7).alias("asin"), "rank", F.col("rank").isNotNull().alias("is_candidate"))
+def _reranked(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
+    """(query_id, asin, rank, is_candidate): where reranking put each query's target."""
+    f = fuse(candidates(spark, sf_dir, noisy)).select("query_id", F.col("doc_id").alias("target"), F.col("pos").alias("rank"))
+    found = targets(spark, sf_dir).join(f, ["query_id", "target"], "left")
+    return found.select("query_id", F.concat(F.lit("A"), F.floor(F.col("query_id") / 4)).alias("asin"), "rank", F.col("rank").isNotNull().alias("is_candidate"))
 
 
 _KS = (1, 5, 10, 20, 25)
@@ -124,12 +138,24 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_candidates"), F.countDistinct("score").alias("n_values"), F.round(F.avg("score"), 6).alias("score_mean"), F.round(F.stddev_pop("score"), 6).alias("score_std"))
 
 
-@register("rerank_degradation", f"""WITH {_FUSED}, clean AS (SELECT query_id, rank AS rank_clean FROM t), n AS (SELECT query_id, CASE WHEN query_id % 5 > 0 THEN query_id * 11 % 25 + 1 END AS rank_noisy FROM t),
-d AS (SELECT *, coalesce(1.0 / rank_clean, 0) - coalesce(1.0 / rank_noisy, 0) AS delta FROM clean JOIN n USING (query_id))
+@register("rerank_degradation", f"""WITH {_FUSED}, {NOISY_SQL}, {_fused_sql("_n")},
+dg AS (SELECT a.rank AS rank_clean, b.rank AS rank_noisy, coalesce(1.0 / a.rank, 0) - coalesce(1.0 / b.rank, 0) AS delta FROM t a JOIN t_n b USING (query_id))
 SELECT count(*) AS n_pairs, {", ".join(f"round(avg(coalesce((rank_clean <= {k})::INTEGER, 0) - coalesce((rank_noisy <= {k})::INTEGER, 0)), 6) AS hit{k}_drop" for k in _KS)},
-round(avg(delta), 6) AS rr_drop_mean, round(median(delta), 6) AS rr_drop_median, count(*) FILTER (delta > 0) AS n_hurt, count(*) FILTER (delta < 0) AS n_helped, count(*) FILTER (delta = 0) AS n_same FROM d""")
+round(avg(delta), 6) AS rr_drop_mean, round(median(delta), 6) AS rr_drop_median, count(*) FILTER (delta > 0) AS n_hurt, count(*) FILTER (delta < 0) AS n_helped, count(*) FILTER (delta = 0) AS n_same FROM dg""")
 def rerank_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What noise costs after reranking."""
-    clean = _reranked(spark, sf_dir).withColumnRenamed("rank", "rank_clean")
-    noisy = F.when(F.col("query_id") % 5 > 0, F.col("query_id") * 11 % 25 + 1)
-    return paired_degradation(clean.withColumn("rank_noisy", noisy), _KS)
+    """What misspelling costs after reranking."""
+    clean, noisy = (_reranked(spark, sf_dir, n).select("query_id", F.col("rank").alias(c)) for n, c in ((False, "rank_clean"), (True, "rank_noisy")))
+    return paired_degradation(joined_one_to_one(clean, noisy, ["query_id"]), _KS)
+
+
+@register("dense_volatility", f"""WITH {DENSE_SQL}, q0 AS (SELECT q.query_id, min(CASE WHEN e.label = o.label THEN pos END) AS rank FROM q JOIN embeddings o ON o.vec_id = q.query_id LEFT JOIN ranked r ON r.query_id = q.query_id AND pos <= 100 LEFT JOIN embeddings e ON e.vec_id = r.doc_id GROUP BY q.query_id),
+vq AS (SELECT (query_id // 1000)::VARCHAR AS asin, query_id, rank, list_transform(qv, lambda x: x::DOUBLE) AS v FROM q0 JOIN q USING (query_id)),
+{_volatility_sql("vq")} SELECT {_VOLATILITY_COLUMNS} FROM s LEFT JOIN f USING (asin)""")
+def dense_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often similar queries disagree on where the first vector of their own label is found by dense retrieval; the twenty queries of a thousand ids are a product."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    asked = labels.filter("vec_id % 50 = 0 and label is not null").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("vector"))
+    found = stage(dense_topk(spark, sf_dir).select("query_id", "doc_id", "pos"), "dense")
+    hits = found.join(labels.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(asked.select("query_id", "own"), "query_id").filter("label = own").groupBy("query_id").agg(F.min("pos").alias("rank"))
+    q = asked.join(hits, "query_id", "left").select(F.floor(F.col("query_id") / 1000).cast("string").alias("asin"), "query_id", "rank", "vector")
+    return volatility(q, threshold=0.1)

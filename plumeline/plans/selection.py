@@ -15,7 +15,7 @@ from plumeline.plans.noise import EDITS_SQL, annotated_sql, user_edits
 from plumeline.plans.retrieval import misspelt
 from plumeline.plans.style import PARSED_SQL, parsed
 from plumeline.registry import register
-from plumeline.sources.tables import REVIEWS_SQL, review_sentences, table
+from plumeline.sources.tables import PER_PRODUCT, REVIEWS_SQL, review_sentences, table
 
 _HASH = "sha256('42|' || {x})"
 
@@ -32,7 +32,7 @@ SELECT user_id, review_pos, sent_pos::INTEGER AS sent_pos, place::INTEGER AS pla
 def profile_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty sentences of selected users (of three products and more) with at least thirty."""
     s = review_sentences(spark, sf_dir)
-    chosen = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("user_id")).agg(F.countDistinct(F.col("doc_id") % 50).alias("n")).filter("n >= 3")
+    chosen = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("user_id")).agg(F.countDistinct(F.floor(F.col("doc_id") / PER_PRODUCT)).alias("n")).filter("n >= 3")
     return S.first_sentences(s, chosen).select("user_id", "review_pos", "sent_pos", "place", F.length("sentence").alias("n_chars"))
 
 

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from plumeline.functions.text import sentences
 
+#: Rows of a product: the number of products grows with the tables, their size does not.
+PER_PRODUCT = 40
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, asin, review_pos, text): documents, their source taken as the user and doc_id mod 50 as the product."""
+    """(user_id, asin, review_pos, text): documents, their source taken as the user, forty in a row as one product's."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("user_id"), F.concat(F.lit("A"), F.col("doc_id") % 50).alias("asin"), F.col("doc_id").alias("review_pos"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("source").alias("user_id"), F.concat(F.lit("A"), F.floor(F.col("doc_id") / PER_PRODUCT)).alias("asin"), F.col("doc_id").alias("review_pos"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def review_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +27,8 @@ def review_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same in SQL, as common table expressions.
-REVIEWS_SQL = """reviews AS (
-  SELECT source AS user_id, 'A' || (doc_id % 50)::VARCHAR AS asin, doc_id AS review_pos, coalesce(text, '') AS text FROM documents),
+REVIEWS_SQL = f"""reviews AS (
+  SELECT source AS user_id, 'A' || (doc_id // {PER_PRODUCT})::VARCHAR AS asin, doc_id AS review_pos, coalesce(text, '') AS text FROM documents),
 listed AS (
   SELECT user_id, asin, review_pos, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
     lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS parts FROM reviews),
@@ -37,10 +40,10 @@ def document_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, asin, user_id, rank_clean, rank_noisy) by document, for what only needs rows with ranks in them; ranks over 30 and 36 stand for misses (null)."""
     d = table(spark, sf_dir, "documents")
     clean, noisy = F.col("n_chars") % 33 + 1, (F.col("n_chars") + 3 * F.col("doc_id")) % 40 + 1
-    return d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("A"), F.col("doc_id") % 50).alias("asin"), F.col("source").alias("user_id"), F.when(clean <= 30, clean).alias("rank_clean"), F.when(noisy <= 36, noisy).alias("rank_noisy"))
+    return d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("A"), F.floor(F.col("doc_id") / PER_PRODUCT)).alias("asin"), F.col("source").alias("user_id"), F.when(clean <= 30, clean).alias("rank_clean"), F.when(noisy <= 36, noisy).alias("rank_noisy"))
 
 
-DOCUMENT_OUTCOMES_SQL = """outcomes AS (SELECT doc_id AS query_id, 'A' || (doc_id % 50)::VARCHAR AS asin, source AS user_id,
+DOCUMENT_OUTCOMES_SQL = f"""outcomes AS (SELECT doc_id AS query_id, 'A' || (doc_id // {PER_PRODUCT})::VARCHAR AS asin, source AS user_id,
   CASE WHEN n_chars % 33 + 1 <= 30 THEN n_chars % 33 + 1 END AS rank_clean, CASE WHEN (n_chars + 3 * doc_id) % 40 + 1 <= 36 THEN (n_chars + 3 * doc_id) % 40 + 1 END AS rank_noisy FROM documents)"""
 
 
@@ -50,7 +53,7 @@ def style_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings").filter("label is not null")
     z = F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double"))
-    return rows.select("vec_id", F.concat(F.lit("u"), "label").alias("user_id"), F.concat(F.lit("A"), F.col("vec_id") % 25).alias("asin"), split_name(F.col("vec_id").cast("string")).alias("split"), z.alias("z"))
+    return rows.select("vec_id", F.concat(F.lit("u"), "label").alias("user_id"), F.concat(F.lit("A"), F.floor(F.col("vec_id") / PER_PRODUCT)).alias("asin"), split_name(F.col("vec_id").cast("string")).alias("split"), z.alias("z"))
 
 
 BUCKET_SQL = """((list_sum(list_transform(range(1, 41), lambda i: CASE WHEN i = 40 THEN 1 ELSE 6 END * (instr('0123456789abcdef', substr(sha1('{salt}' || '|' || lower(trim({text}, chr(32) || chr(9) || chr(10) || chr(13)))), i, 1)) - 1))) % 10)::INTEGER)"""
@@ -73,6 +76,6 @@ def unescape_sql(c: str, rounds: int) -> str:
 
 
 VECTORS_SQL = f"""vectors AS (
-  SELECT vec_id, 'u' || label::VARCHAR AS user_id, 'A' || (vec_id % 25)::VARCHAR AS asin,
+  SELECT vec_id, 'u' || label::VARCHAR AS user_id, 'A' || (vec_id // {PER_PRODUCT})::VARCHAR AS asin,
     CASE WHEN {BUCKET_SQL.format(salt="split", text="vec_id::VARCHAR")} < 8 THEN 'profile' ELSE 'val' END AS split,
     list_transform(embedding[1:16], lambda x: x::DOUBLE) AS z FROM embeddings WHERE label IS NOT NULL)"""
