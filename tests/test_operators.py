@@ -10,7 +10,7 @@ from plumeline.operators import gaussian as G
 from plumeline.operators.attributes import attribute, clean_value, extracted, top_attributes
 from plumeline.operators.metrics import fuse
 from plumeline.operators.ranking import flip_rate, hit_columns, kendall_and_spearman
-from plumeline.operators.retrieval import maxsim_scores
+from plumeline.operators.retrieval import Bm25, maxsim_scores, term_coverage
 from plumeline.operators.rules import annotated, length_bucket, signatures, struct_rules, word_shape
 
 
@@ -129,6 +129,14 @@ def test_maxsim_of_an_empty_document(spark):
     assert {r.doc_id: r.score for r in maxsim_scores(q, d).collect()} == {1: 1.0, 2: 0.0}
 
 
+def test_term_coverage(spark):
+    asked = spark.createDataFrame([(1, "The red red chair"), (2, "of a")], "query_id long, text string")
+    docs = spark.createDataFrame([(5, "A RED door, red"), (6, None), (7, "chair: red")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "query_id long, doc_id long, original_rank int")
+    got = {r.doc_id: (r.original_rank, r.score) for r in term_coverage(pairs, asked, docs, Bm25()).collect()}
+    assert got == {5: (1, 0.5), 6: (2, 0.0), 7: (3, 1.0)}
+
+
 def test_rules_and_signatures(spark):
     # "big dogs bark loudly": dogs <- big, bark root, bark <- dogs, bark <- loudly
     tokens = [(0, "big", "ADJ", "amod", 1), (1, "dogs", "NOUN", "nsubj", 2), (2, "bark", "VERB", "ROOT", 2), (3, "loudly", "ADV", "advmod", 2)]
