@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.noise import MECHANISMS, apply_edit, corrupt, minimal, pick
+from plumeline.functions.running import sums_before
+from plumeline.functions.scoped import let
 from plumeline.operators.profiles import error_model, hierarchical_rate, history_form, mechanism_histogram, mechanism_weights, typo_history, user_totals
 from plumeline.operators.rules import annotated, signatures
 from plumeline.sources.staged import stage, unstage
@@ -18,13 +20,12 @@ EDITS = "array<struct<index:int,position:int,start:int,end:int,original:string,t
 def _words(query: Column) -> Column:
     """array<struct<position,start,word>> of words of letters; places come from what is left between them."""
     words, gaps = F.regexp_extract_all(query, F.lit("[A-Za-z]+"), F.lit(0)), F.split(query, "[A-Za-z]+", -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<position:int,start:int,word:string>>").alias("out"))
+    rows = F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("gap"), words.alias("word"))
 
-    def add(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["gap"])
-        return F.struct((begin + F.length(x["word"])).alias("at"), F.concat(a["out"], F.array(F.struct(F.size(a["out"]).alias("position"), begin.alias("start"), x["word"].alias("word")))).alias("out"))
+    def placed(v: Column) -> Column:
+        return F.transform(v["rows"], lambda x, i: F.struct(i.alias("position"), (F.get(v["at"], i).cast("int") + F.length(x["gap"])).alias("start"), x["word"].alias("word")))
 
-    return F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(words)).alias("gap"), words.alias("word")), start, add, lambda a: a["out"])
+    return let(lambda r: let(placed, rows=r["rows"], at=sums_before(F.transform(r["rows"], lambda x: F.length(x["gap"]) + F.length(x["word"])))), rows=rows)
 
 
 def located(query: Column, parse: Callable[[Column], Column]) -> Column:
