@@ -28,6 +28,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.functions.running import LOT, largest_before, sums_before
+from plumeline.functions.scoped import let
 from plumeline.llm.common import fresh, whole_text
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -70,20 +72,29 @@ def text_model() -> tuple[list[int], list[float], list[float]]:
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _located(text: Column, pattern: str, kind: int, group: int | None = None, least: int = 0) -> Column:
-    """Spans of a pattern's matches: what `split` leaves between the matches gives their places."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """A pattern's matches as array<struct<start,end,text,value>>: what `split` leaves between them gives their places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    gaps = F.split(text, pattern, -1)
+    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("text"), values.alias("value"))
+    rows = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["text"]).alias("length"), x["text"].alias("text"), x["value"].alias("value")))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(v: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = F.get(v["at"], i).cast("int") + x["gap"]
+            return F.struct(start.alias("start"), (start + x["length"]).alias("end"), x["text"].alias("text"), x["value"].alias("value"))
 
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, add, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+        return F.transform(v["rows"], span)
+
+    return let(lambda r: let(placed, rows=r["rows"], at=sums_before(F.transform(r["rows"], lambda x: x["gap"] + x["length"]))), rows=rows)
+
+
+def _located(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
+    """Spans of those matches of which `group` has a least length."""
+    found = F.filter(_matches(text, pattern, group), lambda m: F.length(m["value"]) >= least)
+    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
 def _base_spans(text: Column) -> Column:
@@ -193,8 +204,9 @@ def _tested(tokens: Column) -> Column:
 
 def _tokens(text: Column) -> Column:
     """Candidate tokens with their texts."""
-    spans = _located(text, TOKEN, 3)
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text")))
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    tokens = F.transform(_matches(text, TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
+    return F.when(text.rlike(TOKEN), tokens).otherwise(none)
 
 
 def rejection_bins(documents: DataFrame, rate: float) -> dict[str, dict[int, int]]:
@@ -230,8 +242,19 @@ def with_spans(documents: DataFrame, rate: float = 0.05, base: str = "_base", ev
     fixed, random = _spans(whole_text(), rejection_bins(documents, rate))
     more = fresh([*documents.columns, base, every], "_random")
     out = documents.withColumn(base, fixed).withColumn(more, random)
-    apart = F.filter(more, lambda r: ~F.exists(base, lambda b: (b["start"] <= r["start"]) & (b["end"] >= r["end"])))
-    return out.withColumn(every, F.array_sort(F.concat(base, apart))).drop(more)
+    return out.withColumn(every, F.when(F.size(more) == 0, F.col(base)).otherwise(_with_apart(F.col(base), F.col(more)))).drop(more)
+
+
+def _with_apart(base: Column, more: Column) -> Column:
+    """The base spans and those of `more` that no base span holds, in order; both are sorted once and read once."""
+    both = F.array_sort(F.concat(base, more))  # at one start the base spans come first: their kinds are smaller
+
+    def kept(v: Column) -> Column:
+        inside = F.transform(v["both"], lambda s, i: F.struct(s.alias("span"), ((s["kind"] == 3) & (F.get(v["reach"], i) >= s["end"])).alias("held")))
+        return F.transform(F.filter(inside, lambda x: ~x["held"]), lambda x: x["span"])
+
+    ends = lambda both: F.transform(both, lambda s: F.when(s["kind"] == 3, 0).otherwise(s["end"]))
+    return let(lambda b: let(kept, both=b["both"], reach=largest_before(ends(b["both"]))), both=both)
 
 
 def _listed(spans: Column) -> Column:
@@ -251,25 +274,35 @@ def scan(documents: DataFrame, rate: float = 0.05) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
     """The documents with every span (overlapping ones as one) replaced by `mark`, and `n_chars` to match; all columns stay."""
-    base, every, spans = (fresh(documents.columns, c) for c in ("_base", "_all", "_merged"))
-    found = with_spans(documents, rate, base, every)
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), wider).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-
-    merged = F.aggregate(every, F.array().cast("array<struct<start:int,end:int>>"), merge)
-    out = found.withColumn(spans, F.when(F.size(every) > 0, merged))
-    kept = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: _between(F.col("text"), F.col(spans), i))
-    out = out.withColumn("text", F.when(F.col(spans).isNotNull(), F.array_join(kept, mark)).otherwise(F.col("text")))
+    base, every = (fresh(documents.columns, c) for c in ("_base", "_all"))
+    out = with_spans(documents, rate, base, every)
+    found = F.size(every) > 0
+    out = out.withColumn("text", F.when(found, F.array_join(_outside(F.col("text"), F.col(every)), mark)).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
 
 
-def _between(text: Column, spans: Column, i: Column) -> Column:
-    """The text after span i - 1 and before span i, counted from 0."""
-    begin = F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0))
-    end = F.coalesce(F.get(spans, i)["start"], F.length(text))
-    return F.substring(text, begin + 1, end - begin)
+def _outside(text: Column, spans: Column) -> Column:
+    """What lies before, between and behind the spans, which are in order and may overlap.
+
+    A text is cut into lots of pieces first and these into pieces, since to find a place reads all that is before it.
+    """
+    piece = "array<struct<start:int,end:int>>"
+
+    def gaps(v: Column) -> Column:
+        new = F.transform(v["spans"], lambda s, i: F.struct(F.get(v["reach"], i).cast("int").alias("start"), s["start"].alias("end"), ((i == 0) | (F.get(v["reach"], i) < s["start"])).alias("new")))
+        last = F.array(F.struct(F.element_at(v["reach"], -1).cast("int").alias("start"), F.length(v["text"]).alias("end")))
+        return F.concat(F.transform(F.filter(new, lambda g: g["new"]), lambda g: F.struct(g["start"], g["end"])).cast(piece), last.cast(piece))
+
+    def cut(v: Column) -> Column:
+        def lot(at: Column) -> Column:
+            first, until = at * LOT, F.least(at * LOT + LOT, F.size(v["gaps"])) - 1
+            begin, end = F.get(v["gaps"], first)["start"], F.get(v["gaps"], until)["end"]
+            one = lambda w: F.transform(F.sequence(w["first"], w["until"]), lambda i: F.substring(w["part"], F.get(v["gaps"], i)["start"] - w["begin"] + 1, F.get(v["gaps"], i)["end"] - F.get(v["gaps"], i)["start"]))
+            return let(one, first=first, until=until, begin=begin, part=F.substring(v["text"], begin + 1, end - begin))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(v["gaps"]) - 1) / LOT).cast("int")), lot))
+
+    reach = largest_before(F.transform(spans, lambda s: s["end"]))
+    return let(lambda v: let(cut, text=v["text"], gaps=gaps(v)), text=text, spans=spans, reach=reach)
