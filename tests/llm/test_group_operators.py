@@ -170,7 +170,7 @@ def test_near_duplicate_vectors(spark):
     made = [(i, (centre[i % 6] + rng.normal(size=16) * 0.12).tolist(), i % 2) for i in range(120)]
     made += [(200, None, 0), (201, [], 0), (202, [0.0] * 16, 0), (203, [float("nan")] * 16, 0), (204, [None] * 16, 0), (205, made[0][1], None), (206, made[0][1], 0), (207, made[0][1], 1), (208, [1.0] * 8, 0), (0, made[0][1], 0)]
     x = spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
-    for params in (sorted_passes.PassParams(), sorted_passes.PassParams(window=2, block=7)):
+    for params in (sorted_passes.PassParams(), sorted_passes.PassParams(window=2, block=7, passes_per_round=40)):
         got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in sorted_passes.near_duplicates(x, params).collect())
         good = [k for k, (_, v, l) in enumerate(made) if l is not None and v and None not in v and np.isfinite(v).all() and any(v)]
         unit = {k: (u := np.array(made[k][1], np.float32).astype(float)) / np.linalg.norm(u) for k in good}
@@ -220,12 +220,68 @@ def test_passes_in_a_cone(spark):
     frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r.n_links for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(window=8, passes_per_round=12)).collect()}
     assert links.any() and got == {i: int(links[i].sum()) for i in range(500)}
-    assert sorted_passes.passes_needed(10**6, sorted_passes.PassParams(), 0.2) > 4 * sorted_passes.passes_needed(10**6, sorted_passes.PassParams())
 
 
-def test_passes_grow_with_rows():
-    p = sorted_passes.PassParams()
-    assert sorted_passes.passes_needed(100, p) == p.least_passes < sorted_passes.passes_needed(10**5, p) < sorted_passes.passes_needed(10**8, p)
+def cones(n, centres, cosine, seed, pairs):
+    """n unit vectors in cones around random centres, and twins of the first `pairs` of them at a cosine of 0.9305."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def beside(x, cosine):
+        side = rng.standard_normal(x.shape)
+        return cosine * x + (1 - cosine**2) ** 0.5 * unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+
+    x = beside(unit(rng.standard_normal((centres, 64)))[np.arange(n) % centres], cosine**0.5)
+    return np.concatenate([x, beside(x[:pairs], 0.9305)])
+
+
+@pytest.mark.parametrize(("centres", "cosine", "n"), [(1, 0.85, 40_000), (4, 0.85, 160_000), (2, 0.88, 120_000), (8, 0.88, 200_000), (4, 0.90, 100_000)])
+def test_recall_over_several_cones(centres, cosine, n):
+    """The stop rule over whole keys and windows, without Spark: planted pairs are met in the passes that the twins ask for."""
+    p, pairs = sorted_passes.PassParams(), 300
+    x = cones(n, centres, cosine, centres, pairs)
+    sample = np.random.default_rng(9).choice(len(x), p.twins, replace=False)
+    every = np.concatenate([x, [sorted_passes._twin(x[i], int(i), p) for i in sample]])
+    mean, made, until = x.mean(axis=0), 0, None
+    found, met = np.zeros(pairs, bool), np.zeros(p.twins, bool)
+    while until is None or made < until:
+        planes = np.random.default_rng([p.seed, made]).standard_normal((64, 64))
+        keys = np.packbits((every - mean) @ planes > 0, axis=1).view(">u8").ravel()
+        place = np.empty(len(every), np.int64)
+        place[np.argsort(keys, kind="stable")] = np.arange(len(every))
+
+        def meet(a, b):
+            return (np.abs(place[a] - place[b]) <= p.window) & (place[a] // (p.segment * p.window) == place[b] // (p.segment * p.window))
+
+        found |= meet(np.arange(pairs), n + np.arange(pairs))
+        met |= meet(sample, len(x) + np.arange(p.twins))
+        made += 1
+        if until is None and met.all():
+            until = math.ceil(p.more * made)
+    assert found.mean() >= 0.99 and made < 80
+
+
+@pytest.mark.parametrize("segment", [8, 2])
+def test_near_duplicates_over_several_cones(spark, segment):
+    """Through Spark, with cuts along the order and windows far smaller than a label: every link of brute force."""
+    x = cones(3000, 3, 0.85, 5, 200).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = np.argwhere(np.triu(unit @ unit.T >= 0.93, 1))
+    count, group = Counter(links.ravel().tolist()), roots(len(x), links.tolist())
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    params = sorted_passes.PassParams(window=200, segment=segment, passes_per_round=12)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_passes.near_duplicates(frame, params).collect()}
+    wrong = sum(got[i] != (count[i], group[i]) for i in range(len(x)))
+    assert len(links) >= 200 and wrong <= 0.01 * len(count), f"{wrong} wrong of {len(count)} linked"
+
+
+def test_common_prefixes_are_dealt(spark):
+    """A third of a label within a hair of one vector: its keys are alike, so that it cannot be cut along the order."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((600, 16)), np.ones((1, 16)) + 1e-4 * rng.standard_normal((300, 16))]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted_passes.near_duplicates(frame, sorted_passes.PassParams(window=20, segment=2, twins=30, passes_per_round=12)).collect()}
+    assert all(got[i] == (299, 600) for i in range(600, 900))
 
 
 # ------------------------------------------------------------------------------------------------------------ passages
