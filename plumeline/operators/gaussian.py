@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.vectors import dot, minus, total
-from plumeline.operators.ranking import average_rank
+from plumeline.operators import places
+from plumeline.operators.places import with_average_rank
+from plumeline.sources.staged import stage
 
 #: Chi-squared quantiles with 16 degrees of freedom.
 CHI2_16 = {0.95: 26.2962, 0.75: 19.3689, 0.55: 16.0425, 0.35: 13.3096, 0.15: 10.3090, 0.05: 7.9616, 0.005: 5.1422}
@@ -60,11 +62,8 @@ def fit(vectors: DataFrame, dims: int = 16) -> DataFrame:
 
 
 def floor_quantiles(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """n_val, d2_q50/75/95 and d2_max: elements int(q (n - 1)) of the sorted values, by ranks rather than by a gathered list."""
-    w = Window.partitionBy(key)
-    placed = rows.withColumn("_at", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    picks = [F.max(F.when(F.col("_at") == F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(f"d2_q{round(100 * q)}") for q in (0.5, 0.75, 0.95)]
-    return placed.groupBy(key).agg(F.count("*").alias("n_val"), *picks, F.max(value).alias("d2_max"))
+    """n_val, d2_q50/75/95 and d2_max: elements int(q (n - 1)) of the sorted values, however many rows a key has."""
+    return places.floor_quantiles(rows, [key], value, {**{f"d2_q{round(100 * q)}": q for q in (0.5, 0.75, 0.95)}, "d2_max": 1.0}, "n_val")
 
 
 def d2(z: Column, mu: Column, lam: Column, v: Column, s: Column) -> Column:
@@ -125,7 +124,8 @@ def gate(scored: DataFrame, thresholds: dict[str, float], overlap: int = 2, leas
 
 def calibration(distances: DataFrame, threshold: float = CHI2_16[0.95], coverage: float = 0.8) -> DataFrame:
     """(user_id, d2) -> coverage, median and whether both hold."""
-    out = distances.groupBy("user_id").agg(F.count("*").alias("n_val"), F.avg((F.col("d2") <= threshold).cast("double")).alias("coverage"), F.percentile("d2", F.lit(0.5)).alias("median_d2"))
+    shares = distances.groupBy("user_id").agg(F.count("*").alias("n_val"), F.avg((F.col("d2") <= threshold).cast("double")).alias("coverage"))
+    out = shares.join(places.percentiles(distances, ["user_id"], "d2", {"median_d2": 0.5}).drop("n"), "user_id")
     return out.withColumn("a2_pass", (F.col("coverage") >= coverage) & (F.col("median_d2") <= threshold))
 
 
@@ -141,7 +141,8 @@ def stability(vectors: DataFrame, dims: int = 16, rounds: int = 20, share: float
     subs = subs.select(F.substring_index("user_id", "#", 1).alias("user_id"), F.substring_index("user_id", "#", -1).alias("round"), *[F.col(c).alias(f"{c}_sub") for c in ("mu", "lambda", "v", "s")])
     rows = vectors.filter("split = 'val'").join(full, "user_id").join(subs, "user_id")
     rows = rows.select("user_id", "round", d2(*map(F.col, ("z", "mu", "lambda", "v", "s"))).alias("a"), d2(*map(F.col, ("z", "mu_sub", "lambda_sub", "v_sub", "s_sub"))).alias("b"))
-    ranked = rows.withColumns({"ra": average_rank(["user_id", "round"], F.col("a")), "rb": average_rank(["user_id", "round"], F.col("b"))})
+    rows = stage(rows, "refitted")
+    ranked = with_average_rank(with_average_rank(rows, ["user_id", "round"], "a", "ra"), ["user_id", "round"], "b", "rb")
     each = ranked.groupBy("user_id", "round").agg(F.coalesce(F.nanvl(F.corr("ra", "rb"), F.lit(0.0)), F.lit(0.0)).alias("rho"), F.avg(((F.col("a") <= threshold) == (F.col("b") <= threshold)).cast("double")).alias("agree"))
     return each.groupBy("user_id").agg((F.count("*") / rounds).alias("fit_rate"), F.percentile("rho", F.lit(0.5)).alias("rho_median"), F.percentile("agree", F.lit(0.5)).alias("agreement_median"))
 
@@ -165,13 +166,18 @@ def audit_summary(verdicts: DataFrame) -> DataFrame:
     """One row: how many users pass or fail each rule, and percentiles of the finite coverages, medians and agreements."""
     shares = {"coverage": (0.25, 0.5, 0.75), "median_d2": (0.25, 0.5, 0.9), "fit_rate": (0.1, 0.5, 0.9), "rho_median": (0.1, 0.5, 0.9), "agreement_median": (0.1, 0.5, 0.9)}
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    verdicts = stage(verdicts, "verdicts")
     counts = [F.count("*").alias("n_users"), F.count_if("valid").alias("n_valid"), *[F.count_if(~F.col(f"{a}_pass")).alias(f"fail_{a}") for a in ("a1", "a2", "a3")]]
-    return verdicts.agg(*counts, *[F.percentile(finite(c), F.lit(q)).alias(f"{c}_p{round(100 * q)}") for c, qs in shares.items() for q in qs])
+    figures = verdicts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), finite(c).cast("double").alias("value")) for c in shares])).alias("f")).select("f.*")
+    every = sorted({q for qs in shares.values() for q in qs})
+    found = places.percentiles(figures, ["name"], "value", {f"p{round(100 * q)}": q for q in every})  # a row for each figure
+    wide = found.agg(*[F.max(F.when(F.col("name") == c, F.col(f"p{round(100 * q)}"))).alias(f"{c}_p{round(100 * q)}") for c, qs in shares.items() for q in qs])
+    return verdicts.agg(*counts).crossJoin(wide)  # one row beside one row
 
 
 def observed_thresholds(scored: DataFrame, shares: tuple[float, ...]) -> dict[str, float]:
     """Interpolated percentiles of the candidates' best distances, by name: one number for each share."""
-    row = scored.agg(*[F.percentile("d2", F.lit(q)).alias(f"obs{round(100 * q)}") for q in shares]).first()
+    row = places.percentiles(scored.select(F.lit(0).alias("all"), "d2"), ["all"], "d2", {f"obs{round(100 * q)}": q for q in shares}).drop("all", "n").first()
     return {k: v for k, v in row.asDict().items() if v is not None}
 
 

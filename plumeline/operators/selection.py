@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeline.operators.places import with_places
+
 
 def gaussian_eligible(vectors: DataFrame, trained: DataFrame, least_profile: int, least_val: int) -> DataFrame:
     """(user_id, n_profile, n_val) of users with enough rows of both splits who are in `trained` (user_id)."""
@@ -24,7 +26,7 @@ def top_users(rows: DataFrame, k: int) -> DataFrame:
 def modelling_users(counts: DataFrame, least: int = 30, seed: int = 42) -> DataFrame:
     """(user_id, n, place): users with enough sentences in hash order; the order is by digest, so a user's place moves only with new users."""
     kept = counts.filter(F.col("n") >= least)
-    return kept.withColumn("place", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "user_id"), 256))) - 1)
+    return with_places(kept, [F.sha2(F.concat_ws("|", F.lit(seed), "user_id"), 256)]).withColumn("place", F.col("place").cast("int"))
 
 
 def first_sentences(sentences: DataFrame, users: DataFrame, least: int = 30, first: int = 50) -> DataFrame:
@@ -55,7 +57,8 @@ def held_out_products(attrs: DataFrame, excluded: DataFrame, n: int = 10, least_
 
 def by_density(products: DataFrame, seed: int = 42) -> DataFrame:
     """Products with their place by falling n, those of equal n in hash order."""
-    return products.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), F.sha2(F.concat_ws("|", F.lit(seed), "asin"), 256))))
+    placed = with_places(products, [F.col("n").desc(), F.sha2(F.concat_ws("|", F.lit(seed), "asin"), 256)])
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def covered(pool: DataFrame, fitted: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from plumeline.functions.prompts import RERANK_TEMPLATES, first_known, morph_dif
 from plumeline.functions.text import strip_edges
 from plumeline.functions.vectors import cosine
 from plumeline.operators import selection as S
+from plumeline.operators.places import with_running_total
 from plumeline.operators.rules import annotated, context_signature
 from plumeline.plans.attributes import ATTRS_SQL, product_attrs
 from plumeline.plans.noise import EDITS_SQL, annotated_sql, user_edits
@@ -69,11 +70,9 @@ def product_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("row_offsets", f"""WITH {REVIEWS_SQL}, n AS (SELECT review_pos, count(*) AS n FROM sentences GROUP BY review_pos) SELECT review_pos, n, (coalesce(sum(n) OVER (ORDER BY review_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first_row FROM n""")
 def row_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each review's sentences begin when all are numbered: running sums over ranges of reviews, then of the ranges."""
-    n = review_sentences(spark, sf_dir).groupBy("review_pos").agg(F.count("*").alias("n")).withColumn("_range", F.floor(F.col("review_pos") / 4096))
-    before = n.groupBy("_range").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy("review_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("_inside", inside).join(before.drop("_n"), "_range").select("review_pos", "n", (F.col("_before") + F.col("_inside")).alias("first_row"))
+    """Where each review's sentences begin when all are numbered: running sums inside range partitions, then of the partitions."""
+    n = review_sentences(spark, sf_dir).groupBy("review_pos").agg(F.count("*").alias("n"))
+    return with_running_total(n, [F.col("review_pos")], "n", "first_row")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
