@@ -9,6 +9,7 @@ from plumeline.functions.vectors import norm, scaled
 from plumeline.operators import gaussian as G
 from plumeline.operators import selection as S
 from plumeline.operators.rules import struct_rules
+from plumeline.operators.sparse_svd import project, truncated_svd
 from plumeline.registry import register
 from plumeline.sources.staged import stage
 from plumeline.sources.tables import REVIEWS_SQL, VECTORS_SQL, review_sentences, reviews, style_vectors
@@ -307,3 +308,37 @@ def top_product_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two users of each product who wrote the most sentences."""
     n = review_sentences(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
     return S.top_users(reviews(spark, sf_dir).select("asin", "user_id").distinct().join(n, "user_id"), 2)
+
+
+# ------------------------------------------------------------------------------------------------- rule components
+
+COMPONENTS = 16
+
+
+def _rule_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(entries (row, col, value) of sentences and the rules of the vocabulary that they hold, the vocabulary)."""
+    rules = stage(_rules(spark, sf_dir).select("sent_id", "rule"), "sentence-rules")
+    v = rules.groupBy("rule").agg(F.count("*").alias("df")).filter("df >= 2")
+    v = stage(v.withColumn("rule_id", F.row_number().over(Window.orderBy("rule")) - 1), "vocabulary")  # bounded by the grammar
+    return rules.join(F.broadcast(v), "rule").select(F.col("sent_id").alias("row"), F.col("rule_id").alias("col"), F.lit(1.0).alias("value")), v
+
+
+@register("rule_projection", f"""WITH {PARSED_SQL}, v AS (SELECT rule, row_number() OVER (ORDER BY rule) - 1 AS rule_id FROM rules GROUP BY rule HAVING count(DISTINCT sent_id) >= 2),
+c AS (SELECT rule, i AS dim, ((rule_id * (2 * i + 3) + i) % 17 - 8) / 16.0::DOUBLE AS v FROM v, range(16) AS r(i))
+SELECT sent_id, dim::INTEGER AS dim, sum(v)::DOUBLE AS z FROM (SELECT DISTINCT sent_id, rule FROM rules) JOIN c USING (rule) GROUP BY ALL""")
+def rule_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences projected on given components: a sentence's sum of its rules' numbers, all sixteenths, so that sums are exact."""
+    entries, v = _rule_entries(spark, sf_dir)
+    given = [((F.col("rule_id") * (2 * i + 3) + i) % 17 - 8) / F.lit(16.0) for i in range(COMPONENTS)]
+    z = project(entries, F.broadcast(v.select(F.col("rule_id").alias("col"), F.array(*given).alias("v"))), COMPONENTS)
+    return z.select(F.col("row").alias("sent_id"), F.posexplode("z").alias("dim", "z"))
+
+
+@register("rule_components")
+def rule_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all sentences' rules, fitted: (component, singular, rule, weight)."""
+    entries, v = _rule_entries(spark, sf_dir)
+    names = [r.rule for r in v.orderBy("rule_id").collect()]
+    values, right = truncated_svd(entries, len(names), COMPONENTS)
+    found = [(c + 1, float(s), rule, float(x)) for c, (s, row) in enumerate(zip(values, right, strict=True)) for rule, x in zip(names, row, strict=True)]
+    return spark.createDataFrame(found, "component int, singular double, rule string, weight double")
