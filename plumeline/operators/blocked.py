@@ -1,8 +1,13 @@
 """A stated query set against all vectors, block by block: matrix products in tasks, and no row for a pair.
 
-Both sides are packed into blocks by a hash of the id. Every block of vectors goes to every block of queries; a task keeps
-the best k of each query, or sums over all vectors, for as long as it stays with one block of queries, so what it emits is
-k rows for each query and task.
+Documents stay where they are. Queries come to them in rounds of at most `SENT` bytes; a task keeps the best k of each query of a round,
+or sums, over all the documents it reads, so what it emits is k rows for each query and task. How many tasks there
+are follows from the documents alone.
+
+Vectors may have different lengths: a block is all its numbers and where each vector ends. Scores of whole vectors compare those of equal
+length only; a score of token vectors takes a vector as so many tokens of `dim` numbers. Defined results: vectors that are null, or hold
+null or non-finite numbers, take no part; an empty vector has cosine 0 with another empty one. Query ids are unique, document ids need
+not be; rows without an id take no part.
 """
 
 from __future__ import annotations
@@ -11,23 +16,49 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeline.operators.retrieval import top_k
+from plumeline.sources.staged import stage, unstage
 
-#: (queries, documents) -> a matrix of scores, one row for each query.
-Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Bytes of queries in a round.
+SENT = 16 << 20
+#: Numbers of a product of token vectors that are held at once.
+PRODUCT = 1 << 22
+
+
+@dataclass(frozen=True)
+class Ragged:
+    """Vectors of any lengths: their numbers, one after another, and where each begins, with the end of the last."""
+
+    values: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.ends)
+
+    def matrix(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The vectors `at`, all of one length."""
+        return self.values[self.ends[at][:, None] + np.arange(length)]
+
+    def part(self, lo: int, hi: int) -> Ragged:
+        return Ragged(self.values, self.ends[lo : hi + 1])
+
+
+#: (queries, documents) -> a matrix of scores, one row for each query; minus infinity where a pair has none.
+Score = Callable[[Ragged, Ragged], np.ndarray]
 
 
 @dataclass(frozen=True)
 class Blocks:
     queries: int = 512
     documents: int = 2048
-    #: Tasks for each block of queries.
-    splits: int = 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -41,6 +72,22 @@ def rounded(x: np.ndarray, places: int) -> np.ndarray:
     return np.trunc(y + np.copysign(0.5, y)) / 10.0**places
 
 
+def of_equal_length(score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Score:
+    """A score of matrices, for vectors of any lengths: each length apart, none between two lengths. Matrices are taken as they are."""
+
+    def scored(q: Ragged | np.ndarray, d: Ragged | np.ndarray) -> np.ndarray:
+        if isinstance(q, np.ndarray):
+            return score(q, d)
+        out = np.full((len(q), len(d)), -np.inf)
+        for length in np.intersect1d(q.lengths, d.lengths):
+            a, b = np.flatnonzero(q.lengths == length), np.flatnonzero(d.lengths == length)
+            out[np.ix_(a, b)] = score(q.matrix(a, length), d.matrix(b, length))
+        return out
+
+    return scored
+
+
+@of_equal_length
 def cosine_scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return rounded(unit(q) @ unit(d).T, 6)
 
@@ -57,7 +104,7 @@ def sparse_products(least: float, none: float = -np.inf) -> Score:
             met[at] = True
         return np.where(met, (out + 500) // 1000 / 1e6, none)
 
-    return score
+    return of_equal_length(score)
 
 
 def maxsim(parts: int) -> Score:
@@ -68,106 +115,181 @@ def maxsim(parts: int) -> Score:
         best = [np.max([qs[:, i] @ ds[:, j].T for j in range(parts)], axis=0) for i in range(parts)]
         return rounded(np.sum(rounded(np.array(best), 9), axis=0), 6)
 
+    return of_equal_length(score)
+
+
+def _tokens(x: Ragged, dim: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit token vectors of all rows, where each row's begin, with their end): the first `most` of each."""
+    counts = np.minimum(x.lengths // dim, most)
+    starts = np.append(0, np.cumsum(counts))
+    first = np.repeat(x.ends[:-1] - starts[:-1] * dim, counts) + np.arange(starts[-1]) * dim
+    return unit(x.values[first[:, None] + np.arange(dim)]), starts
+
+
+def token_maxsim(dim: int, query_tokens: int = 32, document_tokens: int = 64, padded: bool = True) -> Score:
+    """Sum over a query's tokens of the best cosine with a token of the document, of the first so many on each side.
+
+    With `padded`, a document of fewer tokens is filled up with tokens that score 0 with all, so that none of its best
+    is negative. A document or a query without tokens scores 0. Numbers behind the last whole token are not read.
+    """
+
+    def score(q: Ragged, d: Ragged) -> np.ndarray:
+        out = np.zeros((len(q), len(d)))
+        asked, begins = _tokens(q, dim, query_tokens)
+        if not len(asked):
+            return out
+        step = max(1, PRODUCT // (len(asked) * document_tokens))
+        for lo in range(0, len(d), step):
+            held, starts = _tokens(d.part(lo, min(lo + step, len(d))), dim, document_tokens)
+            counts = np.diff(starts)
+            some = np.flatnonzero(counts)
+            best = np.zeros((len(asked), len(counts)))
+            if len(some):
+                best[:, some] = np.maximum.reduceat(asked @ held.T, starts[some], axis=1)
+            if padded:
+                best[:, counts < document_tokens] = np.maximum(best[:, counts < document_tokens], 0)
+            full = np.flatnonzero(np.diff(begins))
+            out[full, lo : lo + len(counts)] = np.add.reduceat(rounded(best, 9), begins[full], axis=0)
+        return rounded(out, 6)
+
     return score
 
 
-def _packed(rows: DataFrame, key: str, vector: str, size: int, name: str) -> tuple[DataFrame, int]:
-    """(name, ids, vectors) with about `size` rows in each block, and how many blocks there are."""
-    blocks = max(1, -(-rows.count() // size))
-    placed = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name))
-    pairs = placed.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    return pairs.select(name, F.transform("rows", lambda r: r["id"]).alias(f"{name}_ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias(f"{name}_vectors")), blocks
+def _usable(rows: DataFrame, key: str, vector: str, *more: Column) -> DataFrame:
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    kept = rows.filter(F.col(key).isNotNull() & F.coalesce(whole, F.lit(False)))
+    return kept.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), *more)
 
 
-def _met(queries: DataFrame, documents: DataFrame, blocks: Blocks) -> DataFrame:
-    """A row for each pair of blocks, those of a task sorted by query block."""
-    q, n = _packed(queries, "query_id", "q", blocks.queries, "qb")
-    d, _ = _packed(documents, "doc_id", "d", blocks.documents, "db")
-    spread = d.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("split", F.col("db") % blocks.splits)
-    return spread.join(q, "qb").repartition("qb", "split").sortWithinPartitions("qb", "split", "db")
+def _ragged(column: pa.ListArray) -> Ragged:
+    return Ragged(column.values.to_numpy(), column.offsets.to_numpy())
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for qb, qi, qv, di, dv in zip(*(batch.column(c) for c in ("qb", "qb_ids", "qb_vectors", "db_ids", "db_vectors")), strict=True):
-            q, d = (x.values.to_numpy() for x in (qi, di))
-            yield qb.as_py(), q, qv.values.to_numpy().reshape(len(q), -1), d, dv.values.to_numpy().reshape(len(d), -1)
+def _rounds(queries: DataFrame) -> Iterator[tuple[np.ndarray, Ragged, np.ndarray]]:
+    """(ids, vectors, what is told of each) of the queries, in rounds that fit in `SENT`."""
+    asked = stage(_usable(queries, "query_id", "q", F.col("told") if "told" in queries.columns else F.array().cast("array<double>").alias("told")), "queries")
+    numbers = asked.agg(F.sum(F.size("v") + F.size("told") + 2)).first()[0] or 0
+    rounds = max(1, -(-8 * numbers // SENT))
+    asked = stage(asked.withColumn("round", F.monotonically_increasing_id() % rounds), "rounds")
+    for r in range(rounds):
+        rows = asked.filter(F.col("round") == r).select("id", "v", "told").collect()
+        ends = np.append(0, np.cumsum([len(x.v) for x in rows])).astype(np.int64)
+        values = np.concatenate([np.asarray(x.v, float) for x in rows]) if rows else np.empty(0)
+        yield np.array([x.id for x in rows], np.int64), Ragged(values, ends), np.array([x.told for x in rows], float).reshape(len(rows), len(rows[0].told) if rows else 0)
+    unstage(asked)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by score, then id."""
-    if len(ids) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = scores >= least
-        ids, scores = ids[kept], scores[kept]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, Ragged]]:
+    for batch in batches:
+        ids, vectors = batch.column("id").to_numpy(), _ragged(batch.column("v"))
+        for lo in range(0, len(ids), size):
+            hi = min(lo + size, len(ids))
+            yield ids[lo:hi], vectors.part(lo, hi)
+
+
+def _kept(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query by score, then id."""
+    order = np.lexsort((ids, -scores, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    order = order[place < k]
+    return query[order], ids[order], scores[order]
+
+
+def _top(queries: DataFrame, documents: DataFrame, score: Callable[[Ragged, Ragged, np.ndarray], np.ndarray], k: int, blocks: Blocks) -> DataFrame:
+    """(query_id, doc_id, score): k rows for each query and task."""
+    data = _usable(documents, "doc_id", "d")
+    found = None
+    for ids, vectors, told in _rounds(queries):
+        sent = documents.sparkSession.sparkContext.broadcast((ids, vectors, told))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q_ids, q, known = sent.value
+            none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            best = {lo: none for lo in range(0, len(q_ids), blocks.queries)}
+            for d_ids, d in _pieces(batches, blocks.documents):
+                for lo, held in best.items():
+                    hi = min(lo + blocks.queries, len(q_ids))
+                    s = np.where(q_ids[lo:hi, None] != d_ids[None, :], score(q.part(lo, hi), d, known[lo:hi]), -np.inf)
+                    # Only what reaches the k-th best so far, and the k-th best here, is looked at.
+                    least = np.where(np.bincount(held[0], minlength=hi - lo) >= k, np.inf, -np.inf)
+                    np.minimum.at(least, held[0], held[2])
+                    if s.shape[1] > k:
+                        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                    query, at = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                    best[lo] = _kept(np.concatenate([held[0], query]), np.concatenate([held[1], d_ids[at]]), np.concatenate([held[2], s[query, at]]), k)
+            for lo, (query, doc, s) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + query]), pa.array(doc), pa.array(s)], ["query_id", "doc_id", "score"])
+
+        part = stage(data.mapInArrow(run, "query_id long, doc_id long, score double"), "met")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def blocked_top_k(queries: DataFrame, documents: DataFrame, score: Score, k: int, competition: bool = False, blocks: Blocks | None = None) -> DataFrame:
     """The k best documents (doc_id, d) of each query (query_id, q) by score, then id; a query is never its own answer, nor is what scores minus infinity."""
+    return top_k(_top(queries, documents, lambda q, d, _: score(q, d), k, blocks or Blocks()), k, competition)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        now = None
-        for qb, q, qv, d, dv in _pairs(batches):
-            if qb != now and held:
-                yield emitted(held)
-                held = {}
-            now = qb
-            for i, s in zip(q.tolist(), score(qv, dv), strict=True):
-                other = (d != i) & (s > -np.inf)
-                ids, scores = d[other], s[other]
-                if i in held:
-                    ids, scores = np.concatenate([held[i][0], ids]), np.concatenate([held[i][1], scores])
-                held[i] = _best(ids, scores, k)
-        if held:
-            yield emitted(held)
-
-    def emitted(held: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        ids = np.repeat(np.fromiter(held, np.int64, len(held)), [len(x[0]) for x in held.values()])
-        return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([x[c] for x in held.values()])) for c in (0, 1))], ["query_id", "doc_id", "score"])
-
-    found = _met(queries, documents, blocks or Blocks()).mapInArrow(run, "query_id long, doc_id long, score double")
-    return top_k(found, k, competition)
+
+#: Scores are rounded to so many places, and sums of them and of their squares are taken in integers of these.
+MICRO, HALF = 10**6, 1 << 31
 
 
 def score_moments(queries: DataFrame, documents: DataFrame, scores: dict[str, Score], blocks: Blocks | None = None) -> DataFrame:
-    """Mean and sample deviation of each score over all documents but the query itself: (query_id, mean_x, std_x for each x)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, q, qv, d, dv in _pairs(batches):
-            other = q[:, None] != d[None, :]
-            out: dict[str, np.ndarray] = {"query_id": q, "n": other.sum(axis=1)}
-            for name, score in scores.items():
-                s = np.where(other, score(qv, dv), 0.0)
-                out |= {f"sum_{name}": s.sum(axis=1), f"square_{name}": (s * s).sum(axis=1)}
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
-
-    columns = [f"{part}_{name} double" for name in scores for part in ("sum", "square")]
-    sums = _met(queries, documents, blocks or Blocks()).mapInArrow(run, ", ".join(["query_id long, n long", *columns])).groupBy("query_id").agg(*[F.sum(c.split()[0]).alias(c.split()[0]) for c in ["n", *columns]])
-    n = F.col("n")
-    each = [(F.col(f"sum_{x}") / n).alias(f"mean_{x}") for x in scores]
-    each += [F.sqrt(F.greatest((F.col(f"square_{x}") - F.col(f"sum_{x}") * F.col(f"sum_{x}") / n) / F.greatest(n - 1, F.lit(1)), F.lit(0.0))).alias(f"std_{x}") for x in scores]
+    """Mean and sample deviation of each score over the documents that it is defined for, but the query itself: (query_id, mean_x, std_x for each x).
+
+    Scores have six places, so that their sums are exact in integers: they depend neither on the order of rows nor on cancellation.
+    """
+    blocks = blocks or Blocks()
+    data = _usable(documents, "doc_id", "d")
+    columns = [f"{part}_{name}" for name in scores for part in ("n", "sum", "high", "low")]
+    found = None
+    for ids, vectors, _ in _rounds(queries):
+        sent = documents.sparkSession.sparkContext.broadcast((ids, vectors))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            out = np.zeros((len(columns), len(q_ids)), np.int64)
+            for d_ids, d in _pieces(batches, blocks.documents):
+                for lo in range(0, len(q_ids), blocks.queries):
+                    hi = min(lo + blocks.queries, len(q_ids))
+                    for i, score in enumerate(scores.values()):
+                        s = score(q.part(lo, hi), d)
+                        other = (q_ids[lo:hi, None] != d_ids[None, :]) & (s > -np.inf)
+                        whole = np.rint(np.where(other, s, 0.0) * MICRO).astype(np.int64)
+                        squares = whole * whole
+                        out[4 * i : 4 * i + 4, lo:hi] += [other.sum(axis=1), whole.sum(axis=1), (squares // HALF).sum(axis=1), (squares % HALF).sum(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids), *map(pa.array, out)], ["query_id", *columns])
+
+        part = stage(data.mapInArrow(run, ", ".join(["query_id long", *[f"{c} long" for c in columns]])), "moments")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    sums = found.groupBy("query_id").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in columns])
+    each = []
+    for x in scores:
+        n, total, squares = F.col(f"n_{x}").cast("double"), F.col(f"sum_{x}"), F.col(f"high_{x}") * HALF + F.col(f"low_{x}")
+        around = (F.col(f"n_{x}").cast("decimal(13,0)") * squares.cast("decimal(25,0)")).cast("decimal(38,0)") - (total.cast("decimal(19,0)") * total.cast("decimal(19,0)")).cast("decimal(38,0)")
+        each.append((total.cast("double") / MICRO / F.greatest(n, F.lit(1.0))).alias(f"mean_{x}"))
+        each.append((F.sqrt(around.cast("double") / F.greatest(n * (n - 1), F.lit(1.0))) / MICRO).alias(f"std_{x}"))
     return sums.select("query_id", *each)
 
 
 def blocked_fusion(queries: DataFrame, documents: DataFrame, scores: dict[str, tuple[Score, float]], k: int, blocks: Blocks | None = None) -> DataFrame:
-    """The k best by a weighted sum of scores, each standardised within the query (sample deviation, at least 1e-6).
+    """The k best by a weighted sum of scores, each standardised within the query (sample deviation, at least 1e-6) and rounded to nine places.
 
     Two passes: moments first, which then travel with the queries; no score of a pair is ever written.
     """
     moments = score_moments(queries, documents, {x: s for x, (s, _) in scores.items()}, blocks)
-    names = list(scores)
-    width = 2 * len(names)
-    # The moments stand before the query's own numbers.
-    told = queries.join(moments, "query_id").select("query_id", F.concat(F.array(*[F.col(f"{p}_{x}") for x in names for p in ("mean", "std")]), F.col("q").cast("array<double>")).alias("q"))
+    told = F.array(*[F.col(f"{p}_{x}") for x in scores for p in ("mean", "std")]).alias("told")
+    asked = queries.join(moments, "query_id").select("query_id", "q", told)
 
-    def fused(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-        total = 0.0
+    def fused(q: Ragged, d: Ragged, known: np.ndarray) -> np.ndarray:
+        total, there = np.zeros((len(q), len(d)), np.int64), np.ones((len(q), len(d)), bool)  # billionths
         for i, (score, weight) in enumerate(scores.values()):
-            mean, deviation = q[:, 2 * i, None], np.maximum(q[:, 2 * i + 1, None], 1e-6)
-            total = total + weight * (score(q[:, width:], d) - mean) / deviation
-        return rounded(total, 6)
+            s = score(q, d)
+            there &= s > -np.inf
+            part = weight * (np.where(there, s, 0.0) - known[:, 2 * i, None]) / np.maximum(known[:, 2 * i + 1, None], 1e-6)
+            total += np.trunc(part * 1e9 + np.copysign(0.5, part)).astype(np.int64)
+        return np.where(there, np.sign(total) * ((np.abs(total) + 500) // 1000) / 1e6, -np.inf)
 
-    return blocked_top_k(told, documents, fused, k, blocks=blocks)
+    return top_k(_top(asked, documents, fused, k, blocks or Blocks()), k)

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeline.functions.vectors import cosine
 from plumeline.sources.staged import stage
 
 #: The stop words of the lexical retriever.
@@ -78,36 +77,6 @@ def _exact_sum(part: Column) -> Column:
     return F.round(F.sum(F.round(part, 9).cast("decimal(28,9)")), 6).cast("double")
 
 
-def sparse_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Inner products of (query_id, term, w) and (doc_id, term, w) rows by an equi-join on the term."""
-    joined = queries.withColumnRenamed("w", "wq").join(documents.withColumnRenamed("w", "wd"), "term")
-    return joined.groupBy("query_id", "doc_id").agg(_exact_sum(F.col("wq") * F.col("wd")).alias("score"))
-
-
-def dense_scores(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """Cosine of every stated query (query_id, q) with every document (doc_id, d); documents are not moved."""
-    pairs = documents.join(queries, F.lit(True))
-    return pairs.select("query_id", "doc_id", F.round(cosine(F.col("q"), F.col("d")), 6).alias("score"))
-
-
-def maxsim_scores(queries: DataFrame, documents: DataFrame, floor: float | None = None) -> DataFrame:
-    """Sum over the vectors of q of their best cosine with a vector of d; an empty d scores 0. `floor` is what padding scores."""
-
-    def best(q):
-        low = F.lit(-1e4 if floor is None else floor)
-        return F.aggregate(F.col("d"), low, lambda a, d: F.greatest(a, cosine(q, d)))
-
-    score = F.when(F.size("d") > 0, F.aggregate("q", F.lit(0.0), lambda a, q: a + F.round(best(q), 9))).otherwise(F.lit(0.0))
-    return documents.join(queries, F.lit(True)).select("query_id", "doc_id", F.round(score, 6).alias("score"))
-
-
-def zscore_fusion(scores: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of scores standardised within the query (sample deviation, at least 1e-6)."""
-    w = Window.partitionBy("query_id")
-    total = sum((weight * (F.col(c) - F.avg(c).over(w)) / F.greatest(F.stddev_samp(c).over(w), F.lit(1e-6)) for c, weight in weights.items()), F.lit(0.0))
-    return scores.select("query_id", "doc_id", F.round(total, 6).alias("score"))
-
-
 def top_k(scores: DataFrame, k: int, competition: bool = False) -> DataFrame:
     """The k best of each query by score, then doc_id; with `competition`, also 1 + the number of better scores."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeline.operators.blocked import blocked_fusion, blocked_top_k, cosine_scores, maxsim, sparse_products
+from plumeline.operators.blocked import blocked_fusion, blocked_top_k, cosine_scores, maxsim, sparse_products, token_maxsim
 from plumeline.operators.ranking import hit_columns
 from plumeline.operators.retrieval import Bm25, bm25_scores, target_ranks, top_k
 from plumeline.operators.selection import joined_one_to_one
@@ -139,10 +139,24 @@ def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocked_top_k(*_vectors(spark, sf_dir), maxsim(4), 100)
 
 
+@register("token_maxsim_topk", """WITH rows AS (SELECT vec_id, embedding, vec_id % 5 AS n FROM embeddings),
+tv AS (SELECT vec_id, n, t, list_transform(embedding[(t * 16 + 1):(t * 16 + 16)], lambda x: x::DOUBLE) AS v FROM (SELECT vec_id, n, embedding, unnest(range(n)) AS t FROM rows)),
+q AS (SELECT vec_id AS query_id, t AS qt, list_transform(embedding[(t * 16 + 1):(t * 16 + 16)], lambda x: x::DOUBLE) AS qv FROM (SELECT vec_id, embedding, unnest(range(3)) AS t FROM embeddings WHERE vec_id % 50 = 0)),
+best AS (SELECT query_id, qt, vec_id AS doc_id, max(list_cosine_similarity(qv, v)) AS m, any_value(n) AS n FROM q CROSS JOIN tv WHERE query_id <> vec_id GROUP BY ALL),
+found AS (SELECT query_id, doc_id, round(sum(round(CASE WHEN n < 4 THEN greatest(m, 0) ELSE m END, 9)), 6) AS score FROM best GROUP BY ALL),
+every AS (SELECT a.query_id, b.vec_id AS doc_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM q) a CROSS JOIN rows b LEFT JOIN found f ON f.query_id = a.query_id AND f.doc_id = b.vec_id WHERE a.query_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM every)
+SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100""")
+def token_maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late interaction over token vectors of varying number: documents of 0 to 4 tokens, filled up to four with tokens that score 0, and three of each query's."""
+    q, d = _vectors(spark, sf_dir)
+    return blocked_top_k(q, d.select("doc_id", F.slice("d", F.lit(1), F.col("doc_id") % 5 * 16).alias("d")), token_maxsim(16, query_tokens=3, document_tokens=4), 100)
+
+
 @register("hybrid_topk", f"""WITH {_MAXSIM}, q2 AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 dense AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(list_transform(qv, lambda x: x::DOUBLE), list_transform(embedding, lambda x: x::DOUBLE)), 6) AS score FROM q2 CROSS JOIN embeddings WHERE query_id <> vec_id),
 b AS (SELECT d.query_id, d.doc_id, d.score AS s1, m.score AS s2 FROM dense d JOIN maxsim m USING (query_id, doc_id)),
-f AS (SELECT query_id, doc_id, round((s1 - avg(s1) OVER w) / greatest(stddev_samp(s1) OVER w, 1e-6) + (s2 - avg(s2) OVER w) / greatest(stddev_samp(s2) OVER w, 1e-6), 6) AS score FROM b WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, round(round((s1 - avg(s1) OVER w) / greatest(stddev_samp(s1) OVER w, 1e-6), 9)::DECIMAL(28, 9) + round((s2 - avg(s2) OVER w) / greatest(stddev_samp(s2) OVER w, 1e-6), 9)::DECIMAL(28, 9), 6)::DOUBLE AS score FROM b WINDOW w AS (PARTITION BY query_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM f)
 SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 20""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +181,7 @@ dense AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(list_t
 w AS (SELECT vec_id, unnest(range(64)) AS term, unnest(embedding)::DOUBLE AS w FROM embeddings),
 sparse AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(sum(round(a.w * b.w, 9)::DECIMAL(28, 9)), 6)::DOUBLE AS score FROM w a JOIN w b ON a.term = b.term AND a.w > 0.05 AND b.w > 0.05 WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
 b AS (SELECT d.query_id, d.doc_id, d.score AS s1, coalesce(p.score, 0) AS s2, m.score AS s3 FROM dense d JOIN maxsim m USING (query_id, doc_id) LEFT JOIN sparse p USING (query_id, doc_id)),
-f AS (SELECT query_id, doc_id, round((s1 - avg(s1) OVER w) / greatest(stddev_samp(s1) OVER w, 1e-6) + 0.3 * (s2 - avg(s2) OVER w) / greatest(stddev_samp(s2) OVER w, 1e-6) + (s3 - avg(s3) OVER w) / greatest(stddev_samp(s3) OVER w, 1e-6), 6) AS score FROM b WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, doc_id, round(round((s1 - avg(s1) OVER w) / greatest(stddev_samp(s1) OVER w, 1e-6), 9)::DECIMAL(28, 9) + round(0.3 * (s2 - avg(s2) OVER w) / greatest(stddev_samp(s2) OVER w, 1e-6), 9)::DECIMAL(28, 9) + round((s3 - avg(s3) OVER w) / greatest(stddev_samp(s3) OVER w, 1e-6), 9)::DECIMAL(28, 9), 6)::DOUBLE AS score FROM b WINDOW w AS (PARTITION BY query_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM f)
 SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 20""")
 def hybrid_three_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

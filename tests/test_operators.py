@@ -7,10 +7,11 @@ from plumeline.functions import corpus_text as C
 from plumeline.functions import text as T
 from plumeline.functions.noise import apply_edit, classify, minimal
 from plumeline.operators import gaussian as G
+from plumeline.operators.blocked import blocked_top_k, token_maxsim
 from plumeline.operators.attributes import attribute, clean_value, extracted, top_attributes
 from plumeline.operators.metrics import fuse
 from plumeline.operators.ranking import flip_rate, hit_columns, kendall_and_spearman
-from plumeline.operators.retrieval import Bm25, maxsim_scores, term_coverage
+from plumeline.operators.retrieval import Bm25, term_coverage
 from plumeline.operators.rules import annotated, length_bucket, signatures, struct_rules, word_shape
 
 
@@ -124,9 +125,9 @@ def test_rank_correlation(spark):
 
 
 def test_maxsim_of_an_empty_document(spark):
-    q = spark.createDataFrame([(1, [[1.0, 0.0], [0.0, 1.0]])], "query_id long, q array<array<double>>")
-    d = spark.createDataFrame([(1, [[1.0, 0.0]]), (2, [])], "doc_id long, d array<array<double>>")
-    assert {r.doc_id: r.score for r in maxsim_scores(q, d).collect()} == {1: 1.0, 2: 0.0}
+    q = spark.createDataFrame([(3, [1.0, 0.0, 0.0, 1.0])], "query_id long, q array<double>")
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, [])], "doc_id long, d array<double>")
+    assert {r.doc_id: r.score for r in blocked_top_k(q, d, token_maxsim(2), 5).collect()} == {1: 1.0, 2: 0.0}
 
 
 def test_term_coverage(spark):

@@ -60,7 +60,7 @@ def test_blocks_match_brute_force(spark):
     x = rng.normal(size=(70, 8)).round(1)
     docs = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, d array<double>")
     queries = docs.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.col("d").alias("q"))
-    small = B.Blocks(queries=4, documents=9, splits=3)
+    small = B.Blocks(queries=4, documents=9)
     for score in (B.cosine_scores, B.maxsim(2), B.sparse_products(0.05)):
         full = score(x, x)
         got = {}
@@ -77,6 +77,54 @@ def test_blocks_match_brute_force(spark):
         assert fused[q, 1] == pytest.approx(total[other].max(), abs=1e-5)
 
 
+def test_blocks_take_uneven_vectors(spark):
+    """Vectors of several lengths, empty, null, with nulls and not finite: only equal lengths meet, and nothing is cut anew."""
+    made = [(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [2.0, 0.0]), (None, [1.0, 0.0]), (9, [0.0, 0.0])]
+    docs = frame(spark, made, "doc_id long, d array<double>")
+    queries = docs.filter("doc_id IN (0, 4, 5, 7)").select(F.col("doc_id").alias("query_id"), F.col("d").alias("q"))
+    got = B.blocked_top_k(queries, docs, B.cosine_scores, 9).collect()
+    assert sorted((r.query_id, r.pos, r.doc_id, r.score) for r in got) == [(0, 1, 8, 1.0), (0, 2, 3, 0.0), (0, 3, 9, 0.0)]
+    m = B.score_moments(queries, docs, {"c": B.cosine_scores}).collect()
+    assert {r.query_id: (r.mean_c, r.std_c) for r in m} == {0: (pytest.approx(1 / 3), pytest.approx(1 / 3**0.5)), 5: (0.0, 0.0)}
+    assert B.blocked_top_k(queries.limit(0), docs, B.cosine_scores, 9).count() == B.blocked_top_k(queries, docs.limit(0), B.cosine_scores, 9).count() == 0
+
+
+@pytest.mark.parametrize("padded", [True, False])
+@pytest.mark.parametrize("product", [1 << 22, 40])
+def test_token_vectors_of_varying_number(spark, padded, product, monkeypatch):
+    monkeypatch.setattr(B, "PRODUCT", product)
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=3 * n).tolist() for n in [0, 1, 2, 5, 7, 3, 0, 4, 9, 1] * 3]
+    docs = frame(spark, list(enumerate(x)), "doc_id long, d array<double>").repartition(3)
+    queries = docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.col("d").alias("q"))
+
+    def tokens(v, most):
+        t = np.array(v).reshape(-1, 3)[:most]
+        return t / np.linalg.norm(t, axis=1, keepdims=True)
+
+    def score(q, d):
+        total = 0.0
+        for t in tokens(q, 4):
+            best = max((t @ tokens(d, 5).T).tolist(), default=0.0)
+            total += max(best, 0.0) if padded and len(d) // 3 < 5 else best
+        return total
+
+    got = {(r.query_id, r.pos): (r.doc_id, r.score) for r in B.blocked_top_k(queries, docs, B.token_maxsim(3, 4, 5, padded), 30, blocks=B.Blocks(queries=3, documents=4)).collect()}
+    for q in range(0, 30, 4):
+        best = sorted((-round(score(x[q], x[d]), 6) + 0.0, d) for d in range(30) if d != q)
+        assert [got[q, k + 1] for k in range(29)] == [(d, pytest.approx(-s, abs=2e-6)) for s, d in best]
+
+
+def test_rounds_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(B, "SENT", 400)
+    x = np.random.default_rng(5).normal(size=(40, 4))
+    docs = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, d array<double>")
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.col("d").alias("q"))
+    full = B.cosine_scores(x, x)
+    got = {(r.query_id, r.pos): r.doc_id for r in B.blocked_top_k(queries, docs, B.cosine_scores, 3).collect()}
+    assert all([got[q, k] for k in (1, 2, 3)] == [d for _, d in sorted((-full[q, d], d) for d in range(40) if d != q)[:3]] for q in range(40))
+
+
 SIGNED = "user_id string, level int, sig string, word string, mech string, typo string"
 
 
