@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.operators.blocked import blocked_fusion, blocked_top_k, cosine_scores, maxsim, sparse_products, token_maxsim
+from plumeline.operators.containment import containing
+from plumeline.operators.impact_index import build, impact_top_k, opened, thresholds
 from plumeline.operators.ranking import hit_columns
 from plumeline.operators.retrieval import Bm25, bm25_scores, target_ranks, top_k
 from plumeline.operators.selection import joined_one_to_one
@@ -57,19 +59,39 @@ def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each query, the first document that holds its text. Documents stay where they are as long as the query set is small."""
-    q = _queries(spark, sf_dir)
-    q = F.broadcast(q) if q.count() <= 50_000 else q
-    found = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")).join(q, F.contains(F.col("body"), F.col("text"))).groupBy("query_id").agg(F.min("doc_id").alias("target"))
+    """For each query, the first document that holds its text."""
+    found = containing(_queries(spark, sf_dir), table(spark, sf_dir, "documents")).groupBy("query_id").agg(F.min("doc_id").alias("target"))
     return stage(found, "targets")
 
 
+@register("target_index", """SELECT b.item_id AS query_id, coalesce(min(d.doc_id), -1) AS target, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY ALL""")
+def target_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query's first document and how many hold it; -1 for a query that none does."""
+    q = _queries(spark, sf_dir)
+    found = containing(q, table(spark, sf_dir, "documents")).groupBy("query_id").agg(F.min("doc_id").alias("target"), F.count("*").alias("n"))
+    return q.join(found, "query_id", "left").select("query_id", F.coalesce("target", F.lit(-1)).alias("target"), F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
 @register("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best documents of each query."""
     return top_k(bm25(spark, sf_dir), 100)
 
 
+@register("bm25_impact_topk", f"WITH {BM25_SQL} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 10")
+def bm25_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each query by the impact-ordered index."""
+    return impact_top_k(build(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), Bm25()), 10)
+
+
+@register("bm25_blocks_read")
+def bm25_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks and postings of its terms each query reads for its ten best, and the share of postings that it leaves."""
+    index = build(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), Bm25())
+    each = opened(index, thresholds(index, 10)).groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if("read").alias("blocks_read"), F.sum("n").alias("postings"), F.sum(F.when(F.col("read"), F.col("n")).otherwise(0)).alias("postings_read"))
+    return each.withColumn("share_left", F.round(1 - F.col("postings_read") / F.col("postings"), 6))
+
+
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_ranks(stage(bm25(spark, sf_dir), "scores"), targets(spark, sf_dir))
 
