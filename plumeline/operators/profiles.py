@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.noise import MECHANISMS
@@ -32,15 +32,20 @@ def lift_cosine(profile: DataFrame) -> DataFrame:
 
 
 def error_model(signed: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """(user_id, level, sig, mech or null) rows, one for each word and level -> totals, errors by kind and both rates, (n + a) / (total + 2 a)."""
-    total, errors, letters = F.count("*"), F.count("mech"), F.count_if(F.col("mech").isin(*MECHANISMS))
+    """(user_id, level, sig, mech or null) rows, one for each word and level or counted in `n` -> totals, errors by kind and both rates, (n + a) / (total + 2 a)."""
+    n = _weight(signed)
+    total, errors, letters = F.sum(n), F.sum(F.when(F.col("mech").isNotNull(), n).otherwise(0)), F.sum(F.when(F.col("mech").isin(*MECHANISMS), n).otherwise(0))
     rate = lambda n: (n + alpha) / (total + 2 * alpha)
     return signed.groupBy("user_id", "level", "sig").agg(total.alias("total"), errors.alias("errors"), letters.alias("char_level"), (errors - letters).alias("surface"), rate(errors).alias("rate"), rate(letters).alias("char_rate"))
 
 
 def mechanism_histogram(signed: DataFrame) -> DataFrame:
     """(user_id, level, sig, mech) counts of the words that are errors."""
-    return signed.filter("mech is not null").groupBy("user_id", "level", "sig", "mech").agg(F.count("*").alias("n"))
+    return signed.filter("mech is not null").groupBy("user_id", "level", "sig", "mech").agg(F.sum(_weight(signed)).alias("n"))
+
+
+def _weight(signed: DataFrame) -> Column:
+    return F.col("n") if "n" in signed.columns else F.lit(1).cast("bigint")
 
 
 def user_totals(model: DataFrame) -> DataFrame:

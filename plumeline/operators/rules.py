@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumeline.functions.scoped import let
@@ -84,6 +88,120 @@ def signatures(t: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("level"), F.lit(name).alias("name"), sig.alias("sig")) for i, (name, sig) in enumerate(found.items())])
 
 
+def _contexts(schema: pa.Schema, keys: tuple[str, ...]):
+    """Sentences as lists -> a row for each token with its context; all tokens of a batch are looked up at once, as numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column("head")
+            ends = heads.offsets.to_numpy()
+            ends = ends - ends[0]
+            sizes = np.diff(ends)
+            own = np.arange(ends[-1])
+            head = heads.flatten().to_numpy().astype(np.int64) + np.repeat(ends[:-1], sizes)
+            pos, dep = (batch.column(c).flatten().dictionary_encode() for c in ("pos", "dep"))
+            names = pa.array([*pos.dictionary.to_pylist(), "ROOT", "NONE"], pa.string())
+            root_name, none = len(names) - 2, len(names) - 1
+            p, root = pos.indices.to_numpy().astype(np.int64), head == own
+            up = head[head]
+            parent, grand = np.where(root, root_name, p[head]), np.where(root | root[head], root_name, p[up])
+            depth = np.where(root, 0, np.where(root[head], 1, np.where(root[up], 2, 3)))
+            marks = [d.upper() if d in CLAUSE_DEPS else "PREP" if d == "prep" else "" for d in dep.dictionary.to_pylist()]
+            clauses = ["ROOT", *sorted({m for m in marks if m})]
+            opened = np.array([clauses.index(m) if m else 0 for m in marks], np.int64)
+            mark, far = np.where(root, 0, opened[dep.indices.to_numpy()[head]]) if len(own) else own, head
+            for _ in range(int(sizes.max(initial=0)).bit_length()):  # the nearest that opens a clause, by doubling
+                mark, far = np.where(mark > 0, mark, mark[far]), far[far]
+            left, right = np.full(len(own), none), np.full(len(own), none)
+            line = np.lexsort((own, head))
+            line = line[~root[line]]
+            beside = head[line[1:]] == head[line[:-1]]
+            left[line[1:][beside]], right[line[:-1][beside]] = p[line[:-1][beside]], p[line[1:][beside]]
+            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            found = {c: batch.column(c).take(at) for c in keys} | {"text": batch.column("text").flatten(), "i": pa.array(own - np.repeat(ends[:-1], sizes), pa.int32()), "pos": batch.column("pos").flatten(), "dep": batch.column("dep").flatten()}
+            found |= {c: names.take(pa.array(x)) for c, x in (("parent", parent), ("grand", grand), ("left", left), ("right", right))}
+            found |= {"clause": pa.array(clauses, pa.string()).take(pa.array(mark)), "depth": pa.array(["d0", "d1", "d2", "d3+"]).take(pa.array(depth))}
+            yield pa.RecordBatch.from_arrays([found[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _ruled(schema: pa.Schema, keys: tuple[str, ...]):
+    """Sentences as lists -> a row for each distinct rule; rules are numbers until they are known to be distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column("head")
+            ends = heads.offsets.to_numpy()
+            ends = ends - ends[0]
+            sizes = np.diff(ends)
+            sentence = np.repeat(np.arange(len(sizes)), sizes)
+            own = np.arange(ends[-1])
+            head = heads.flatten().to_numpy().astype(np.int64) + np.repeat(ends[:-1], sizes)
+            pos, dep = (batch.column(c).flatten().dictionary_encode() for c in ("pos", "dep"))
+            p, d = pos.indices.to_numpy().astype(np.int64), dep.indices.to_numpy().astype(np.int64)
+            names, relations = [*pos.dictionary.to_pylist(), "ROOT"], dep.dictionary.to_pylist()
+            n, m = len(names), max(1, len(relations))
+            long = sizes[sentence] >= 3
+            word = own[long & (head != own)]
+            grand = np.where(head[head[word]] == head[word], n - 1, p[head[head[word]]])
+            below = (p[head[word]] * m + d[word]) * n + p[word]
+            first = own[(own + 2 < len(own)) & long]
+            first = first[sentence[first + 2] == sentence[first]]
+            three = (p[first] * n + p[first + 1]) * n + p[first + 2]
+            most = n * n * n * m
+            # kind, then the numbers of its parts; a sentence and a rule are one number
+            rules = np.concatenate([grand * (most // n) + below, most + below, 2 * most + three])
+            found, where = np.unique(rules, return_inverse=True)
+            pairs = np.unique(np.concatenate([sentence[word], sentence[word], sentence[first]]).astype(np.int64) * max(1, len(found)) + where)
+            texts = []
+            for r in found.tolist():
+                kind, r = divmod(r, most)
+                if kind == 2:
+                    texts.append(f"P3|{names[r // n // n]}|{names[r // n % n]}|{names[r % n]}")
+                else:
+                    tail = f"{names[r // (n * m) % n]}|{relations[r // n % m]}|{names[r % n]}"
+                    texts.append(f"D3|{tail}" if kind else f"D4|{names[r // (most // n)]}|{tail}")
+            at = pa.array(pairs // max(1, len(found)))
+            columns = [batch.column(c).take(at) for c in keys] + [pa.array(texts, pa.string()).take(pa.array(pairs % max(1, len(found))))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def sentence_rules(sentences: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rule) with a row for each distinct rule of `tokens`: `struct_rules` for tables of sentences, several times faster."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    lists = sentences.filter(F.col("tokens").isNotNull()).select(*keys, *[F.col(f"tokens.{c}").alias(c) for c in ("pos", "dep", "head")])
+    schema = pa.schema([*[(c, to_arrow_type(sentences.schema[c].dataType)) for c in keys], ("rule", pa.string())])
+    kinds = ", ".join([f"`{c}` {sentences.schema[c].dataType.simpleString()}" for c in keys] + ["rule string"])
+    return lists.mapInArrow(_ruled(schema, keys), kinds)
+
+
+def annotated_tokens(sentences: DataFrame, *keys: str) -> DataFrame:
+    """(keys, t) with a row for each token of `tokens`, annotated as `annotated` does it: for tables of sentences, where this is several times faster."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    lists = sentences.filter(F.col("tokens").isNotNull()).select(*keys, *[F.col(f"tokens.{c}").alias(c) for c in ("text", "pos", "dep", "head")])
+    strings = ("text", *CONTEXT)
+    schema = pa.schema([*[(c, to_arrow_type(sentences.schema[c].dataType)) for c in keys], ("i", pa.int32()), *[(c, pa.string()) for c in strings]])
+    kinds = ", ".join([*[f"`{c}` {sentences.schema[c].dataType.simpleString()}" for c in keys], "i int", *[f"{c} string" for c in strings]])
+    return lists.mapInArrow(_contexts(schema, keys), kinds).select(*keys, F.struct("i", *strings).alias("t"))
+
+
+#: What the signatures of an annotated token follow from.
+CONTEXT = ("pos", "dep", "parent", "grand", "clause", "depth", "left", "right")
+
+
+def signature_counts(tokens: DataFrame, *keys: str) -> DataFrame:
+    """(level, name, sig, keys, n) of annotated tokens, column `t`: contexts are counted first, and only the few distinct ones are signed."""
+    contexts = tokens.select(*keys, *[F.col(f"t.{c}").alias(f"_{c}") for c in CONTEXT]).groupBy(*keys, *[f"_{c}" for c in CONTEXT]).agg(F.count("*").alias("_n"))
+    t = F.struct(*[F.col(f"_{c}").alias(c) for c in CONTEXT])
+    signed = contexts.select(*keys, "_n", F.explode(signatures(t)).alias("_s"))
+    return signed.groupBy("_s.level", "_s.name", "_s.sig", *keys).agg(F.sum("_n").alias("n"))
+
+
 def context_signature(t: Column) -> Column:
     """Class, relation, parent's class, length and shape of a word."""
     return F.concat_ws("|", t["pos"], t["dep"], t["parent"], length_bucket(F.length(t["text"])), word_shape(t["text"]))

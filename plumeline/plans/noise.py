@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.functions.noise import APOSTROPHES, HOMOPHONES, MECHANISMS, NEAR_KEYS, OTHER_LAYOUT, apply_edit, classify, corrupt, minimal
 from plumeline.operators.injection import inject_chain, located, replay
 from plumeline.operators.profiles import context_profile, error_model, hierarchical_rate, history_form, lift_cosine, mechanism_histogram, typo_history, user_totals
-from plumeline.operators.rules import annotated, length_bucket, signatures
+from plumeline.operators.rules import annotated_tokens, length_bucket, signature_counts, signatures
 from plumeline.plans.style import PARSED_SQL, parse, parse_sql, parsed
 from plumeline.registry import register
 from plumeline.sources.tables import table
@@ -175,9 +175,8 @@ LEVELS_SQL = "unnest([0, 1, 2, 3, 4, 5, 6]) AS level, unnest([s0, s1, s2, s3, s4
 @register("token_signatures", f"WITH RECURSIVE {PARSED_SQL}, {annotated_sql('k', 'sent_id', 'ws')}, g AS (SELECT len_bucket, {LEVELS_SQL} FROM x_) SELECT level::INTEGER AS level, sig, len_bucket, count(*) AS n FROM g GROUP BY ALL")
 def token_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each context signature of a parsed word occurs, by level and length of the word."""
-    rows = parsed(spark, sf_dir).select(F.explode(annotated(F.col("tokens"))).alias("t"))
-    marked = rows.select(F.explode(signatures(F.col("t"))).alias("s"), length_bucket(F.length("t.text")).alias("len_bucket"))
-    return marked.groupBy("s.level", "s.sig", "len_bucket").agg(F.count("*").alias("n"))
+    rows = annotated_tokens(parsed(spark, sf_dir))
+    return signature_counts(rows.withColumn("len_bucket", length_bucket(F.length("t.text"))), "len_bucket").select("level", "sig", "len_bucket", "n")
 
 
 def _first_long(text: Column) -> Column:
@@ -196,13 +195,23 @@ def edit_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------------------------- error model, injection
 
 
-def signed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, level, sig, word, mech, typo): each word of letters of the conversation turns at all seven levels; mech is null where it is no error."""
+def _error_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, t, word, mech, typo): each word of letters of the conversation turns, annotated; mech is null where it is no error."""
     t = table(spark, sf_dir, "conversations").select(F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.concat_ws(":", "conv_id", "turn").alias("ref"), F.explode(F.array(F.regexp_extract_all("text", F.lit("[A-Za-z']+"), F.lit(0)))).alias("words"))
-    tokens = t.filter("size(words) > 0").select("user_id", "ref", F.explode(annotated(parse(F.col("words")))).alias("t")).filter(F.col("t.text").rlike("^[A-Za-z]+$"))
+    tokens = annotated_tokens(t.filter("size(words) > 0").select("user_id", "ref", parse(F.col("words")).alias("tokens")), "user_id", "ref").filter(F.col("t.text").rlike("^[A-Za-z]+$"))
     rows = corrupted(tokens.withColumn("word", F.col("t.text"))).withColumn("found", classify(F.col("typo"), F.col("word")))
     mech = F.when(F.col("found") != "semantic_substitution", F.col("found"))
-    return rows.select("user_id", "word", mech.alias("mech"), "typo", F.explode(signatures(F.col("t"))).alias("s")).select("user_id", "s.level", "s.sig", "word", "mech", "typo")
+    return rows.select("user_id", "t", "word", mech.alias("mech"), "typo")
+
+
+def signed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, level, sig, word, mech, typo): each word at all seven levels."""
+    return _error_words(spark, sf_dir).select("user_id", "word", "mech", "typo", F.explode(signatures(F.col("t"))).alias("s")).select("user_id", "s.level", "s.sig", "word", "mech", "typo")
+
+
+def signed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, level, sig, mech, n): the same, counted."""
+    return signature_counts(_error_words(spark, sf_dir), "user_id", "mech").select("user_id", "level", "sig", "mech", "n")
 
 
 _LETTERS = "(" + ", ".join(f"'{m}'" for m in MECHANISMS) + ")"
@@ -217,20 +226,20 @@ totals AS (SELECT user_id, sum(total)::BIGINT AS n_tokens, sum(errors)::BIGINT A
 @register("user_error_model", f"WITH RECURSIVE {SIGNED_SQL} SELECT user_id, level::INTEGER AS level, sig, total, errors, char_level, errors - char_level AS surface, round(rate, 6) AS rate, round(char_rate, 6) AS char_rate FROM model")
 def user_error_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed error rates by user and context, all seven levels."""
-    m = error_model(signed_words(spark, sf_dir))
+    m = error_model(signed_counts(spark, sf_dir))
     return m.select("user_id", "level", "sig", "total", "errors", "char_level", "surface", F.round("rate", 6).alias("rate"), F.round("char_rate", 6).alias("char_rate"))
 
 
 @register("mechanism_histogram", f"WITH RECURSIVE {SIGNED_SQL} SELECT user_id, level::INTEGER AS level, sig, mech, count(*) AS n FROM signed WHERE mech IS NOT NULL GROUP BY ALL")
 def mechanism_histogram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a user makes each kind of error in each context."""
-    return mechanism_histogram(signed_words(spark, sf_dir))
+    return mechanism_histogram(signed_counts(spark, sf_dir))
 
 
 @register("user_error_totals", f"WITH RECURSIVE {SIGNED_SQL} SELECT user_id, n_tokens, n_edits, n_char, round(p_err, 6) AS p_err, round(p_char, 6) AS p_char FROM totals")
 def user_error_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error totals of every user over all levels."""
-    return user_totals(error_model(signed_words(spark, sf_dir))).select("user_id", "n_tokens", "n_edits", "n_char", F.round("p_err", 6).alias("p_err"), F.round("p_char", 6).alias("p_char"))
+    return user_totals(error_model(signed_counts(spark, sf_dir))).select("user_id", "n_tokens", "n_edits", "n_char", F.round("p_err", 6).alias("p_err"), F.round("p_char", 6).alias("p_char"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +257,7 @@ SELECT q.item_id, (q.i - 1)::INTEGER AS position, q.text AS word, coalesce(h.lev
 FROM xq_ q LEFT JOIN hit h USING (item_id, i) LEFT JOIN totals USING (user_id)""")
 def hierarchical_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query word, its user's rates at the finest context known; else the user's own, else 0.02 and 0."""
-    model = error_model(signed_words(spark, sf_dir))
+    model = error_model(signed_counts(spark, sf_dir))
     asked, keys = _asked(spark, sf_dir), ["item_id", "position"]
     every = hierarchical_rate(asked.select(*keys, "user_id", "sigs"), model, keys)
     letters = hierarchical_rate(asked.select(*keys, "user_id", "sigs"), model, keys, "char_rate").select(*keys, F.col("rate").alias("char_rate"))

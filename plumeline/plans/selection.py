@@ -10,7 +10,7 @@ from plumeline.functions.text import strip_edges
 from plumeline.functions.vectors import cosine
 from plumeline.operators import selection as S
 from plumeline.operators.places import with_running_total
-from plumeline.operators.rules import annotated, context_signature
+from plumeline.operators.rules import annotated_tokens, context_signature
 from plumeline.plans.attributes import ATTRS_SQL, product_attrs
 from plumeline.plans.noise import EDITS_SQL, annotated_sql, user_edits
 from plumeline.plans.retrieval import misspelt
@@ -152,7 +152,7 @@ def morph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sig, count(*) AS n FROM s GROUP BY sig""")
 def context_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, relation, parent, length and shape of every plain word."""
-    t = parsed(spark, sf_dir).select(F.explode(annotated(F.col("tokens"))).alias("t")).filter(F.col("t.text").rlike("^([A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*|[0-9]+)$"))
+    t = annotated_tokens(parsed(spark, sf_dir)).filter(F.col("t.text").rlike("^([A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*|[0-9]+)$"))
     return t.groupBy(context_signature(F.col("t")).alias("sig")).agg(F.count("*").alias("n"))
 
 

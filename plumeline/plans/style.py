@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.functions.vectors import norm, scaled
 from plumeline.operators import gaussian as G
 from plumeline.operators import selection as S
-from plumeline.operators.rules import struct_rules
+from plumeline.operators.rules import sentence_rules, struct_rules
 from plumeline.operators.sparse_svd import project, truncated_svd
 from plumeline.registry import register
 from plumeline.sources.staged import stage
@@ -57,7 +57,7 @@ rules AS (
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir).select("user_id", "sent_id", F.explode(struct_rules(F.col("tokens"))).alias("rule"))
+    return sentence_rules(parsed(spark, sf_dir), "user_id", "sent_id")
 
 
 @register("struct_rules", f"WITH {PARSED_SQL} SELECT sent_id, count(*) AS n_rules, string_agg(rule, ' ' ORDER BY rule) AS rules FROM rules GROUP BY sent_id")

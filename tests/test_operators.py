@@ -12,7 +12,8 @@ from plumeline.operators.attributes import attribute, clean_value, extracted, to
 from plumeline.operators.metrics import fuse
 from plumeline.operators.ranking import flip_rate, hit_columns, kendall_and_spearman
 from plumeline.operators.retrieval import Bm25, term_coverage
-from plumeline.operators.rules import annotated, length_bucket, signatures, struct_rules, word_shape
+from plumeline.plans.style import parse
+from plumeline.operators.rules import annotated, annotated_tokens, length_bucket, sentence_rules, signatures, struct_rules, word_shape
 
 
 def one(spark, column):
@@ -223,3 +224,16 @@ def test_stage_delta_all_reads_every_document(spark):
     rows = [r for r in rows if r.user_id == user]
     delta = sum(1 / (r.rank_noisy or float("inf")) - 1 / (r.rank_clean or float("inf")) for r in rows) / len(rows)
     assert {r.user_id: r.mrr_delta for r in stage_delta_all_query(spark, sf).collect()}[user] == pytest.approx(delta, abs=1e-5)
+
+
+def test_annotated_tokens_are_those_of_the_expression(spark):
+    """The batch form and the expression agree, on branching trees, single words and long sentences."""
+    sentences = [(1, "one"), (2, "two words"), (3, " ".join(f"w{'x' * (i % 9)}" for i in range(300))), (4, "a bb ccc dddd eeeee ffffff ggggggg"), (5, ""), (6, None)]
+    df = spark.createDataFrame(sentences, "k long, s string").withColumn("tokens", parse(F.filter(F.split("s", " "), lambda w: w != ""))).repartition(3)
+    fields = ("i", "text", "pos", "dep", "parent", "grand", "clause", "depth", "left", "right")
+    want = sorted((r.k, *(r.t[f] for f in fields)) for r in df.select("k", F.explode(annotated(F.col("tokens"))).alias("t")).collect())
+    got = sorted((r.k, *(r.t[f] for f in fields)) for r in annotated_tokens(df, "k").collect())
+    assert got == want and len(got) == 310
+    rules = sorted((r.k, r.rule) for r in sentence_rules(df, "k").collect())
+    assert rules == sorted((r.k, r.rule) for r in df.select("k", F.explode(struct_rules(F.col("tokens"))).alias("rule")).collect()) and len(rules) > 100
+    assert annotated_tokens(df.limit(0), "k").count() == sentence_rules(df.limit(0), "k").count() == 0
