@@ -8,7 +8,7 @@ stepping against the negative part where it falls under zero. The class prior pi
 share of positives that the unlabelled score distribution can hold, by the lowest ratio of the two distribution tails.
 
 Only a bounded sample is learnt from, a vector of surface counts and their squares for each of its rows. Two bounds hold, each a
-parameter: `max_positives` for rows labelled good, and `max_unlabelled` for rows that are drawn whatever their label.
+parameter: `max_positive` for rows labelled good, and `max_unlabelled` for rows that are drawn whatever their label.
 Defined results: a null text is an empty one and gets its vector's score. Null or repeated labels: null is no positive,
 each positive row counts, and of rows that share a doc_id one text is learnt from. With no positive or no document to learn from, every score is 0.5. Repeated rows give repeated
 rows. Extra columns are not read by `quality`; `keep_good` returns all columns it was given.
