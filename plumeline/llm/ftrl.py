@@ -31,6 +31,8 @@ _MULTIPLIER, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03
 
 @dataclass(frozen=True)
 class FtrlParams:
+    """The settings were chosen by log loss on a fold inside the training rows (crc32 of 'inner:' and the id, mod 4); the held-out rows had no part in it."""
+
     bits: int = 22
     alpha: float = 4.0
     beta: float = 1.0
@@ -38,7 +40,7 @@ class FtrlParams:
     l2: float = 1.0
     passes: int = 8
     #: Toxic documents are few; each counts so many times.
-    positive_weight: float = 8.0
+    positive_weight: float = 4.0
     rows_per_shard: int = 12_000
     #: A shard is one task; long texts make more shards.
     features_per_shard: int = 16_000_000
