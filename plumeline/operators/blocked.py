@@ -274,6 +274,32 @@ def score_moments(queries: DataFrame, documents: DataFrame, scores: dict[str, Sc
     return sums.select("query_id", *each)
 
 
+def score_histogram(vectors: DataFrame, score: Score, blocks: Blocks | None = None) -> DataFrame:
+    """(micro, n): how many unordered pairs of vectors (id, v) with different ids have each score, in millionths; no pair is emitted."""
+    blocks = blocks or Blocks()
+    data = _usable(vectors.select(F.col("id").alias("doc_id"), F.col("v").alias("d")), "doc_id", "d")
+    found = None
+    for ids, held, _ in _rounds(vectors.select(F.col("id").alias("query_id"), F.col("v").alias("q"))):
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, held))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            counts: dict[int, int] = {}  # at most one entry for each score of six places
+            for d_ids, d in _pieces(batches, blocks.documents):
+                for lo in range(0, len(q_ids), blocks.queries):
+                    hi = min(lo + blocks.queries, len(q_ids))
+                    s = score(q.part(lo, hi), d)
+                    micro, n = np.unique(np.rint(s[(q_ids[lo:hi, None] < d_ids[None, :]) & (s > -np.inf)] * MICRO).astype(np.int64), return_counts=True)
+                    for m, k in zip(micro.tolist(), n.tolist(), strict=True):
+                        counts[m] = counts.get(m, 0) + k
+            yield pa.RecordBatch.from_pydict({"micro": list(counts), "n": list(counts.values())}, pa.schema([("micro", pa.int64()), ("n", pa.int64())]))
+
+        part = stage(data.mapInArrow(run, "micro long, n long"), "histogram")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("micro").agg(F.sum("n").alias("n"))
+
+
 def blocked_fusion(queries: DataFrame, documents: DataFrame, scores: dict[str, tuple[Score, float]], k: int, blocks: Blocks | None = None) -> DataFrame:
     """The k best by a weighted sum of scores, each standardised within the query (sample deviation, at least 1e-6) and rounded to nine places.
 

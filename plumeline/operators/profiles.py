@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeline.functions.noise import MECHANISMS
+from plumeline.operators.blocked import cosine_scores, score_histogram
+from plumeline.operators.places import with_places
+from plumeline.sources.staged import stage
 
 #: The signature levels at which misspellings are remembered: full, d3 and coarse.
 HISTORY_LEVELS = (0, 2, 6)
@@ -31,6 +37,31 @@ def lift_cosine(profile: DataFrame) -> DataFrame:
     return dots.join(norms.toDF("u1", "n1"), "u1").join(norms.toDF("u2", "n2"), "u2").select("u1", "u2", (F.col("d") / (F.col("n1") * F.col("n2"))).alias("cosine"))
 
 
+def cosine_summary(profile: DataFrame) -> DataFrame:
+    """(n_users, mean, median, std) of the cosines of all pairs of users' lift vectors; null under two users.
+
+    Mean and population deviation follow from the sum of the unit vectors and of their products, a matrix as wide as there are
+    coordinates; the median from a histogram of the cosines in millionths. A missing coordinate is 0, a zero vector's cosines are 0.
+    """
+    coordinates = [(r.ctx, r.err) for r in profile.select("ctx", "err").distinct().orderBy("ctx", "err").collect()]  # contexts x kinds of errors
+    cells = [F.coalesce(F.sum(F.when((F.col("ctx") == c) & (F.col("err") == e), F.col("lift"))), F.lit(0.0)) for c, e in coordinates]
+    users = stage(with_places(profile.groupBy("user_id").agg(F.array(*cells).alias("v")), [F.col("user_id")], "id"), "users")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = users.withColumn("_n", norm).select(F.transform("v", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("u"))
+    d = range(len(coordinates))
+    sums = unit.agg(F.count("*").alias("n"), F.count_if(F.exists("u", lambda x: x != 0)).alias("own"), *[F.sum(F.col("u")[i]).alias(f"s{i}") for i in d], *[F.sum(F.col("u")[i] * F.col("u")[j]).alias(f"p{i}_{j}") for i in d for j in d if j >= i])
+    pairs = F.col("n") * (F.col("n") - 1)
+    total = reduce(add, [F.col(f"s{i}") * F.col(f"s{i}") for i in d], F.lit(0.0)) - F.col("own")
+    squares = reduce(add, [F.col(f"p{i}_{j}") * F.col(f"p{i}_{j}") * (1 if i == j else 2) for i in d for j in d if j >= i], F.lit(0.0)) - F.col("own")
+    mean = total / F.when(pairs > 0, pairs)
+    moments = sums.select(F.col("n").alias("n_users"), mean.alias("mean"), F.sqrt(F.greatest(squares / F.when(pairs > 0, pairs) - mean * mean, F.lit(0.0))).alias("std"))
+    bins = score_histogram(users.select("id", "v"), cosine_scores)
+    running = bins.withColumn("_to", F.sum("n").over(Window.orderBy("micro").rowsBetween(Window.unboundedPreceding, 0)))  # at most two million bins
+    count = bins.agg(F.sum("n").alias("_pairs"))
+    middle = running.crossJoin(F.broadcast(count)).filter(((F.col("_to") > F.floor((F.col("_pairs") - 1) / 2)) & (F.col("_to") - F.col("n") <= F.floor((F.col("_pairs") - 1) / 2))) | ((F.col("_to") > F.floor(F.col("_pairs") / 2)) & (F.col("_to") - F.col("n") <= F.floor(F.col("_pairs") / 2))))
+    return moments.crossJoin(middle.agg((F.avg("micro") / 1_000_000).alias("median"))).select("n_users", "mean", "median", "std")
+
+
 def error_model(signed: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(user_id, level, sig, mech or null) rows, one for each word and level or counted in `n` -> totals, errors by kind and both rates, (n + a) / (total + 2 a)."""
     n = _weight(signed)

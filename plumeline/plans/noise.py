@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumeline.functions.noise import APOSTROPHES, HOMOPHONES, MECHANISMS, NEAR_KEYS, OTHER_LAYOUT, apply_edit, classify, corrupt, minimal
 from plumeline.operators.injection import inject_chain, located, replay
-from plumeline.operators.profiles import context_profile, error_model, hierarchical_rate, history_form, lift_cosine, mechanism_histogram, typo_history, user_totals
+from plumeline.operators.profiles import context_profile, cosine_summary, error_model, hierarchical_rate, history_form, lift_cosine, mechanism_histogram, typo_history, user_totals
 from plumeline.operators.rules import annotated_tokens, length_bucket, signature_counts, signatures
 from plumeline.plans.style import PARSED_SQL, parse, parse_sql, parsed
 from plumeline.registry import register
@@ -141,6 +141,15 @@ def profile_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lift_cosine(context_profile(_records(spark, sf_dir))).select("u1", "u2", F.round("cosine", 6).alias("cosine"))
 
 
+@register("cosine_summary", f"""WITH {_PROFILE_SQL}, n AS (SELECT user_id, sqrt(sum(lift * lift)) AS n FROM profile GROUP BY user_id),
+d AS (SELECT a.user_id AS u1, b.user_id AS u2, sum(a.lift * b.lift) AS d FROM profile a JOIN profile b ON a.ctx = b.ctx AND a.err = b.err AND a.user_id < b.user_id GROUP BY ALL),
+c AS (SELECT coalesce(d / nullif(x.n * y.n, 0), 0) AS c FROM n x JOIN n y ON x.user_id < y.user_id LEFT JOIN d ON u1 = x.user_id AND u2 = y.user_id)
+SELECT (SELECT count(*) FROM n) AS n_users, round(avg(c), 6) AS mean, round(median(round(c, 6)), 6) AS median, round(stddev_pop(c), 6) AS std FROM c""")
+def cosine_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, median and deviation of all users' cosines with each other."""
+    return cosine_summary(context_profile(_records(spark, sf_dir))).select("n_users", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
+
+
 @register("common_errors", f"WITH {_PROFILE_SQL} SELECT err, count(*) AS n FROM rec GROUP BY err ORDER BY n DESC, err LIMIT 10")
 def common_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most common error types."""

@@ -1,5 +1,6 @@
 """Hand-computed fixtures and properties of the operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from plumeline.functions import corpus_text as C
 from plumeline.functions import text as T
 from plumeline.functions.noise import apply_edit, classify, minimal
 from plumeline.operators import gaussian as G
+from plumeline.operators.profiles import cosine_summary
 from plumeline.operators.blocked import blocked_top_k, token_maxsim
 from plumeline.operators.attributes import attribute, clean_value, extracted, top_attributes
 from plumeline.operators.metrics import fuse
@@ -237,3 +239,18 @@ def test_annotated_tokens_are_those_of_the_expression(spark):
     rules = sorted((r.k, r.rule) for r in sentence_rules(df, "k").collect())
     assert rules == sorted((r.k, r.rule) for r in df.select("k", F.explode(struct_rules(F.col("tokens"))).alias("rule")).collect()) and len(rules) > 100
     assert annotated_tokens(df.limit(0), "k").count() == sentence_rules(df.limit(0), "k").count() == 0
+
+
+def test_cosine_summary(spark):
+    rng = np.random.default_rng(8)
+    lifts = {f"u{i}": rng.normal(size=5).round(3) * (rng.random(5) < 0.7) for i in range(41)} | {"zero": np.zeros(5)}
+    rows = [(u, "c", f"e{k}", float(x)) for u, v in lifts.items() for k, x in enumerate(v) if x or u == "zero"]
+    schema = "user_id string, ctx string, err string, lift double"
+    got = cosine_summary(spark.createDataFrame(rows, schema)).first()
+    vs = np.array([v for v in lifts.values() if v.any()] + [np.zeros(5)])
+    u = vs / np.maximum(np.linalg.norm(vs, axis=1, keepdims=True), 1e-300)
+    c = (u @ u.T)[np.triu_indices(len(u), 1)]
+    assert got.n_users == len(u) and (got.mean, got["median"], got["std"]) == (pytest.approx(c.mean()), pytest.approx(np.median(c), abs=1e-6), pytest.approx(c.std()))
+    one = cosine_summary(spark.createDataFrame(rows[:1], schema)).first()
+    none = cosine_summary(spark.createDataFrame([], schema)).first()
+    assert (one.n_users, one.mean, none.n_users, none["median"]) == (1, None, 0, None)
