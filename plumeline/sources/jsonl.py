@@ -17,6 +17,30 @@ def tolerant(spark: SparkSession, path: str, schema: str = META_SCHEMA) -> DataF
     return rows.filter((F.coalesce(F.nullif("parent_asin", F.lit("")), F.nullif("asin", F.lit("")))).isNotNull())
 
 
+def placed(spark: SparkSession, path: str, schema: str = META_SCHEMA) -> DataFrame:
+    """Every line but blank ones with its record's columns, `broken` for a line that does not parse, and `place`, which orders lines as the files do.
+
+    A place is the file's path, where the line's split of the file begins, and a number that rises within the split; so files count in
+    order of their paths and lines in order, however the files are split among tasks.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("place")).filter(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return lines.select("place", parsed.alias("r")).select("place", F.coalesce(F.col("r._broken").isNotNull(), F.lit(True)).alias("broken"), "r.*").drop("_broken")
+
+
+def last_of_each(rows: DataFrame, key: Column) -> DataFrame:
+    """Of `placed` rows the last one of each key, as a loader gives it that fills a dictionary line by line; rows that are broken or without a key are none."""
+    fields = [c for c in rows.columns if c not in ("place", "broken")]
+    known = rows.filter(~F.col("broken")).withColumn("_key", F.nullif(key, F.lit(""))).filter(F.col("_key").isNotNull())
+    return known.groupBy("_key").agg(F.max_by(F.struct(*fields), "place").alias("_last")).select(F.col("_key").alias("key"), "_last.*")
+
+
+def broken_lines(rows: DataFrame) -> DataFrame:
+    """(file, lines, broken) of `placed` rows."""
+    return rows.groupBy(F.col("place.file").alias("file")).agg(F.count("*").alias("lines"), F.count_if("broken").alias("broken"))
+
+
 def strict_reviews(spark: SparkSession, path: str) -> DataFrame:
     """Reviews; a line that does not parse or lacks its product or user fails the job, a missing text is empty."""
     rows = spark.read.schema(REVIEW_SCHEMA).option("mode", "FAILFAST").json(path)

@@ -72,3 +72,22 @@ def test_stream_and_table_agree(spark, tmp_path):
     query = windowed(stream, late="100 days").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, windowed(events.withColumn("ts", F.col("ts").cast("timestamp"))).collect()))
+
+
+def test_the_last_line_of_a_product_wins(spark, tmp_path):
+    """Over several files and splits within a file; broken lines are counted and change nothing."""
+    first = [json.dumps({"parent_asin": f"P{i % 50}", "title": f"first {i}"}) for i in range(2000)] + ["{broken", "", json.dumps({"title": "no id"}), "[1]"]
+    second = [json.dumps({"asin": "P7", "title": "second"}), json.dumps({"parent_asin": "", "asin": "P8", "title": "also"}), "nonsense"]
+    (tmp_path / "a.jsonl").write_text("\n".join(first))
+    (tmp_path / "b.jsonl").write_text("\n".join(second))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = jsonl.placed(spark, str(tmp_path))
+        assert rows.select("place.block").distinct().count() > 5
+        key = F.coalesce(F.nullif("parent_asin", F.lit("")), F.col("asin"))
+        got = {r.key: r.title for r in jsonl.last_of_each(rows, key).collect()}
+        counts = {r.file.rsplit("/", 1)[-1]: (r.lines, r.broken) for r in jsonl.broken_lines(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {f"P{i % 50}": f"first {i}" for i in range(2000)} | {"P7": "second", "P8": "also"}
+    assert got == want and counts == {"a.jsonl": (2003, 2), "b.jsonl": (3, 1)}
