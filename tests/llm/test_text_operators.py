@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumeline.llm import best_fit, bucket_digest, byte_bpe, secret_scan, shard_shuffle
-from tests_rows import KEY, rows
+from tests_rows import KEY, rows, sample
 
 TEXTS = [(i, t or "") for i, t in rows()]
 
@@ -333,3 +334,75 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.byte_bpe_round_trip(empty, path, P.PATTERN).count() == 0
     kept = byte_bpe.encode_documents(docs, path, P.PATTERN)
     assert kept.columns == [*docs.columns, "token_ids"] and {r.doc_id: r.token_ids for r in kept.select("doc_id", "token_ids").collect()}[104] == library.encode_ordinary("two words")
+
+
+# ------------------------------------------------------------------------------------- independent and large versions
+
+
+def plain_digest(text):
+    """The digest by its definition, byte by byte, in plain integers."""
+    data, word = text.encode(), 0xFFFFFFFF
+    counts = [0] * 256
+    for k, (i, j) in enumerate([(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]):
+        for at in range(len(data) - j):
+            h = data[at] * 0x9E3779B1 + data[at + i] * 0x85EBCA77 + data[at + j] * 0xC2B2AE3D + 0x27D4EB2F * (k + 1) & word
+            h ^= h >> 15
+            counts[(h * 0x2C1B3C6D & word) >> 24] += 1
+    ranked = sorted(counts)
+    quarters = ranked[63], ranked[127], ranked[191]
+    codes = [sum(c > q for q in quarters) for c in counts]
+    body = [sum(codes[4 * b + n] << 2 * n for n in range(4)) for b in range(64)]
+    ratios = (15 * quarters[0] // quarters[2]) * 16 + 15 * quarters[1] // quarters[2] if quarters[2] else 0
+    return "".join(f"{b:02x}" for b in [min(255, round(8 * math.log2(len(data) + 1))), ratios, *body])
+
+
+def plain_likeness(one, other):
+    if one == other:
+        return 1.0
+    a, b = bytes.fromhex(one), bytes.fromhex(other)
+    away = min(abs(a[0] - b[0]), 64) + abs((a[1] >> 4) - (b[1] >> 4)) + abs((a[1] & 15) - (b[1] & 15))
+    for x, y in zip(a[2:], b[2:], strict=True):
+        for n in range(4):
+            step = abs((x >> 2 * n & 3) - (y >> 2 * n & 3))
+            away += 6 if step == 3 else step
+    return max(0.0, 1 - away / 416)
+
+
+def test_digests_agree_with_a_plain_version(spark):
+    texts = ["", "a", "ab", "abc", "abcd" * 50, "éß漢字 " * 40, "x" * 3000, *[t for t in sample(12)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bucket_digest.fingerprint_with_next(frame).collect():
+        text, after = texts[r.doc_id], texts[r.doc_id - 1] if r.doc_id else texts[-1]
+        half = len(text) // 2
+        own, mark, theirs = (plain_digest(t) for t in (text, text[: len(text) - half] + after[:half], after))
+        assert (r.fingerprint, r.edited_fingerprint) == (own, mark)
+        assert (r.near_edited, r.near_next) == pytest.approx((plain_likeness(own, mark), plain_likeness(own, theirs)))
+
+
+def test_many_finds_in_one_text(spark):
+    """12,000 finds of three kinds and overlaps between them, placed and cut as plain code does."""
+    rnd = random.Random(2)
+    parts = [rnd.choice(["".join(rnd.choices("0123456789abcdef", k=30)), "AKIA" + "".join(rnd.choices("ABCDEFGH01", k=20)), "token=" + "".join(rnd.choices("abcdef0123", k=28)), "漢字", "plain words"]) for _ in range(12_000)]
+    text = " ".join(parts)
+    r = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = sorted((m.start(), k, m.end()) for k, p in enumerate((r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}")) for m in re.finditer(p, text))
+    got = [(int(s), secret_scan.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(","))]
+    assert [x for x in got if x[1] != 3] == want and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in want) for k in range(3))
+    held = [False] * len(text)
+    for s, _, e in got:
+        held[s:e] = [True] * (e - s)
+    cut = re.sub("\x00+", "[SECRET]", "".join("\x00" if h else c for c, h in zip(text, held, strict=True)))
+    redacted = secret_scan.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text
+    assert redacted.replace("[SECRET][SECRET]", "[SECRET]") == cut
+
+
+def test_a_low_share_of_secrets(spark):
+    """Four secrets in 4,000 tokens: long random ones are found, names are left alone, and digits of 20 are not found, as the README says."""
+    rnd = random.Random(9)
+    words = "config builder local value parser stream filter window bucket number record helper factory service manager".split()
+    names = ["_".join(rnd.choices(words, k=4)) for _ in range(4000)]
+    secrets = ["".join(rnd.choices(string.ascii_letters + string.digits, k=44)) for _ in range(4)] + ["".join(rnd.choices(string.digits, k=20))]
+    texts = [f"see {t} there" for t in [*names, *secrets]]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert sum("random" in got[i] for i in range(4000, 4004)) >= 3
+    assert not any("random" in got[i] for i in range(4000)) and "random" not in got[4004].replace("hex", "")
