@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumeline.functions.vectors import norm, scaled
 from plumeline.operators import gaussian as G
+from plumeline.operators import low_rank as L
 from plumeline.operators import selection as S
 from plumeline.operators.rules import sentence_rules, struct_rules
 from plumeline.operators.sparse_svd import project, truncated_svd
@@ -266,6 +267,21 @@ def pair_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.most_distant_pairs(users.select("asin", "user_id", "mu", "s"))
 
 
+@register("pair_selection_exact", f"""WITH {_PARAMS_SQL}, pu AS (SELECT DISTINCT asin, user_id FROM vectors WHERE split = 'profile'),
+u AS (SELECT asin, user_id, mu, s, v, lam, list_sum(list_transform(s, lambda t: ln(t))) + ln(1 + lam * list_sum(list_transform(list_zip(v, s), lambda q: q[1] * q[1] / q[2]))) AS ld FROM pu JOIN params USING (user_id)),
+q0 AS (SELECT a.asin, a.user_id AS u1, b.user_id AS u2, a.lam / 2 AS l, a.ld AS ld1, b.ld AS ld2, list_transform(list_zip(a.s, b.s), lambda q: (q[1] + q[2]) / 2) AS m, list_transform(list_zip(a.mu, b.mu), lambda q: q[1] - q[2]) AS df, a.v AS v1, b.v AS v2 FROM u a JOIN u b ON a.asin = b.asin AND a.user_id < b.user_id),
+q1 AS (SELECT *, list_sum(list_transform(list_zip(df, m), lambda q: q[1] * q[1] / q[2])) AS dd, list_sum(list_transform(list_zip(v1, df, m), lambda q: q[1] * q[2] / q[3])) AS c1, list_sum(list_transform(list_zip(v2, df, m), lambda q: q[1] * q[2] / q[3])) AS c2,
+  1 / l + list_sum(list_transform(list_zip(v1, m), lambda q: q[1] * q[1] / q[2])) AS aa, 1 / l + list_sum(list_transform(list_zip(v2, m), lambda q: q[1] * q[1] / q[2])) AS cc, list_sum(list_transform(list_zip(v1, v2, m), lambda q: q[1] * q[2] / q[3])) AS bb, list_sum(list_transform(m, lambda t: ln(t))) AS lm FROM q0),
+r0 AS (SELECT asin, u1, u2, round((dd - (cc * c1 * c1 - 2 * bb * c1 * c2 + aa * c2 * c2) / (aa * cc - bb * bb)) / 8 + 0.5 * (lm + ln((aa * cc - bb * bb) * l * l) - (ld1 + ld2) / 2), 6) AS distance FROM q1)
+SELECT asin, u1, u2, distance FROM (SELECT *, row_number() OVER (PARTITION BY asin ORDER BY distance DESC, u1, u2) AS r FROM r0) WHERE r = 1""")
+def pair_selection_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most distant pair of users of each product, directions included; as many products as have two users are expected."""
+    users = style_vectors(spark, sf_dir).filter("split = 'profile'").select("asin", "user_id").distinct().join(axis_params(spark, sf_dir), "user_id")
+    users = stage(users.select("asin", "user_id", "mu", F.array("lambda").alias("lambdas"), F.array("v").alias("v"), "s"), "users")
+    expected = users.groupBy("asin").count().filter("count > 1").count()
+    return L.require_products(L.most_distant_exact(users), expected)
+
+
 _TAU = G.CHI2_16[0.95]
 
 
