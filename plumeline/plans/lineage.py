@@ -31,7 +31,10 @@ def selection_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT query_id, unnest(['bm25', 'dense']) AS retriever, rank_noisy AS rank FROM outcomes), k AS (SELECT * FROM e WHERE retriever <> 'old')
 SELECT * FROM k UNION ALL SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = f.query_id AND k.retriever = f.retriever)""")
 def incremental_merge_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept results, without a retired retriever, and fresh ones for what is missing."""
+    """Kept results, without a retired retriever, and fresh ones for what is missing.
+
+    Even ids stand in for the list of queries that an earlier run has kept; all documents are in the result.
+    """
     o = document_outcomes(spark, sf_dir)
     bm25 = o.filter("query_id % 2 = 0").select("query_id", F.lit("bm25").alias("retriever"), F.col("rank_clean").alias("rank"))
     old = o.filter("query_id % 4 = 0").select("query_id", F.lit("old").alias("retriever"), F.col("rank_clean").alias("rank"))
