@@ -1,6 +1,7 @@
 """Global places, running totals, ranks and exact quantiles against plain Python and NumPy."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -84,3 +85,16 @@ def test_percentiles(numbers):
     for k in ("hot", "ties", "one", "some", "nulls"):
         assert [got[k][c] for c in shares] == [want[k][c] for c in shares], k
     assert len(by_key(rows)) and places.percentiles(kept.limit(0), ["k"], "v", shares).count() == 0
+
+
+def test_values_made_anew_differ_in_their_last_digits(spark):
+    @F.udf("double")
+    def shaken(v):
+        return v * (1 + int.from_bytes(os.urandom(2)) * 1e-14)
+
+    rows = spark.range(0, 4000, 1, 4).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("x"))
+    rows = rows.select("k", shaken.asNondeterministic()(F.col("x") + 1).alias("v"))
+    for r in places.floor_quantiles(rows, ["k"], "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}).collect():
+        assert r.n == 2000 and [round(r[c]) for c in "abcd"] == [1 + r.k, 1 + r.k + 2 * 999, 1 + r.k + 2 * 1899, 1 + r.k + 2 * 1999]
+    ranked = places.with_average_rank(rows, ["k"], "v", "r").collect()
+    assert sorted(r.r for r in ranked if r.k == 0) == list(range(1, 2001))
