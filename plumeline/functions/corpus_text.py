@@ -93,15 +93,18 @@ def numbers(c: Column) -> Column:
 def without_restated(text: Column, dimensions: Column, weight: Column, title: Column) -> Column:
     """Sentences that only repeat the dimensions, the weight or the title taken away."""
 
-    def restates(s: Column, found: Column) -> Column:
-        in_size = F.size(F.filter(found, lambda n: F.array_contains(numbers(dimensions), n)))
+    def restates(s: Column, found: Column, known: Column) -> Column:
+        in_size = F.size(F.filter(found, lambda n: F.array_contains(known["size"], n)))
         size = (F.size(found) >= 2) & (in_size >= F.greatest(F.lit(2), F.floor(F.size(found) * 0.8)))
-        heavy = (F.size(found) == 1) & F.array_contains(numbers(weight), found[0]) & (F.length(s) < 60)
-        named = (F.length(title) >= 20) & F.contains(F.lower(s), F.lower(title)) & (F.length(s) <= F.floor(F.length(title) * 1.5))
+        heavy = (F.size(found) == 1) & F.array_contains(known["weight"], found[0]) & (F.length(s) < 60)
+        named = (F.length(known["title"]) >= 20) & F.contains(F.lower(s), F.lower(known["title"])) & (F.length(s) <= F.floor(F.length(known["title"]) * 1.5))
         return F.coalesce(size, F.lit(False)) | F.coalesce(heavy, F.lit(False)) | F.coalesce(named, F.lit(False))
 
-    keep = lambda s: ~let(lambda v: restates(v["s"], v["found"]), s=strip(s), found=numbers(s))
-    return squeeze(F.array_join(F.filter(split_sentences(text), keep), " "))
+    def kept(known: Column) -> Column:
+        keep = lambda s: ~let(lambda v: restates(v["s"], v["found"], known), s=strip(s), found=numbers(s))
+        return F.array_join(F.filter(known["sentences"], keep), " ")
+
+    return squeeze(let(kept, sentences=split_sentences(text), size=numbers(dimensions), weight=numbers(weight), title=title))
 
 
 def without_title(features: Column, title: Column) -> Column:
@@ -125,7 +128,10 @@ def calm_capitals(line: Column) -> Column:
         lowered = F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))
         return F.when(known, F.upper(w)).when(w.rlike(r"\p{Nd}") | (upper & (F.length(w) <= 4)) | ~upper, w).otherwise(lowered)
 
-    return let(lambda v: F.when(shouting(v), F.array_join(F.transform(v["words"], calm), " ")).otherwise(v["line"]), line=line, words=F.filter(F.split(line, r"\s+"), lambda w: w != ""))
+    def calmed(v: Column) -> Column:
+        return F.when(shouting(v), F.array_join(F.transform(v["words"], calm), " ")).otherwise(v["line"])
+
+    return let(lambda x: let(calmed, line=x["line"], words=F.filter(F.split(x["line"], r"\s+"), lambda w: w != "")), line=line)  # the line is read twice
 
 
 def clean_field(c: Column) -> Column:
@@ -139,7 +145,8 @@ def clean_description(c: Column, dimensions: Column, weight: Column, title: Colu
 def clean_features(features: Column, title: Column) -> Column:
     """`#1: ...`, `#2: ...`: cleaned, without empty ones and without a first one that restates the title."""
     made = F.filter(F.transform(unescape_each(features), lambda f: fix_encoding(without_marketing(plain_marks(f)))), lambda f: f != "")
-    return F.transform(without_title(made, title), lambda f, i: F.concat(F.lit("#"), i + 1, F.lit(": "), f))
+    left = let(lambda v: without_title(v["made"], v["title"]), made=made, title=title)
+    return F.transform(left, lambda f, i: F.concat(F.lit("#"), i + 1, F.lit(": "), f))
 
 
 def document(title: Column, brand: Column, category: Column, dimensions: Column, weight: Column, description: Column, features: Column) -> Column:
@@ -148,5 +155,8 @@ def document(title: Column, brand: Column, category: Column, dimensions: Column,
     def line(name: str, value: Column) -> Column:
         return F.when(value != "", F.concat(F.lit(f"{name}: "), value))
 
-    listed = F.when(F.size(features) > 0, F.concat(F.lit("features:\n"), F.array_join(features, "\n")))
-    return F.concat_ws("\n", F.concat(F.lit("product: "), title), line("brand", brand), line("category", category), line("dimensions", dimensions), line("weight", weight), line("description", description), listed)
+    def lines(v: Column) -> Column:
+        listed = F.when(F.size(v["features"]) > 0, F.concat(F.lit("features:\n"), F.array_join(v["features"], "\n")))
+        return F.concat_ws("\n", F.concat(F.lit("product: "), v["title"]), *[line(name, v[name]) for name in ("brand", "category", "dimensions", "weight", "description")], listed)
+
+    return let(lines, title=title, brand=brand, category=category, dimensions=dimensions, weight=weight, description=description, features=features)

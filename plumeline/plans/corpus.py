@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumeline.functions import corpus_text as C
 from plumeline.plans.attributes import product_meta
 from plumeline.registry import register
-from plumeline.sources.tables import table, unescape_sql
+from plumeline.sources.tables import spread, table, unescape_sql
 
 
 def _quoted(x: str) -> str:
@@ -60,12 +60,14 @@ def corpus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("corpus_docs")
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asin, doc_idx, doc): the document of each product, numbered by asin within its first three characters."""
-    m = product_meta(spark, sf_dir)
+    m = spread(product_meta(spark, sf_dir), 2000)
     value = lambda k: F.filter("details", lambda d: d["key"] == k)[0]["value"]
     title = C.plain_text(F.concat_ws(" ", value("Type"), value("Item"), value("Style"), F.lit("in"), value("Color")))
     size = C.clean_field(F.concat(F.col("rating_number"), F.lit(" x "), F.col("rating_number") + 1, F.lit(" inches")))
     weight = C.clean_field(value("Item Weight"))
     text = F.concat(F.lit("Product Description. A "), value("Item"), F.lit(" that lasts. It measures "), size, F.lit(". It weighs "), weight, F.lit(". Makes a great gift. GREAT FOR EVERY HOME AND OFFICE "), F.upper(value("Item")), F.lit(". See www.example.com now."))
     rows = m.select(F.coalesce(F.nullif("parent_asin", F.lit("")), "asin").alias("asin"), title.alias("title"), C.clean_field(F.col("brand")).alias("brand"), C.clean_field(F.col("main_category")).alias("category"), size.alias("size"), weight.alias("weight"), text.alias("text"), "features")
+    # Generated, so that each field is cleaned once for a product and not in every place, or for every sentence, that reads it.
+    rows = rows.select(F.inline(F.array(F.struct(*rows.columns)))).filter("title <> ''")
     doc = C.document(F.col("title"), F.col("brand"), F.col("category"), F.col("size"), F.col("weight"), C.clean_description(F.col("text"), F.col("size"), F.col("weight"), F.col("title")), C.clean_features(F.col("features"), F.col("title")))
-    return rows.filter("title <> ''").select("asin", doc.alias("doc"))
+    return rows.select("asin", doc.alias("doc"))
