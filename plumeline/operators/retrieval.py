@@ -31,6 +31,13 @@ def term_counts(rows: DataFrame, key: str, text: str, params: Bm25) -> DataFrame
 FEW_TERMS = 1_000_000
 
 
+def wanted_counts(documents: DataFrame, wanted: DataFrame, params: Bm25) -> DataFrame:
+    """(doc_id, term, tf), staged: `known` of each term of `wanted` (term, known) that a document holds, and a null term for all its other words."""
+    known = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted.hint("shuffle_hash")
+    words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(params.token), F.lit(0))).alias("term")).filter(~F.col("term").isin(*params.stop_words))
+    return stage(words.join(known, "term", "left").groupBy("doc_id", F.col("known").alias("term")).agg(F.count("*").alias("tf")), "postings")
+
+
 def bm25_scores(queries: DataFrame, documents: DataFrame, params: Bm25) -> DataFrame:
     """(query_id, doc_id, score) of documents that share a term with a query, idf in its Lucene form.
 
@@ -38,10 +45,7 @@ def bm25_scores(queries: DataFrame, documents: DataFrame, params: Bm25) -> DataF
     its other words, from which lengths, document frequencies and scores follow.
     """
     q = stage(term_counts(queries, "query_id", "text", params).withColumnRenamed("tf", "qtf"), "query-terms")
-    wanted = q.select("term", F.col("term").alias("known")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted.hint("shuffle_hash")
-    words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(params.token), F.lit(0))).alias("term")).filter(~F.col("term").isin(*params.stop_words))
-    counts = stage(words.join(wanted, "term", "left").groupBy("doc_id", F.col("known").alias("term")).agg(F.count("*").alias("tf")), "postings")
+    counts = wanted_counts(documents, q.select("term", F.col("term").alias("known")).distinct(), params)
     lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     n = documents.count()
     total = counts.agg(F.sum("tf")).first()[0] or 0

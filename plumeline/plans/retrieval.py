@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from plumeline.operators.blocked import blocked_fusion, blocked_top_k, cosine_scores, maxsim, sparse_products, token_maxsim
 from plumeline.operators.containment import containing
 from plumeline.operators.impact_index import build, impact_top_k, opened, thresholds
+from plumeline.operators.lexical import Lexical, lexical, lexical_ranks, lexical_top_k
 from plumeline.operators.ranking import hit_columns
-from plumeline.operators.retrieval import Bm25, bm25_scores, target_ranks, top_k
+from plumeline.operators.retrieval import Bm25
 from plumeline.operators.selection import joined_one_to_one
 from plumeline.registry import register
 from plumeline.sources.staged import stage
@@ -54,8 +55,8 @@ def misspelt(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.when(word == "", F.col("text")).otherwise(cut).alias("text"))
 
 
-def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_scores(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), Bm25())
+def bm25(spark: SparkSession, sf_dir: str) -> Lexical:
+    return lexical(_queries(spark, sf_dir), table(spark, sf_dir, "documents"), Bm25())
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def target_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 100")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred best documents of each query."""
-    return top_k(bm25(spark, sf_dir), 100)
+    return lexical_top_k(bm25(spark, sf_dir), 100)
 
 
 @register("bm25_impact_topk", f"WITH {BM25_SQL} SELECT query_id, pos::INTEGER AS pos, doc_id, score FROM ranked WHERE pos <= 10")
@@ -93,7 +94,7 @@ def bm25_blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return target_ranks(stage(bm25(spark, sf_dir), "scores"), targets(spark, sf_dir))
+    return lexical_ranks(bm25(spark, sf_dir), targets(spark, sf_dir))
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +106,9 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = q.select((2 * F.col("query_id")).alias("query_id"), "text").unionByName(misspelt(q).select((2 * F.col("query_id") + 1).alias("query_id"), "text"))
     t = targets(spark, sf_dir)
     twice = t.select((2 * F.col("query_id")).alias("query_id"), "target").unionByName(t.select((2 * F.col("query_id") + 1).alias("query_id"), "target"))
-    ranks = stage(target_ranks(stage(bm25_scores(both, documents, Bm25()), "scores"), twice, limit=100), "ranks")
-    ranks = ranks.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2 == 1).alias("noisy"), F.when(F.col("rank") <= 100, F.col("rank")).alias("rank"))
+    best = lexical_top_k(lexical(both, documents, Bm25()), 100).select("query_id", F.col("doc_id").alias("target"), F.col("pos").alias("rank"))
+    ranks = stage(twice.join(best, ["query_id", "target"], "left"), "ranks")
+    ranks = ranks.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2 == 1).alias("noisy"), "rank")
     clean, noisy = (ranks.filter(c).select("query_id", F.col("rank").alias(n)) for c, n in (("not noisy", "rank_clean"), ("noisy", "rank_noisy")))
     rows = joined_one_to_one(clean, noisy, ["query_id"])
     return rows.select("query_id", F.concat(F.lit("A"), F.floor(F.col("query_id") / 4)).alias("asin"), F.concat(F.lit("u"), F.col("query_id") % 10).alias("user_id"), "rank_clean", "rank_noisy")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumeline.operators.lexical import lexical, lexical_top_k
 from plumeline.operators.metrics import fuse, paired_degradation, rerank_flip, rerank_metrics, stage_delta, volatility
 from plumeline.operators.ranking import kendall_and_spearman
-from plumeline.operators.retrieval import Bm25, bm25_scores, term_coverage, top_k
+from plumeline.operators.retrieval import Bm25, term_coverage
 from plumeline.operators.selection import joined_one_to_one
 from plumeline.plans.retrieval import BM25_SQL, DENSE_SQL, NOISY_SQL, OUTCOMES_SQL, _queries, dense_topk, misspelt, outcomes, targets
 from plumeline.registry import register
@@ -70,7 +71,7 @@ def candidates(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFra
     """(query_id, doc_id, original_rank, score): the forty best documents of each query by BM25; the score is the share of its terms that they hold."""
     q, documents = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
     q = misspelt(q) if noisy else q
-    first = stage(top_k(bm25_scores(q, documents, Bm25()), 40), "candidates")
+    first = stage(lexical_top_k(lexical(q, documents, Bm25()), 40), "candidates")
     return stage(term_coverage(first.select("query_id", "doc_id", F.col("pos").alias("original_rank")), q, documents, Bm25()), "covered")
 
 
