@@ -88,11 +88,26 @@ def signatures(t: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("level"), F.lit(name).alias("name"), sig.alias("sig")) for i, (name, sig) in enumerate(found.items())])
 
 
+#: Words that a Python task looks up at once: what it holds does not grow with the batches that it gets.
+WORDS = 1 << 15
+
+
+def _by_words(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many words, or of one sentence."""
+    for batch in batches:
+        ends = batch.column("head").offsets.to_numpy()
+        lo = 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _contexts(schema: pa.Schema, keys: tuple[str, ...]):
     """Sentences as lists -> a row for each token with its context; all tokens of a batch are looked up at once, as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _by_words(batches, WORDS):
             heads = batch.column("head")
             ends = heads.offsets.to_numpy()
             ends = ends - ends[0]
@@ -130,7 +145,7 @@ def _ruled(schema: pa.Schema, keys: tuple[str, ...]):
     """Sentences as lists -> a row for each distinct rule; rules are numbers until they are known to be distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _by_words(batches, WORDS):
             heads = batch.column("head")
             ends = heads.offsets.to_numpy()
             ends = ends - ends[0]

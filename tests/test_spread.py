@@ -15,3 +15,15 @@ def test_a_product_is_cleaned_once(spark):
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     # brand, category, size, weight, text and features: a chain of rules each, 44 where every reader had its own
     assert 1 <= plan.count("Makes? (?:a )?") <= 8
+
+
+def test_batches_are_cut_by_words():
+    import pyarrow as pa
+
+    from plumeline.operators.rules import _by_words
+
+    heads = [[0] * n for n in (3, 0, 4, 50, 2, 2, 2, 0)]
+    batch = pa.RecordBatch.from_pydict({"head": pa.array(heads, pa.list_(pa.int32()))})
+    got = list(_by_words(iter([batch.slice(1)]), 6))
+    assert [h for b in got for h in b.column("head").to_pylist()] == heads[1:]
+    assert all(len(b) == 1 or sum(map(len, b.column("head").to_pylist())) <= 6 for b in got) and len(got) > 2
