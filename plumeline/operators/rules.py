@@ -141,57 +141,102 @@ def _contexts(schema: pa.Schema, keys: tuple[str, ...]):
     return run
 
 
+#: Flags that stand in for a sort where distinct numbers are wanted.
+FLAGS = 1 << 23
+
+
+def _distinct(numbers: np.ndarray, most: int) -> np.ndarray:
+    """The distinct ones of numbers from 0 to most - 1, rising."""
+    if most > FLAGS:
+        return np.unique(numbers)
+    seen = np.zeros(most, bool)
+    seen[numbers] = True
+    return np.flatnonzero(seen)
+
+
+def _sentence_rules(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(sentence, rule, the rules' texts, rising) with a pair for each distinct rule of a sentence, by sentence and then rule; rules are numbers until they are known to be distinct."""
+    heads = batch.column("head")
+    ends = heads.offsets.to_numpy()
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+    own = np.arange(ends[-1])
+    head = heads.flatten().to_numpy().astype(np.int64) + np.repeat(ends[:-1], sizes)
+    pos, dep = (batch.column(c).flatten().dictionary_encode() for c in ("pos", "dep"))
+    p, d = pos.indices.to_numpy().astype(np.int64), dep.indices.to_numpy().astype(np.int64)
+    names, relations = [*pos.dictionary.to_pylist(), "ROOT"], dep.dictionary.to_pylist()
+    n, m = len(names), max(1, len(relations))
+    long = sizes[sentence] >= 3
+    word = own[long & (head != own)]
+    grand = np.where(head[head[word]] == head[word], n - 1, p[head[head[word]]])
+    below = (p[head[word]] * m + d[word]) * n + p[word]
+    first = own[(own + 2 < len(own)) & long]
+    first = first[sentence[first + 2] == sentence[first]]
+    three = (p[first] * n + p[first + 1]) * n + p[first + 2]
+    most = n * n * n * m
+    # kind, then the numbers of its parts; a sentence and a rule are one number
+    rules = np.concatenate([grand * (most // n) + below, most + below, 2 * most + three])
+    found = _distinct(rules, 3 * most)
+    texts = []
+    for r in found.tolist():
+        kind, r = divmod(r, most)
+        if kind == 2:
+            texts.append(f"P3|{names[r // n // n]}|{names[r // n % n]}|{names[r % n]}")
+        else:
+            tail = f"{names[r // (n * m) % n]}|{relations[r // n % m]}|{names[r % n]}"
+            texts.append(f"D3|{tail}" if kind else f"D4|{names[r // (most // n)]}|{tail}")
+    # A class may be named ROOT, so that different numbers have one text.
+    rising, place = np.unique(np.array(texts, object), return_inverse=True) if texts else (np.empty(0, object), np.empty(0, np.int64))
+    width = max(1, len(rising))
+    pairs = _distinct(np.concatenate([sentence[word], sentence[word], sentence[first]]).astype(np.int64) * width + place[np.searchsorted(found, rules)], max(1, len(sizes)) * width)
+    return pairs // width, pairs % width, pa.array(rising.tolist(), pa.string())
+
+
 def _ruled(schema: pa.Schema, keys: tuple[str, ...]):
-    """Sentences as lists -> a row for each distinct rule; rules are numbers until they are known to be distinct."""
+    """Sentences as lists -> a row for each distinct rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_words(batches, WORDS):
-            heads = batch.column("head")
-            ends = heads.offsets.to_numpy()
-            ends = ends - ends[0]
-            sizes = np.diff(ends)
-            sentence = np.repeat(np.arange(len(sizes)), sizes)
-            own = np.arange(ends[-1])
-            head = heads.flatten().to_numpy().astype(np.int64) + np.repeat(ends[:-1], sizes)
-            pos, dep = (batch.column(c).flatten().dictionary_encode() for c in ("pos", "dep"))
-            p, d = pos.indices.to_numpy().astype(np.int64), dep.indices.to_numpy().astype(np.int64)
-            names, relations = [*pos.dictionary.to_pylist(), "ROOT"], dep.dictionary.to_pylist()
-            n, m = len(names), max(1, len(relations))
-            long = sizes[sentence] >= 3
-            word = own[long & (head != own)]
-            grand = np.where(head[head[word]] == head[word], n - 1, p[head[head[word]]])
-            below = (p[head[word]] * m + d[word]) * n + p[word]
-            first = own[(own + 2 < len(own)) & long]
-            first = first[sentence[first + 2] == sentence[first]]
-            three = (p[first] * n + p[first + 1]) * n + p[first + 2]
-            most = n * n * n * m
-            # kind, then the numbers of its parts; a sentence and a rule are one number
-            rules = np.concatenate([grand * (most // n) + below, most + below, 2 * most + three])
-            found, where = np.unique(rules, return_inverse=True)
-            pairs = np.unique(np.concatenate([sentence[word], sentence[word], sentence[first]]).astype(np.int64) * max(1, len(found)) + where)
-            texts = []
-            for r in found.tolist():
-                kind, r = divmod(r, most)
-                if kind == 2:
-                    texts.append(f"P3|{names[r // n // n]}|{names[r // n % n]}|{names[r % n]}")
-                else:
-                    tail = f"{names[r // (n * m) % n]}|{relations[r // n % m]}|{names[r % n]}"
-                    texts.append(f"D3|{tail}" if kind else f"D4|{names[r // (most // n)]}|{tail}")
-            at = pa.array(pairs // max(1, len(found)))
-            columns = [batch.column(c).take(at) for c in keys] + [pa.array(texts, pa.string()).take(pa.array(pairs % max(1, len(found))))]
+            sentence, rule, texts = _sentence_rules(batch)
+            at = pa.array(sentence)
+            columns = [batch.column(c).take(at) for c in keys] + [texts.take(pa.array(rule))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def sentence_rules(sentences: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rule) with a row for each distinct rule of `tokens`: `struct_rules` for tables of sentences, several times faster."""
+def _listed(schema: pa.Schema, keys: tuple[str, ...]):
+    """Sentences as lists -> a row for each sentence that has rules, with them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_words(batches, WORDS):
+            sentence, rule, texts = _sentence_rules(batch)
+            at, sizes = np.unique(sentence, return_counts=True)
+            rules = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), texts.take(pa.array(rule)))
+            columns = [batch.column(c).take(pa.array(at)) for c in keys] + [rules]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _of_lists(sentences: DataFrame, keys: tuple[str, ...], run, name: str, kind: str, arrow: pa.DataType) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     lists = sentences.filter(F.col("tokens").isNotNull()).select(*keys, *[F.col(f"tokens.{c}").alias(c) for c in ("pos", "dep", "head")])
-    schema = pa.schema([*[(c, to_arrow_type(sentences.schema[c].dataType)) for c in keys], ("rule", pa.string())])
-    kinds = ", ".join([f"`{c}` {sentences.schema[c].dataType.simpleString()}" for c in keys] + ["rule string"])
-    return lists.mapInArrow(_ruled(schema, keys), kinds)
+    schema = pa.schema([*[(c, to_arrow_type(sentences.schema[c].dataType)) for c in keys], (name, arrow)])
+    kinds = ", ".join([f"`{c}` {sentences.schema[c].dataType.simpleString()}" for c in keys] + [f"{name} {kind}"])
+    return lists.mapInArrow(run(schema, keys), kinds)
+
+
+def sentence_rules(sentences: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rule) with a row for each distinct rule of `tokens`: `struct_rules` for tables of sentences, several times faster."""
+    return _of_lists(sentences, keys, _ruled, "rule", "string", pa.string())
+
+
+def sentence_rule_lists(sentences: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rules) with a row for each sentence of `tokens` that has rules: all its distinct rules, rising. No shuffle is needed to have them together."""
+    return _of_lists(sentences, keys, _listed, "rules", "array<string>", pa.list_(pa.string()))
 
 
 def annotated_tokens(sentences: DataFrame, *keys: str) -> DataFrame:

@@ -9,8 +9,8 @@ from plumeline.functions.vectors import norm, scaled
 from plumeline.operators import gaussian as G
 from plumeline.operators import low_rank as L
 from plumeline.operators import selection as S
-from plumeline.operators.rules import sentence_rules, struct_rules
-from plumeline.operators.sparse_svd import project, truncated_svd
+from plumeline.operators.rules import sentence_rule_lists, sentence_rules, struct_rules
+from plumeline.operators.sparse_svd import numbered, project, truncated_svd_of_rows
 from plumeline.registry import register
 from plumeline.sources.staged import stage
 from plumeline.sources.tables import REVIEWS_SQL, VECTORS_SQL, review_sentences, reviews, style_vectors
@@ -33,7 +33,7 @@ def parse(words: Column) -> Column:
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, sent_id, tokens) of sentences of three words or more."""
-    s = review_sentences(spark, sf_dir)
+    s = review_sentences(spark, sf_dir, 1000)
     words = F.filter(F.split("sentence", r"\s+"), lambda w: w != "")
     # Generated, so that the words are split once and not in every place that reads them.
     rows = s.select("user_id", F.concat_ws(":", "review_pos", "sent_pos").alias("sent_id"), F.explode(F.array(words)).alias("words")).filter("size(words) >= 3")
@@ -331,12 +331,19 @@ def top_product_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPONENTS = 16
 
 
+def _rule_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """(rows (sent_id, cols) of sentences and the rules of the vocabulary that they hold, the vocabulary). A sentence's rules are together from the start and are never shuffled."""
+    lists = stage(sentence_rule_lists(parsed(spark, sf_dir), "sent_id"), "sentence-rules")
+    v = lists.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("df")).filter("df >= 2")
+    names = [r.rule for r in v.orderBy("rule").collect()]  # bounded by the grammar
+    return numbered(lists, "sent_id", "rules", names), names
+
+
 def _rule_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(entries (row, col, value) of sentences and the rules of the vocabulary that they hold, the vocabulary)."""
-    rules = stage(_rules(spark, sf_dir).select("sent_id", "rule"), "sentence-rules")
-    v = rules.groupBy("rule").agg(F.count("*").alias("df")).filter("df >= 2")
-    v = stage(v.withColumn("rule_id", F.row_number().over(Window.orderBy("rule")) - 1), "vocabulary")  # bounded by the grammar
-    return rules.join(F.broadcast(v), "rule").select(F.col("sent_id").alias("row"), F.col("rule_id").alias("col"), F.lit(1.0).alias("value")), v
+    """The same as entries (row, col, value) and a table (rule, rule_id)."""
+    rows, names = _rule_rows(spark, sf_dir)
+    v = spark.createDataFrame(list(enumerate(names)), "rule_id int, rule string")
+    return rows.select(F.col("sent_id").alias("row"), F.explode("cols").alias("col"), F.lit(1.0).alias("value")), v
 
 
 @register("rule_projection", f"""WITH {PARSED_SQL}, v AS (SELECT rule, row_number() OVER (ORDER BY rule) - 1 AS rule_id FROM rules GROUP BY rule HAVING count(DISTINCT sent_id) >= 2),
@@ -353,8 +360,8 @@ def rule_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rule_components")
 def rule_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The components of all sentences' rules, fitted: (component, singular, rule, weight)."""
-    entries, v = _rule_entries(spark, sf_dir)
-    names = [r.rule for r in v.orderBy("rule_id").collect()]
-    values, right = truncated_svd(entries, len(names), COMPONENTS)
+    rows, names = _rule_rows(spark, sf_dir)
+    ones = F.array_repeat(F.lit(1.0), F.size("cols"))
+    values, right = truncated_svd_of_rows(rows.select("cols", ones.alias("values")), len(names), COMPONENTS)
     found = [(c + 1, float(s), rule, float(x)) for c, (s, row) in enumerate(zip(values, right, strict=True)) for rule, x in zip(names, row, strict=True)]
     return spark.createDataFrame(found, "component int, singular double, rule string, weight double")
