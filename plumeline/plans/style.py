@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from plumeline.operators import gaussian as G
 from plumeline.operators import low_rank as L
 from plumeline.operators import selection as S
 from plumeline.operators.rules import sentence_rule_lists, sentence_rules, struct_rules
-from plumeline.operators.sparse_svd import numbered, project, truncated_svd_of_rows
+from plumeline.operators.sparse_svd import numbered, project_rows, truncated_svd_of_rows
 from plumeline.registry import register
 from plumeline.sources.staged import stage
 from plumeline.sources.tables import REVIEWS_SQL, VECTORS_SQL, review_sentences, reviews, style_vectors
@@ -351,10 +352,10 @@ c AS (SELECT rule, i AS dim, ((rule_id * (2 * i + 3) + i) % 17 - 8) / 16.0::DOUB
 SELECT sent_id, dim::INTEGER AS dim, sum(v)::DOUBLE AS z FROM (SELECT DISTINCT sent_id, rule FROM rules) JOIN c USING (rule) GROUP BY ALL""")
 def rule_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences projected on given components: a sentence's sum of its rules' numbers, all sixteenths, so that sums are exact."""
-    entries, v = _rule_entries(spark, sf_dir)
-    given = [((F.col("rule_id") * (2 * i + 3) + i) % 17 - 8) / F.lit(16.0) for i in range(COMPONENTS)]
-    z = project(entries, F.broadcast(v.select(F.col("rule_id").alias("col"), F.array(*given).alias("v"))), COMPONENTS)
-    return z.select(F.col("row").alias("sent_id"), F.posexplode("z").alias("dim", "z"))
+    rows, names = _rule_rows(spark, sf_dir)
+    rule_id, i = np.arange(len(names))[:, None], np.arange(COMPONENTS)
+    z = project_rows(rows, "sent_id", ((rule_id * (2 * i + 3) + i) % 17 - 8) / 16)
+    return z.select("sent_id", F.posexplode("z").alias("dim", "z"))
 
 
 @register("rule_components")

@@ -43,3 +43,20 @@ def test_rule_components_read_the_rows_few_times(spark, monkeypatch):
     monkeypatch.setattr(sparse_svd, "_pass", lambda *a: passes.append(1) or real(*a))
     assert entry.queries()["rule_components"](spark, SF).count() > 0
     assert len(passes) == 1
+
+
+def test_projection_shuffles_nothing(spark):
+    assert "Exchange" not in entry.queries()["rule_projection"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_numbered_and_projected(spark, monkeypatch):
+    rows = [("a", ["x", "y", "z"]), ("b", []), ("c", ["none"]), ("d", ["z", "none"]), ("e", ["y"]), (None, ["x"])]
+    df = spark.createDataFrame(rows, "k string, rules array<string>").coalesce(1)
+    cols = sparse_svd.numbered(df, "k", "rules", ["x", "y", "z"])
+    assert [tuple(r) for r in cols.collect()] == [("a", [0, 1, 2]), ("d", [2]), ("e", [1]), (None, [0])]
+    v = np.array([[1.0, 2.0], [4.0, 8.0], [16.0, 32.0]])
+    for piece in (1, 1 << 20):
+        monkeypatch.setattr(sparse_svd, "PIECE", piece)
+        assert [tuple(r) for r in sparse_svd.project_rows(cols, "k", v).collect()] == [("a", [21.0, 42.0]), ("d", [16.0, 32.0]), ("e", [4.0, 8.0]), (None, [1.0, 2.0])]
+    none = sparse_svd.numbered(df, "k", "rules", [])
+    assert none.count() == sparse_svd.project_rows(none, "k", np.zeros((0, 2))).count() == 0
