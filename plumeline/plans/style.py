@@ -10,7 +10,7 @@ from plumeline.functions.vectors import norm, scaled
 from plumeline.operators import gaussian as G
 from plumeline.operators import low_rank as L
 from plumeline.operators import selection as S
-from plumeline.operators.rules import sentence_rule_lists, sentence_rules, struct_rules
+from plumeline.operators.rules import sentence_rule_lists, sentence_rules
 from plumeline.operators.sparse_svd import numbered, project_rows, truncated_svd_of_rows
 from plumeline.registry import register
 from plumeline.sources.staged import stage
@@ -65,9 +65,8 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("struct_rules", f"WITH {PARSED_SQL} SELECT sent_id, count(*) AS n_rules, string_agg(rule, ' ' ORDER BY rule) AS rules FROM rules GROUP BY sent_id")
 def struct_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct rules of every sentence."""
-    found = parsed(spark, sf_dir).select("sent_id", F.explode(F.array(struct_rules(F.col("tokens")))).alias("rules"))
-    rules = F.sort_array("rules")
-    return found.select("sent_id", F.size(rules).cast("long").alias("n_rules"), F.array_join(rules, " ").alias("rules"))
+    found = sentence_rule_lists(parsed(spark, sf_dir), "sent_id")
+    return found.select("sent_id", F.size("rules").cast("long").alias("n_rules"), F.array_join("rules", " ").alias("rules"))
 
 
 @register("rule_vocab", f"""WITH {PARSED_SQL}, v AS (SELECT rule, count(DISTINCT sent_id) AS df FROM rules GROUP BY rule HAVING count(DISTINCT sent_id) >= 2)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumeline.operators import sparse_svd
@@ -60,3 +61,16 @@ def test_rows_are_numbered_and_projected(spark, monkeypatch):
         assert [tuple(r) for r in sparse_svd.project_rows(cols, "k", v).collect()] == [("a", [21.0, 42.0]), ("d", [16.0, 32.0]), ("e", [4.0, 8.0]), (None, [1.0, 2.0])]
     none = sparse_svd.numbered(df, "k", "rules", [])
     assert none.count() == sparse_svd.project_rows(none, "k", np.zeros((0, 2))).count() == 0
+
+
+def test_struct_rules_are_those_of_the_expression(spark):
+    from plumeline.operators.rules import struct_rules
+    from plumeline.plans.style import parsed
+
+    got = entry.queries()["struct_rules"](spark, SF)
+    rules = F.sort_array("rules")
+    want = parsed(spark, SF).select("sent_id", F.explode(F.array(struct_rules(F.col("tokens")))).alias("rules")).select("sent_id", F.size(rules).cast("long"), F.array_join(rules, " "))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # the batch form, over more tasks than the file has splits
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert parsed(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 10
