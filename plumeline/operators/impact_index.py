@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from plumeline.operators.places import with_places
 from plumeline.operators.retrieval import FEW_TERMS, Bm25, term_counts, top_k
 from plumeline.sources.staged import stage
+from plumeline.sources.tables import spread
 
 BLOCK = 128
+#: Queries of a list of a document's candidates.
+LISTED = 256
 
 
 @dataclass(frozen=True)
@@ -35,7 +38,8 @@ def build(queries: DataFrame, documents: DataFrame, params: Bm25) -> ImpactIndex
     q = stage(term_counts(queries, "query_id", "text", params).withColumnRenamed("tf", "qtf"), "query-terms")
     wanted = q.select("term", F.col("term").alias("known")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= FEW_TERMS else wanted.hint("shuffle_hash")
-    words = documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(params.token), F.lit(0))).alias("term")).filter(~F.col("term").isin(*params.stop_words))
+    # Dealt by document, so that its counts need no shuffle of their own.
+    words = spread(documents.select("doc_id", "text"), 1000, "doc_id").select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(params.token), F.lit(0))).alias("term")).filter(~F.col("term").isin(*params.stop_words))
     counts = stage(words.join(wanted, "term", "left").groupBy("doc_id", F.col("known").alias("term")).agg(F.count("*").alias("tf")), "term-counts")
     totals = documents.agg(F.count("*").alias("n")).crossJoin(counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))).first()  # one row each
     lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
@@ -58,8 +62,15 @@ def _part(qtf: Column) -> Column:
 
 
 def _scores(index: ImpactIndex, candidates: DataFrame) -> DataFrame:
-    """Exact scores of (query_id, doc_id) pairs: their documents' postings meet their queries' terms."""
-    met = index.postings.join(candidates, "doc_id").join(index.queries, ["query_id", "term"])
+    """Exact scores of (query_id, doc_id) pairs: their documents' postings meet the queries of their terms, and those pairs stay that are wanted.
+
+    A document's candidates are lists of about LISTED queries, so that a posting is not repeated for each of them.
+    """
+    lists = max(1, -(-index.queries.select("query_id").distinct().count() // LISTED))
+    of = F.pmod(F.hash("query_id"), F.lit(lists)).alias("_list")
+    wanted = candidates.groupBy("doc_id", of).agg(F.collect_list("query_id").alias("_wanted"))
+    asked = index.queries.select("query_id", "term", "qtf", of)
+    met = index.postings.join(wanted, "doc_id").join(asked, ["term", "_list"]).filter(F.array_contains("_wanted", F.col("query_id")))
     return met.groupBy("query_id", "doc_id").agg(F.sum(_part(F.col("qtf"))).alias("nano"))
 
 
