@@ -138,6 +138,12 @@ def clean_field(c: Column) -> Column:
     return fix_encoding(without_marketing(plain_text(c)))
 
 
+def clean_categories(categories: Column) -> Column:
+    """The cleaned categories, ` / ` between them; null ones are left out."""
+    known = F.filter(unescape_each(categories), lambda c: c.isNotNull())
+    return F.array_join(F.transform(known, lambda c: fix_encoding(without_marketing(plain_marks(c)))), " / ")
+
+
 def clean_description(c: Column, dimensions: Column, weight: Column, title: Column) -> Column:
     return calm_capitals(without_restated(clean_field(c), dimensions, weight, title))
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from plumeline.operators import attributes as A
 from plumeline.registry import register
-from plumeline.sources.tables import table
+from plumeline.sources.tables import spread, table
 
 
-def product_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata rows from `part`: details in order, features, fallbacks and numbers; every 13th has no parent_asin."""
+def product_meta(spark: SparkSession, sf_dir: str, each: int | None = None) -> DataFrame:
+    """Metadata rows from `part`: details in order, features, fallbacks and numbers; every 13th has no parent_asin. With `each`, dealt over tasks of so many parts."""
     p = table(spark, sf_dir, "part")
+    p = p if each is None else spread(p, each, "p_partkey")
     color, item = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     pairs = [
         ("Item model number", F.col("p_brand")), ("Type", F.initcap(F.lower("p_type"))), ("Color", F.concat(color, F.lit(", plain"))), ("Item", item), ("Care", F.when(F.col("p_size") % 3 == 0, "Yes").otherwise(F.concat(F.lit("wash_"), color))),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.functions import corpus_text as C
+from plumeline.operators.places import with_places
 from plumeline.plans.attributes import product_meta
 from plumeline.registry import register
 from plumeline.sources.tables import spread, table, unescape_sql
@@ -57,17 +58,40 @@ def corpus_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("page_id", F.size("n").alias("n_numbers"), F.size(F.array_distinct("n")).alias("n_distinct"))
 
 
+def product_documents(lines: DataFrame) -> DataFrame:
+    """(asin, line_no, title, brand, categories, dimensions, weight, description, features) -> (asin, doc_idx, doc); categories, description and features are lists.
+
+    Every product's document, cleaned field by field, numbered from 0 by asin over all of them. Lines without a title are left out; of the others that share an asin
+    the last one counts. A line without an asin is an error.
+    """
+    missing = F.raise_error(F.lit("a product has no asin"))
+    titled = lines.withColumn("asin", F.coalesce(F.nullif(C.plain_text(F.col("asin")), F.lit("")), missing)).filter("title <> ''")
+    fields = [F.col(c) for c in lines.columns if c not in ("asin", "line_no")]
+    last = titled.groupBy("asin").agg(F.max(F.struct("line_no", *fields)).alias("line")).select("asin", "line.*").drop("line_no")
+    # Numbered before the cleaning, which would otherwise be done once more for the sample of the sort.
+    m = spread(with_places(last, [F.col("asin")], "doc_idx"), 2000, "asin")
+    cleaned = {c: C.clean_field(F.col(c)) for c in ("brand", "dimensions", "weight")}
+    rows = m.withColumns({"title": C.plain_text(F.col("title")), "category": C.clean_categories(F.col("categories")), "description": F.array_join("description", " "), **cleaned}).drop("categories")
+    # Generated, so that each field is cleaned once for a product and not in every place, or for every sentence, that reads it.
+    rows = rows.select(F.inline(F.array(F.struct(*rows.columns))))
+    title, brand, category, dimensions, weight = map(F.col, ("title", "brand", "category", "dimensions", "weight"))
+    doc = C.document(title, brand, category, dimensions, weight, C.clean_description(F.col("description"), dimensions, weight, title), C.clean_features(F.col("features"), title))
+    return rows.select("asin", "doc_idx", doc.alias("doc"))
+
+
 @register("corpus_docs")
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(asin, doc_idx, doc): the document of each product, numbered by asin within its first three characters."""
-    m = spread(product_meta(spark, sf_dir), 2000)
+    """(asin, doc_idx, doc): the document of each product, numbered from 0 by asin; its main category and its item are its categories."""
     value = lambda k: F.filter("details", lambda d: d["key"] == k)[0]["value"]
-    title = C.plain_text(F.concat_ws(" ", value("Type"), value("Item"), value("Style"), F.lit("in"), value("Color")))
-    size = C.clean_field(F.concat(F.col("rating_number"), F.lit(" x "), F.col("rating_number") + 1, F.lit(" inches")))
-    weight = C.clean_field(value("Item Weight"))
-    text = F.concat(F.lit("Product Description. A "), value("Item"), F.lit(" that lasts. It measures "), size, F.lit(". It weighs "), weight, F.lit(". Makes a great gift. GREAT FOR EVERY HOME AND OFFICE "), F.upper(value("Item")), F.lit(". See www.example.com now."))
-    rows = m.select(F.coalesce(F.nullif("parent_asin", F.lit("")), "asin").alias("asin"), title.alias("title"), C.clean_field(F.col("brand")).alias("brand"), C.clean_field(F.col("main_category")).alias("category"), size.alias("size"), weight.alias("weight"), text.alias("text"), "features")
-    # Generated, so that each field is cleaned once for a product and not in every place, or for every sentence, that reads it.
-    rows = rows.select(F.inline(F.array(F.struct(*rows.columns)))).filter("title <> ''")
-    doc = C.document(F.col("title"), F.col("brand"), F.col("category"), F.col("size"), F.col("weight"), C.clean_description(F.col("text"), F.col("size"), F.col("weight"), F.col("title")), C.clean_features(F.col("features"), F.col("title")))
-    return rows.select("asin", doc.alias("doc"))
+    item, n = value("Item"), F.col("rating_number")
+    title = F.concat_ws(" ", value("Type"), item, value("Style"), F.lit("in"), value("Color"))
+    size = F.concat(n, F.lit(" x "), n + 1, F.lit(" inches"))
+    parts = [
+        F.lit("Product Description."), F.concat(F.lit("A "), item, F.lit(" that lasts.")), F.concat(F.lit("It measures "), size, F.lit(".")), F.concat(F.lit("It weighs "), value("Item Weight"), F.lit(".")), F.lit("Makes a great gift."),
+        F.concat(F.lit("GREAT FOR EVERY HOME AND OFFICE "), F.upper(item), F.lit(".")), F.lit("See www.example.com now."),
+    ]
+    lines = product_meta(spark, sf_dir, 2000).select(
+        F.coalesce(F.nullif("parent_asin", F.lit("")), "asin").alias("asin"), "line_no", title.alias("title"), "brand", F.array("main_category", item).alias("categories"),
+        size.alias("dimensions"), value("Item Weight").alias("weight"), F.array(*parts).alias("description"), "features",
+    )
+    return product_documents(lines)
